@@ -36,17 +36,14 @@ def limbs(c: Column) -> Column:
 
 
 def _carry(hi: Column, mid: Column, lo: Column) -> Column:
+    """Move everything above 26 digits one limb up. Inputs must not be negative."""
     base = F.lit("1" + "0" * BASE_DIGITS).cast(DEC)
-    up = F.floor(lo / base).cast(DEC)
-    # Decimal division rounds at its last kept digit; correct by one if needed.
-    up = F.when(up * base > lo, up - 1).otherwise(up).cast(DEC)
-    mid2 = (mid + up).cast(DEC)
-    up2 = F.floor(mid2 / base).cast(DEC)
-    up2 = F.when(up2 * base > mid2, up2 - 1).otherwise(up2).cast(DEC)
+    over = lambda v: F.call_function("div", v, base).cast("decimal(19,0)")
+    mid2 = (mid + over(lo)).cast(DEC)
     return F.struct(
-        (hi + up2).cast(DEC).alias("hi"),
-        (mid2 - up2 * base).cast(DEC).alias("mid"),
-        (lo - up * base).cast(DEC).alias("lo"),
+        (hi + over(mid2)).cast(DEC).alias("hi"),
+        (mid2 % base).cast(DEC).alias("mid"),
+        (lo % base).cast(DEC).alias("lo"),
     )
 
 

@@ -173,3 +173,38 @@ def running_total(cells: DataFrame, keys: list[str], order: str, value: str) ->
         .withColumn("upto", F.col("_upto") + F.col("_before"))
         .drop("_upto", "_before")
     )
+
+
+def running_before(
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple]
+) -> DataFrame:
+    """Aggregates over all rows of the key that come strictly earlier in ``order``.
+
+    ``values`` maps an output name to ``(function, column)``, the function being
+    ``F.min``, ``F.max`` or ``F.sum``. Needs a frame from ``with_cells``.
+    """
+    w = (
+        Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    local = df.select("*", *[fn(c).over(w).alias(f"_l_{n}") for n, (fn, c) in values.items()])
+    ends = df.filter("_hot").groupBy(*keys, "_cell").agg(
+        *[fn(c).alias(f"_e_{n}") for n, (fn, c) in values.items()]
+    )
+    carry = ends.select(
+        *keys, "_cell", *[fn(f"_e_{n}").over(across).alias(f"_c_{n}") for n, (fn, _) in values.items()]
+    )
+    out = local.join(carry, [*keys, "_cell"], "left")
+    for n, (fn, _) in values.items():
+        here, there = F.col(f"_l_{n}"), F.col(f"_c_{n}")
+        if fn is F.sum:
+            both = F.coalesce(here, F.lit(0)) + F.coalesce(there, F.lit(0))
+        else:
+            both = F.least(here, there) if fn is F.min else F.greatest(here, there)
+        out = out.withColumn(n, both)
+    return out.drop(*[f"_{p}_{n}" for n in values for p in "lc"])
+
+
+def one_cell(df: DataFrame) -> DataFrame:
+    """Mark a frame known to be small: no key is hot, one cell per key."""
+    return df.withColumn("_hot", F.lit(False)).withColumn("_cell", F.lit(0).cast("long"))
