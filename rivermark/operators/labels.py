@@ -12,7 +12,10 @@ KEYS = ["network_key", "address"]
 REQUIRED = ("network_key", "address", "entity_name", "entity_type", "assertion_type",
             "address_role", "review_state", "source_reference")
 # The label vocabularies.
-ASSERTION_TYPES = ("service_control", "deposit_candidate", "risk_report", "exposure")
+ASSERTION_TYPES = ("service_control", "deposit_candidate", "complaint_allegation",
+                   "public_abuse_report", "sanctions_tag")
+ADDRESS_ROLES = ("deposit", "hot_wallet", "cold_reserve", "withdrawal", "settlement", "unknown")
+REVIEW_STATES = ("unreviewed", "accepted", "rejected", "quarantined", "conflicted")
 WITHDRAWN = ("rejected", "quarantined")
 
 
@@ -30,8 +33,12 @@ def label_problems(claims: DataFrame) -> DataFrame:
     blanks = [
         (F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True)), f"missing_{c}") for c in REQUIRED
     ]
-    unknown = (~_is("assertion_type", *ASSERTION_TYPES), "unknown_assertion_type")
-    return claims.withColumn("problems", reasons(*blanks, unknown))
+    unknown = [
+        (~_is("assertion_type", *ASSERTION_TYPES), "unknown_assertion_type"),
+        (~_is("address_role", *ADDRESS_ROLES), "unknown_address_role"),
+        (~_is("review_state", *REVIEW_STATES), "unknown_review_state"),
+    ]
+    return claims.withColumn("problems", reasons(*blanks, *unknown))
 
 
 def load_labels(claims: DataFrame) -> DataFrame:

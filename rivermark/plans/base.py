@@ -39,7 +39,7 @@ LABELS = f"""labels_in AS (
   CASE WHEN copy = 2 THEN 'Rival ' ELSE 'Service ' END || c_nationkey AS entity_name,
   CASE c_custkey % 3 WHEN 0 THEN 'exchange' WHEN 1 THEN 'custodial_service' ELSE 'bridge' END AS entity_type,
   CASE WHEN c_acctbal >= 8500 AND c_acctbal < 9000 THEN 'deposit_candidate' ELSE 'service_control' END AS assertion_type,
-  CASE c_custkey % 4 WHEN 0 THEN 'deposit' WHEN 1 THEN 'hot_wallet' WHEN 2 THEN 'pooled' ELSE 'unknown' END AS address_role,
+  CASE c_custkey % 4 WHEN 0 THEN 'deposit' WHEN 1 THEN 'hot_wallet' WHEN 2 THEN 'settlement' ELSE 'unknown' END AS address_role,
   CASE WHEN c_acctbal >= 9000 THEN 'accepted' WHEN c_acctbal >= 8500 THEN 'unreviewed'
    WHEN c_acctbal >= 8000 THEN 'unreviewed' WHEN c_acctbal >= 7750 THEN 'accepted'
    WHEN c_acctbal >= 7600 THEN 'rejected' ELSE 'quarantined' END AS review_state,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivermark.operators.trace import trace
+from rivermark.operators.trace import Trace, trace
 from rivermark.plans.base import LABELS, LEDGER, SPENT, sql
 from rivermark.registry import query
+from rivermark.scale import cut
 from rivermark.sources import tables as src
 
 HOPS = 3
@@ -20,6 +21,22 @@ def traces(spark, sf, hops: int = HOPS, events: int = EVENTS):
     return trace(src.seeds(ledger), ledger, src.labels(spark, sf), cutoff, hops, events)
 
 
+_SAVED: dict[tuple, object] = {}
+
+
+def saved(spark, sf):
+    """The four trace tables as saved results, walked once per session.
+
+    The queries further down read saved traces, as case work does. Clear
+    ``_SAVED`` to walk again.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED:
+        t = traces(spark, sf)
+        _SAVED[key] = Trace(cut(t.header), cut(t.observed), cut(t.endings), cut(t.limitations))
+    return _SAVED[key]
+
+
 #: A wallet's agreed accepted claim at the arrival time of each spendable event.
 _STOP = """ac AS (SELECT x.event_reference, count(DISTINCT (lower(trim(l.entity_name)), l.entity_type, l.address_role)) AS k,
   arg_min(l.entity_name, l.row_no) AS entity_name, arg_min(l.entity_type, l.row_no) AS entity_type,

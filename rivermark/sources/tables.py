@@ -97,7 +97,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         " AS entity_type",
         "CASE WHEN c_acctbal >= 8500 AND c_acctbal < 9000 THEN 'deposit_candidate'"
         " ELSE 'service_control' END AS assertion_type",
-        "CASE c_custkey % 4 WHEN 0 THEN 'deposit' WHEN 1 THEN 'hot_wallet' WHEN 2 THEN 'pooled'"
+        "CASE c_custkey % 4 WHEN 0 THEN 'deposit' WHEN 1 THEN 'hot_wallet' WHEN 2 THEN 'settlement'"
         " ELSE 'unknown' END AS address_role",
         "CASE WHEN c_acctbal >= 9000 THEN 'accepted' WHEN c_acctbal >= 8500 THEN 'unreviewed'"
         " WHEN c_acctbal >= 8000 THEN 'unreviewed' WHEN c_acctbal >= 7750 THEN 'accepted'"
