@@ -7,6 +7,8 @@ An amount travels as a decimal string. For arithmetic it becomes three limbs of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,39 +105,49 @@ def approx(v: Column) -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once instead of once per mention."""
+    return F.transform(F.array(value), use)[0]
+
+
 def from_hex(word: Column) -> Column:
     """64 hex digits to a decimal string: eight 32-bit chunks times 2^(32 i)."""
-    out = F.struct(*(F.lit(0).cast(DEC).alias(p) for p in ("hi", "mid", "lo")))
-    for i in range(8):
-        chunk = F.conv(F.substring(word, 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)")
-        weight = str(2 ** (32 * (7 - i))).rjust(WIDTH, "0")
-        parts = [weight[j : j + BASE_DIGITS] for j in range(0, WIDTH, BASE_DIGITS)]
-        out = F.struct(
-            *(
-                (out[p] + (F.lit(w).cast("decimal(26,0)") * chunk).cast(DEC)).cast(DEC).alias(p)
-                for p, w in zip(("hi", "mid", "lo"), parts, strict=True)
-            )
-        )
-    carried = _carry(out["hi"], out["mid"], out["lo"])
-    return F.when(word.rlike(r"^[0-9a-fA-F]{64}\z"), render(carried))
+    chunks = [
+        F.conv(F.substring(word, 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)") for i in range(8)
+    ]
+    weights = [str(2 ** (32 * (7 - i))).rjust(WIDTH, "0") for i in range(8)]
+
+    def limb(j: int) -> Column:
+        total = F.lit(0).cast(DEC)
+        for chunk, weight in zip(chunks, weights, strict=True):
+            part = int(weight[j * BASE_DIGITS : (j + 1) * BASE_DIGITS])
+            if part:
+                total = total + (chunk * F.lit(str(part)).cast("decimal(26,0)")).cast(DEC)
+        return total.cast(DEC)
+
+    raw = F.struct(limb(0).alias("hi"), limb(1).alias("mid"), limb(2).alias("lo"))
+    whole = _let(raw, lambda v: _let(_carry(v["hi"], v["mid"], v["lo"]), render))
+    small = F.conv(F.substring(word, 49, 16), 16, 10)
+    return F.when(
+        word.rlike(r"^[0-9a-fA-F]{64}\z"),
+        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(whole),
+    )
 
 
 def to_display(units: Column, decimals: Column) -> Column:
-    """Base units to a plain decimal string with ``decimals`` places, zeros trimmed."""
+    """Base units to an exact decimal string with all ``decimals`` places."""
     padded = F.lpad(units, 1 + WIDTH, "0")
-    # Digits left and right of the point, by position from the right end.
     whole = F.regexp_replace(
         F.substring(padded, F.lit(1), F.lit(1 + WIDTH) - decimals), r"^0+(?=[0-9])", ""
     )
-    tail = F.rtrim(F.lit("0"), F.substring(padded, F.lit(2 + WIDTH) - decimals, decimals))
-    return F.when(F.length(tail) > 0, F.concat_ws(".", whole, tail)).otherwise(whole)
+    tail = F.substring(padded, F.lit(2 + WIDTH) - decimals, decimals)
+    return F.when(decimals > 0, F.concat_ws(".", whole, tail)).otherwise(whole)
 
 
 def from_display(text: Column, decimals: Column) -> Column:
     """Inverse of ``to_display``; NULL when malformed or more precise than the asset."""
     halves = F.split(text, r"\.")
-    whole = halves[0]
-    tail = F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))
+    tail = F.regexp_replace(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), "0+$", "")
     ok = text.rlike(r"^[0-9]+(\.[0-9]*)?\z") & (F.length(tail) <= decimals)
-    joined = F.concat(whole, tail, F.repeat(F.lit("0"), decimals - F.length(tail)))
+    joined = F.concat(halves[0], tail, F.repeat(F.lit("0"), decimals - F.length(tail)))
     return F.when(ok, F.regexp_replace(joined, r"^0+(?=[0-9])", ""))
