@@ -173,3 +173,16 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "user_id",
         )
     )
+
+
+def resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events as resource evidence: payments, delegations and native funding."""
+    return observations(spark, sf_dir).selectExpr(
+        "network", "candidate_address", "coalesce(counterparty_address, 'unknown') AS counterparty_address",
+        "CASE event_type WHEN 'purchase' THEN 'token_transfer' WHEN 'click' THEN 'trx_funding'"
+        " ELSE 'resource_delegation' END AS relationship_type",
+        "CASE event_type WHEN 'view' THEN 'current_state_only' ELSE 'historical' END AS temporal_status",
+        "CASE event_type WHEN 'signup' THEN 'delegate' WHEN 'error' THEN 'undelegate'"
+        " WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'current_index' ELSE 'current_detail' END END AS operation_type",
+        "event_reference AS tx_or_operation_id", "amount_base_units", "block_time", "event_id", "user_id",
+    )
