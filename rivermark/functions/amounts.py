@@ -111,26 +111,20 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def from_hex(word: Column) -> Column:
-    """64 hex digits to a decimal string: eight 32-bit chunks times 2^(32 i)."""
-    chunks = [
-        F.conv(F.substring(word, 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)") for i in range(8)
-    ]
-    weights = [str(2 ** (32 * (7 - i))).rjust(WIDTH, "0") for i in range(8)]
-
-    def limb(j: int) -> Column:
-        total = F.lit(0).cast(DEC)
-        for chunk, weight in zip(chunks, weights, strict=True):
-            part = int(weight[j * BASE_DIGITS : (j + 1) * BASE_DIGITS])
-            if part:
-                total = total + (chunk * F.lit(str(part)).cast("decimal(26,0)")).cast(DEC)
-        return total.cast(DEC)
-
-    raw = F.struct(limb(0).alias("hi"), limb(1).alias("mid"), limb(2).alias("lo"))
-    whole = _let(raw, lambda v: _let(_carry(v["hi"], v["mid"], v["lo"]), render))
+    """64 hex digits to a decimal string, 32 bits at a time."""
+    zero = F.struct(*(F.lit(0).cast(DEC).alias(p) for p in ("hi", "mid", "lo")))
+    shift = F.lit(2**32).cast("decimal(11,0)")
+
+    def push(acc: Column, i: Column) -> Column:
+        chunk = F.conv(F.substring(word, i * 8 + F.lit(1), F.lit(8)), 16, 10).cast("decimal(10,0)")
+        up = {p: (acc[p] * shift).cast(DEC) for p in ("hi", "mid", "lo")}
+        return _carry(up["hi"], up["mid"], (up["lo"] + chunk).cast(DEC))
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(7)), zero, push)
     small = F.conv(F.substring(word, 49, 16), 16, 10)
     return F.when(
         word.rlike(r"^[0-9a-fA-F]{64}\z"),
-        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(whole),
+        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(_let(whole, render)),
     )
 
 
