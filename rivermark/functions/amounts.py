@@ -18,6 +18,11 @@ UINT256_MAX = str(2**256 - 1)
 DEC = "decimal(38,0)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once instead of once per mention."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_amount(c: Column) -> Column:
     """Only ASCII digits, within uint256. Zero counts; NULL does not."""
     digits = F.coalesce(c.rlike(r"^[0-9]+\z"), F.lit(False))
@@ -82,18 +87,24 @@ def add(a: Column, b: Column) -> Column:
 
 def subtract(a: Column, b: Column) -> Column:
     """``a - b`` as a signed decimal string."""
-    big, small = F.greatest(a, b), F.least(a, b)
     base = F.lit("1" + "0" * BASE_DIGITS).cast(DEC)
-    lo = (big["lo"] - small["lo"]).cast(DEC)
-    borrow = F.when(lo < 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    mid = (big["mid"] - small["mid"] - borrow).cast(DEC)
-    borrow2 = F.when(mid < 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    out = F.struct(
-        (big["hi"] - small["hi"] - borrow2).cast(DEC).alias("hi"),
-        (mid + borrow2 * base).cast(DEC).alias("mid"),
-        (lo + borrow * base).cast(DEC).alias("lo"),
-    )
-    return F.when(a < b, F.concat(F.lit("-"), render(out))).otherwise(render(out))
+    one = lambda c: F.when(c < 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
+
+    def borrow(d: Column) -> Column:
+        mid = (d["mid"] - one(d["lo"])).cast(DEC)
+        return F.struct(
+            (d["hi"] - one(mid)).cast(DEC).alias("hi"),
+            (mid + one(mid) * base).cast(DEC).alias("mid"),
+            (d["lo"] + one(d["lo"]) * base).cast(DEC).alias("lo"),
+        )
+
+    def signed(v: Column) -> Column:
+        big, small = F.greatest(v["a"], v["b"]), F.least(v["a"], v["b"])
+        parts = F.struct(*((big[p] - small[p]).cast(DEC).alias(p) for p in ("hi", "mid", "lo")))
+        text = let(parts, lambda d: let(borrow(d), render))
+        return F.when(v["a"] < v["b"], F.concat(F.lit("-"), text)).otherwise(text)
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b")), signed))
 
 
 def approx(v: Column) -> Column:
@@ -105,11 +116,6 @@ def approx(v: Column) -> Column:
     )
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once instead of once per mention."""
-    return F.transform(F.array(value), use)[0]
-
-
 def from_hex(word: Column) -> Column:
     """64 hex digits to a decimal string, 32 bits at a time."""
     zero = F.struct(*(F.lit(0).cast(DEC).alias(p) for p in ("hi", "mid", "lo")))
@@ -124,7 +130,7 @@ def from_hex(word: Column) -> Column:
     small = F.conv(F.substring(word, 49, 16), 16, 10)
     return F.when(
         word.rlike(r"^[0-9a-fA-F]{64}\z"),
-        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(_let(whole, render)),
+        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(let(whole, render)),
     )
 
 

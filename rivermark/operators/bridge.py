@@ -132,8 +132,11 @@ MATCH = ["tx_hash", "destination_domain", "burn_token", "mint_recipient", "amoun
 
 def match_attestations(burned: DataFrame, attestations: DataFrame) -> DataFrame:
     """Attestation of each burn by domain, token, recipient and amount; two candidates are none."""
-    per = attestations.groupBy(*MATCH).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct("status", "attestation", "event_nonce", "attested")).alias("a")
+    start, length = BODY["fee_executed"]
+    # Read here, before the shuffle, so the fee is decoded once per attestation.
+    read = attestations.withColumn("fee", amounts.from_hex(part(F.col("attested"), start, length)))
+    per = read.groupBy(*MATCH).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("status", "attestation", "event_nonce", "attested", "fee")).alias("a")
     )
     any_ = attestations.select("tx_hash").distinct().withColumn("_any", F.lit(True))
     j = burned.join(per, MATCH, "left").join(any_, "tx_hash", "left")
@@ -145,7 +148,7 @@ def match_attestations(burned: DataFrame, attestations: DataFrame) -> DataFrame:
     one = F.col("_n") == 1
     return j.withColumn("attestation_status", verdict).withColumn("nonce", F.when(one, F.lpad(F.lower("a.event_nonce"), 64, "0"))).withColumn(
         "attested", F.when(one, F.col("a.attested"))
-    ).drop("_n", "_any", "a")
+    ).withColumn("fee", F.coalesce(F.when(one, F.col("a.fee")), F.lit("0"))).drop("_n", "_any", "a")
 
 
 def discover_destination(matched: DataFrame, received: DataFrame, source_domain: int = 0) -> DataFrame:
@@ -161,18 +164,28 @@ def discover_destination(matched: DataFrame, received: DataFrame, source_domain:
 
 def reconcile(burn: Column, max_fee: Column, fee: Column, mint: Column, paid: Column) -> Column:
     """Burn less fee must equal what was minted and paid; unknown stays unknown."""
-    b, m, f = amounts.limbs(burn), amounts.limbs(max_fee), amounts.limbs(fee)
-    expected = amounts.subtract(b, f)
-    off = lambda c: F.coalesce(c != expected, F.lit(False))
-    return F.when((f > m) | (f > b), "MISMATCH").when(mint.isNull() & paid.isNull(), "UNKNOWN").when(off(mint) | off(paid), "MISMATCH").otherwise(
-        "MATCHES_PROTOCOL_EXPECTATION"
+    known = F.struct(
+        amounts.limbs(burn).alias("b"), amounts.limbs(max_fee).alias("m"), amounts.limbs(fee).alias("f"),
+        mint.alias("mint"), paid.alias("paid"),
     )
 
+    def verdict(v: Column) -> Column:
+        expected = amounts.subtract(v["b"], v["f"])
+        agree = amounts.let(
+            expected, lambda e: F.coalesce(v["mint"] == e, F.lit(True)) & F.coalesce(v["paid"] == e, F.lit(True))
+        )
+        return (
+            F.when((v["f"] > v["m"]) | (v["f"] > v["b"]), "MISMATCH")
+            .when(v["mint"].isNull() & v["paid"].isNull(), "UNKNOWN")
+            .when(~agree, "MISMATCH").otherwise("MATCHES_PROTOCOL_EXPECTATION")
+        )
+
+    return amounts.let(known, verdict)
+
 
 def links(found: DataFrame) -> DataFrame:
     """Status of each burn's journey; the first rule that holds decides."""
-    fee = F.coalesce(decode_message(F.col("attested"))["fee_executed"], F.lit("0"))
-    j = found.withColumn("fee", fee).withColumn(
+    j = found.withColumn(
         "reconciliation", reconcile(F.col("amount"), F.col("max_fee"), F.col("fee"), F.col("d.mint_amount"), F.col("d.transfer_amount"))
     )
     a, e = F.col("attestation_status"), F.col("d.execution_status")

@@ -69,9 +69,13 @@ def rapid_pairs(
         ["side", "event_reference", "amount_base_units", "block_time", "ordering_ambiguous"],
     )
     p = p.withColumn("elapsed", F.unix_seconds("block_time") - F.unix_seconds("prev.block_time"))
-    got, sent = amounts.limbs(F.col("prev.amount_base_units")), amounts.limbs(F.col("amount_base_units"))
-    similar = (amounts.scaled(got, 85) <= amounts.scaled(sent, 100)) & (
-        amounts.scaled(sent, 100) <= amounts.scaled(got, 105)
+    both = F.struct(
+        amounts.limbs(F.col("prev.amount_base_units")).alias("got"), amounts.limbs(F.col("amount_base_units")).alias("sent")
+    )
+    similar = amounts.let(
+        both,
+        lambda v: (amounts.scaled(v["got"], 85) <= amounts.scaled(v["sent"], 100))
+        & (amounts.scaled(v["sent"], 100) <= amounts.scaled(v["got"], 105)),
     )
     candidates = p.filter(
         (F.col("prev.side") == "in") & (F.col("side") == "out")
