@@ -74,12 +74,13 @@ def claims_by_address(claims: DataFrame) -> DataFrame:
     return usable.groupBy(*KEYS).agg(F.sort_array(F.collect_list(item)).alias("claims"))
 
 
-def resolve(rows: DataFrame, claims: DataFrame, address: str, at: Column, spread: list[str]) -> DataFrame:
+def resolve(rows: DataFrame, folded: DataFrame, address: str, at: Column, spread: list[str]) -> DataFrame:
     """Add ``service`` (agreed control claim), ``conflict`` and ``candidate`` at ``at``.
 
-    Where active accepted claims disagree on entity, type or role none is chosen.
+    ``folded`` comes from ``claims_by_address``. Where active accepted claims
+    disagree on entity, type or role none is chosen.
     """
-    dim = claims_by_address(claims).withColumnRenamed("address", address)
+    dim = folded.withColumnRenamed("address", address)
     joined = dim_join(rows, dim, ["network_key", address], "left", spread)
     live = F.filter(
         F.coalesce("claims", F.array()), lambda c: covers(at, c["valid_from"], c["valid_to"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivermark.functions.predicates import _is, first_reason, positive
@@ -89,20 +89,22 @@ def alert_states(seen: DataFrame) -> DataFrame:
 
     Rows of one watch and event are as many as polls saw it, which the overlap bounds.
     """
-    from pyspark.sql import Window
-
     key = ["watch_id", "event_reference"]
     w = Window.partitionBy(*key).orderBy("poll_time")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     s = seen.filter(F.col("reason").isNull() | F.col("reason").isin(*RETRACTING))
     first = F.min(F.when(F.col("reason").isNull(), F.col("poll_time"))).over(Window.partitionBy(*key))
     s = s.withColumn("_open", first).filter(F.col("poll_time") >= F.col("_open"))
-    back = F.col("reason").isNotNull()
-    s = s.withColumn("_gone", F.max(F.when(back, F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("_conf", F.last(F.when(~back & (F.col("confirmation_state") != "unknown"), F.col("confirmation_state")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    changed = F.coalesce(F.col("_conf") != F.col("confirmation_state"), F.lit(False)) & (F.col("confirmation_state") != "unknown")
-    kind = first_reason(
-        (F.col("poll_time") == F.col("_open"), "opened"), (back & F.col("_gone").isNull(), "retracted"), (~back & changed, "confirmation_changed"),
+    back, conf, ex = F.col("reason").isNotNull(), F.col("confirmation_state"), F.col("execution_status")
+    s = s.withColumn("_gone", F.max(F.when(back, F.lit(1))).over(before))
+    turn = back & F.col("_gone").isNull()
+    held_conf = F.when(~back & (conf != "unknown") | turn & (conf == "removed"), conf)
+    held_ex = F.when(~back & (ex == "success") | turn & ex.isin("failed", "reverted"), ex)
+    s = s.withColumn("_conf", F.coalesce(F.last(held_conf, True).over(before), F.lit("unknown"))).withColumn(
+        "_ex", F.coalesce(F.last(held_ex, True).over(before), F.lit("unknown"))
     )
+    moved = ((conf != "unknown") & (conf != F.col("_conf"))) | ((F.col("_ex") == "unknown") & (ex == "success"))
+    kind = first_reason((F.col("poll_time") == F.col("_open"), "opened"), (turn, "retracted"), (~back & moved, "status_changed"))
     return s.withColumn("change", kind).filter("change IS NOT NULL").select(*key, "poll_time", "change")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window
 
 from rivermark import scale
 from rivermark.functions.predicates import _is, positive, spendable
-from rivermark.operators.labels import resolve
+from rivermark.operators.labels import claims_by_address, resolve
 from rivermark.scale import cut, dim_join, one_cell, running_before, with_cells
 
 MAX_HOPS = 8
@@ -211,6 +211,7 @@ def trace(
     labels at the arrival time, then the departures.
     """
     edges = cut(prepare(transfers))
+    folded = cut(claims_by_address(claims))
     located = cut(locate_seeds(seeds, edges))
     untimed = edges.filter("block_time IS NULL").limit(1).count() > 0
     states = _start(located)
@@ -221,7 +222,7 @@ def trace(
 
     for hop in range(max_hops + 1):
         states = cut(
-            resolve(states, claims, "address", F.coalesce("at", cutoff), ["trace_id", "arrival"])
+            resolve(states, folded, "address", F.coalesce("at", cutoff), ["trace_id", "arrival"])
         )
         count = states.count()
         if count == 0:

@@ -10,6 +10,7 @@ from rivermark.plans.base import LEDGER, sql
 from rivermark.plans.traces import ENDINGS, saved
 from rivermark.registry import query
 from rivermark.sources import tables as src
+from rivermark.streaming import watch as stream
 
 DAY = 86400
 
@@ -21,10 +22,10 @@ def watches(spark, sf):
     )
 
 
-def observations(spark, sf):
+def observations(spark, sf, lines=None):
     """Three polls over the ledger with statuses that change in between."""
     polls = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
-    e = src.ledger(spark, sf).withColumn("token_contract", F.expr("concat('a', part_key % 3)")).select("*", polls)
+    e = src.ledger(spark, sf, lines).withColumn("token_contract", F.expr("concat('a', part_key % 3)")).select("*", polls)
     proved = "execution_status = 'success' OR (k > 0 AND order_key % 2 = 0)"
     return e.selectExpr(
         "network_key", "token_contract", "event_reference", "tx_hash", "event_kind", "from_address", "to_address", "amount_base_units", "block_time", "k",
@@ -72,14 +73,29 @@ def _(spark, sf):
     )
 
 
-@query("alert_states", sql(*SEEN, _ALERT, body="""
-, h AS (SELECT s.watch_id, s.event_reference, poll, f, reason, cs, max(CASE WHEN reason IS NOT NULL THEN 1 END) OVER w AS gone, last_value(CASE WHEN reason IS NULL AND cs<>'unknown' THEN cs END IGNORE NULLS) OVER w AS pc
- FROM seen s JOIN op USING (watch_id, event_reference) WHERE poll>=f AND (reason IS NULL OR reason IN ('failed_execution','removed')) WINDOW w AS (PARTITION BY s.watch_id, s.event_reference ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT watch_id, event_reference, poll AS poll_at, change FROM (SELECT *, CASE WHEN poll=f THEN 'opened' WHEN reason IS NOT NULL AND gone IS NULL THEN 'retracted' WHEN reason IS NULL AND coalesce(pc<>cs,false) AND cs<>'unknown' THEN 'confirmation_changed' END AS change FROM h) WHERE change IS NOT NULL""".lstrip()))
+_HISTORY = """h0 AS (SELECT s.watch_id, s.event_reference, poll, f, reason IS NOT NULL AS back, cs, es, max(CASE WHEN reason IS NOT NULL THEN 1 END) OVER w AS gone
+ FROM seen s JOIN op USING (watch_id, event_reference) WHERE poll>=f AND (reason IS NULL OR reason IN ('failed_execution','removed')) WINDOW w AS (PARTITION BY s.watch_id, s.event_reference ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, coalesce(last_value(CASE WHEN (NOT back AND cs<>'unknown') OR (back AND gone IS NULL AND cs='removed') THEN cs END IGNORE NULLS) OVER w, 'unknown') AS pc,
+  coalesce(last_value(CASE WHEN (NOT back AND es='success') OR (back AND gone IS NULL AND es='failed') THEN es END IGNORE NULLS) OVER w, 'unknown') AS pe
+ FROM h0 WINDOW w AS (PARTITION BY watch_id, event_reference ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hist AS (SELECT watch_id, event_reference, poll AS poll_at, CASE WHEN poll=f THEN 'opened' WHEN back AND gone IS NULL THEN 'retracted' WHEN NOT back AND ((cs<>'unknown' AND cs<>pc) OR (pe='unknown' AND es='success')) THEN 'status_changed' END AS change FROM h)"""
+_STATES = sql(*SEEN, _ALERT, _HISTORY, body="SELECT * FROM hist WHERE change IS NOT NULL")
+
+
+@query("alert_states", _STATES)
 def _(spark, sf):
     return mon.alert_states(_seen(spark, sf)).select("watch_id", "event_reference", F.unix_seconds("poll_time").alias("poll_at"), "change")
 
 
+@query("watch_stream", _STATES)
+def _(spark, sf):
+    """The same history from the streaming job, run over the order lines as a file stream."""
+    lines = spark.readStream.schema(src.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    changes = stream.watch_changes(observations(spark, sf, lines), watches(spark, sf))
+    path = stream.run_once(changes)
+    return spark.read.parquet(path).select("watch_id", "event_reference", F.unix_seconds("poll_time").alias("poll_at"), "change")
+
+
 @query("alert_lag", sql(*SEEN, _ALERT, body="""
 SELECT watch_id, event_reference, CASE WHEN ck%4=0 THEN 'unavailable_recorded_replay' WHEN ck%4=1 THEN 'simulated_clock' WHEN ck%4=2 THEN 'synthetic_fixture_times' ELSE 'live_wall_clock' END AS basis, CASE WHEN ck%4<>0 THEN first_observed - t END AS lag_seconds FROM alerts"""))
 def _(spark, sf):

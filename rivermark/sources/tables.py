@@ -27,12 +27,12 @@ def epoch_seconds(column: str) -> str:
     return f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))"
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transfer event per order line."""
+def ledger(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """One transfer event per order line; ``lines`` may be a stream of order lines."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"
     )
     wallets = table(spark, sf_dir, "customer").agg(F.count(F.lit(1))).scalar()
