@@ -60,8 +60,8 @@ def dim_join(
     """
     if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return fact.join(F.broadcast(dim), keys, how)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS).cast("long")))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
