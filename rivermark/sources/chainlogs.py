@@ -20,33 +20,34 @@ def hex_number(c: Column) -> Column:
     return F.when(bare.rlike(r"^[0-9a-fA-F]{1,15}\z"), F.conv(bare, 16, 10).cast("bigint"))
 
 
-def topic_address(c: Column) -> Column:
-    """Address in an indexed topic: 32 bytes, the upper 12 zero."""
-    return F.when(c.rlike(r"^0x0{24}[0-9a-fA-F]{40}\z"), F.lower(F.concat(F.lit("0x"), F.substring(c, 27, 40))))
-
-
 def word(data: Column, index: int = 0) -> Column:
     """The 64 hex digits of one 32-byte word of ``0x`` data."""
     return F.substring(data, 3 + 64 * index, 64)
 
 
 def decode_transfer_logs(logs: DataFrame, contract: Column) -> DataFrame:
-    """Strict token transfer decode; whatever does not fit the exact shape is left out."""
-    t = F.col("topics")
-    shaped = logs.filter((F.size(t) == 3) & (F.lower(F.get(t, F.lit(0))) == TRANSFER_TOPIC))
+    """Strict token transfer decode; whatever does not fit the exact shape is left out.
+
+    All shape tests look at the raw fields, so each decoded value is computed once
+    and only for logs that stay.
+    """
+    topic = lambda i: F.get("topics", F.lit(i))
+    plain = lambda c: c.rlike(r"^0x0{24}[0-9a-fA-F]{40}\z")
+    shaped = logs.filter(
+        (F.size("topics") == 3) & (F.lower(topic(0)) == TRANSFER_TOPIC) & plain(topic(1)) & plain(topic(2))
+        & F.col("data").rlike(r"^0x[0-9a-fA-F]{64}\z") & (F.col("transactionHash") != "")
+        & F.col("logIndex").rlike(r"^(0[xX])?[0-9a-fA-F]{1,15}\z") & (F.lower("address") == contract)
+    )
+    low = lambda i: F.lower(F.concat(F.lit("0x"), F.substring(topic(i), 27, 40)))
     out = shaped.select(
         "chain_id", F.lower("address").alias("token_contract"), F.col("transactionHash").alias("tx_hash"),
         hex_number(F.col("logIndex")).alias("event_index"), hex_number(F.col("blockNumber")).alias("block_height"),
         hex_number(F.col("transactionIndex")).alias("index_in_block"),
-        topic_address(F.get(t, F.lit(1))).alias("from_address"), topic_address(F.get(t, F.lit(2))).alias("to_address"),
-        F.when(F.length("data") == 66, amounts.from_hex(word(F.col("data")))).alias("amount_base_units"),
+        low(1).alias("from_address"), low(2).alias("to_address"),
+        amounts.from_hex(word(F.col("data"))).alias("amount_base_units"),
         F.when(F.coalesce("removed", F.lit(False)), "removed").otherwise("unknown").alias("confirmation_state"),
     )
-    complete = out.filter(
-        F.col("from_address").isNotNull() & F.col("to_address").isNotNull() & F.col("amount_base_units").isNotNull()
-        & (F.col("tx_hash") != "") & F.col("event_index").isNotNull() & (F.col("token_contract") == contract)
-    )
-    return complete.select(
+    return out.select(
         F.concat_ws(":", F.lit("eip155"), "chain_id", "tx_hash", F.col("event_index").cast("string")).alias("event_reference"),
         "*", F.lit("transfer").alias("event_kind"), F.lit("unknown").alias("execution_status"),
         (F.col("block_height").isNull() | F.col("index_in_block").isNull()).alias("ordering_ambiguous"),
