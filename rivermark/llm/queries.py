@@ -1,3 +1,3 @@
 """Importing this module registers the queries of all operators."""
 
-from rivermark.llm import exact_dedup, mixing, packing  # noqa: F401
+from rivermark.llm import exact_dedup, mixing, near_dedup, packing, quality  # noqa: F401
