@@ -27,6 +27,7 @@ from rivermark.registry import query
 from rivermark.scale import dim_join
 
 SEED, PIECE = 20, 16.0
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_order")
 
 
 def _uniform(text: Column) -> Column:
@@ -75,9 +76,8 @@ def replicated(
     ))
     copies = drawn.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     order = F.md5(F.concat(F.col("mix_doc"), F.lit(":copy:"), F.col("mix_copy").cast("string")))
-    added = ["mix_rate", "mix_copies", "mix_copy", "mix_order"]
-    own = [F.col(f"mix_row.`{c}`") for c in docs.columns if c not in added]
-    return copies.withColumn("mix_order", order).select(*own, *added)
+    own = [F.col(f"mix_row.`{c}`") for c in docs.columns if c not in ADDED]
+    return copies.withColumn("mix_order", order).select(*own, *ADDED)
 
 
 def mixed(
