@@ -1,3 +1,3 @@
 """Importing this module registers the queries of all operators."""
 
-from rivermark.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets  # noqa: F401
+from rivermark.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, secrets, tokens, toxicity  # noqa: F401
