@@ -1,3 +1,14 @@
 """Importing this module registers the queries of all operators."""
 
-from rivermark.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, secrets, tokens, toxicity  # noqa: F401
+from rivermark.llm import (  # noqa: F401
+    exact_dedup,
+    html_extract,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    tokens,
+    toxicity,
+)
