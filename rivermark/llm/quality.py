@@ -82,24 +82,25 @@ def counts(docs: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFra
     )).drop("repeats", "again")
 
 
-def _vote(bad: str, good: str) -> Column:
-    """1 bad, 2 good, 0 abstains."""
-    return F.expr(f"case when {bad} then 1 when {good} then 2 else 0 end")
-
-
+#: Per rule what it votes bad and what it votes good on; else it abstains.
 RULES = {
-    "length": _vote("n_words < 20", "n_words >= 30"),
-    "word_length": _vote("word_chars < 2.5 * n_words or word_chars > 11 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
-    "symbols": _vote("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "dup_lines": _vote("n_lines > 3 and 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
-    "repeats": _vote("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 2 * n_words"),
-    "stop_words": _vote("n_words >= 30 and n_stop < 2", "n_stop >= 2"),
-    "upper": _vote("2 * n_upper > word_chars", "5 * n_upper < word_chars"),
-    "variety": _vote("n_words >= 30 and 10 * n_distinct < n_words", "4 * n_distinct >= n_words"),
-    "lines": _vote("n_lines > 5 and n_words < 2 * n_lines", "n_words >= 5 * n_lines"),
+    "length": ("n_words < 20", "n_words >= 30"),
+    "word_length": ("word_chars < 2.5 * n_words or word_chars > 11 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
+    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "dup_lines": ("n_lines > 3 and 10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
+    "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 2 * n_words"),
+    "stop_words": ("n_words >= 30 and n_stop < 2", "n_stop >= 2"),
+    "upper": ("2 * n_upper > word_chars", "5 * n_upper < word_chars"),
+    "variety": ("n_words >= 30 and 10 * n_distinct < n_words", "4 * n_distinct >= n_words"),
+    "lines": ("n_lines > 5 and n_words < 2 * n_lines", "n_words >= 5 * n_lines"),
 }
 
 
+def _votes() -> list[Column]:
+    """v0, v1, ...: 1 bad, 2 good, 0 abstains."""
+    return [F.expr(f"case when {bad} then 1 when {good} then 2 else 0 end").alias(f"v{j}") for j, (bad, good) in enumerate(RULES.values())]
+
+
 def _start() -> tuple[float, list[list[list[float]]]]:
     """Share of good documents, and per rule for bad and good ones how often it abstains, votes bad, votes good."""
     return 0.8, [[[0.2, 0.3, 0.5], [0.2, 0.002, 0.798]] for _ in RULES]
@@ -146,7 +147,7 @@ def verdicts(docs: DataFrame, keep: float = KEEP, stop_words: tuple[str, ...] =
     """doc_id, the base counts, base_failed, quality (the posterior) and kept."""
     found = counts(docs, stop_words).withColumn(
         "base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words")
-    ).select("*", *[v.alias(f"v{j}") for j, v in enumerate(RULES.values())])
+    ).select("*", *_votes())
     voted = staged(found.drop("n_lines", "n_upper", "n_distinct", "n_stop"))
     quality = _posterior(*fit(voted))
     return voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep)).select(
@@ -162,11 +163,11 @@ def good_documents(docs: DataFrame, keep: float = KEEP, stop_words: tuple[str, .
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     carried = docs.select(row.alias("doc_id"), "text")
-    voted = counts(docs, stop_words).select(*[v.alias(f"v{j}") for j, v in enumerate(RULES.values())])
+    voted = counts(docs, stop_words).select(*_votes())
     quality = _posterior(*fit(voted))
     # The unused id keeps the filter above the projection, where the counts exist once.
     judged = counts(carried, stop_words).select(
-        "*", *[v.alias(f"v{j}") for j, v in enumerate(RULES.values())], F.monotonically_increasing_id().alias("at")
+        "*", *_votes(), F.monotonically_increasing_id().alias("at")
     )
     fine = F.expr(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEATED} * n_words")
     return judged.filter(fine & (quality >= keep)).select("doc_id.*")
