@@ -83,7 +83,7 @@ def hex_to_base58(hex50: Column) -> Column:
 def canonical_tron(value: Column) -> tuple[Column, Column]:
     """``(41-hex key, reason)``; exactly one of the two is NULL."""
     v = F.trim(value)
-    bare = F.when(F.lower(v).startswith("0x"), F.substring(v, 3, 1000)).otherwise(v)
+    bare = F.when(F.lower(v).startswith("0x"), F.substr(v, F.lit(3))).otherwise(v)
     is_hex = bare.rlike(r"^[0-9a-fA-F]{42}\z")
     raw = base58_to_hex(v)
     payload = F.substring(raw, 1, 42)

@@ -117,20 +117,26 @@ def approx(v: Column) -> Column:
 
 
 def from_hex(word: Column) -> Column:
-    """64 hex digits to a decimal string, 32 bits at a time."""
-    zero = F.struct(*(F.lit(0).cast(DEC).alias(p) for p in ("hi", "mid", "lo")))
-    shift = F.lit(2**32).cast("decimal(11,0)")
-
-    def push(acc: Column, i: Column) -> Column:
-        chunk = F.conv(F.substring(word, i * 8 + F.lit(1), F.lit(8)), 16, 10).cast("decimal(10,0)")
-        up = {p: (acc[p] * shift).cast(DEC) for p in ("hi", "mid", "lo")}
-        return _carry(up["hi"], up["mid"], (up["lo"] + chunk).cast(DEC))
-
-    whole = F.aggregate(F.sequence(F.lit(0), F.lit(7)), zero, push)
+    """64 hex digits to a decimal string.
+
+    The word is eight 32-bit chunks times constant powers; each power is cut into limbs,
+    so three sums of eight products and one carry give the number.
+    """
+    chunks = [F.conv(F.substring(word, 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)") for i in range(8)]
+    sums = []
+    for place in (2, 1, 0):
+        total = F.lit(0).cast(DEC)
+        for i, chunk in enumerate(chunks):
+            digits = 2 ** (32 * (7 - i)) // 10 ** (BASE_DIGITS * place) % 10**BASE_DIGITS
+            if digits:
+                total = (total + chunk * F.lit(str(digits)).cast("decimal(26,0)")).cast(DEC)
+        sums.append(total)
+    raw = F.struct(*(s.alias(p) for s, p in zip(sums, ("hi", "mid", "lo"))))
     small = F.conv(F.substring(word, 49, 16), 16, 10)
+    large = let(raw, lambda v: let(_carry(v["hi"], v["mid"], v["lo"]), render))
     return F.when(
         word.rlike(r"^[0-9a-fA-F]{64}\z"),
-        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(let(whole, render)),
+        F.when(F.substring(word, 1, 48) == "0" * 48, small).otherwise(large),
     )
 
 

@@ -61,7 +61,7 @@ def decode_message(message: Column) -> Column:
 
 def immutable(message: Column) -> Column:
     """The protected bytes of a message, including whatever follows the fixed body."""
-    return F.concat(*[part(message, a, b - a) for a, b in IMMUTABLE], F.substring(message, 1 + 2 * 376, 1_000_000))
+    return F.concat(*[part(message, a, b - a) for a, b in IMMUTABLE], F.substr(message, F.lit(1 + 2 * 376)))
 
 
 def _topic(log: Column, i: int) -> Column:
@@ -91,7 +91,7 @@ def burns(receipts: DataFrame, network: str = "ethereum") -> DataFrame:
     )
     rows = paired.select("tx_hash", "block_number", F.size("s").alias("messages"), F.size("b").alias("deposits"), F.posexplode("p").alias("pos", "x"))
     data = F.col("x.b.data")
-    length = hex_number(F.substring(word(F.col("x.s.data"), 1), 50, 15))
+    length = hex_number(word(F.col("x.s.data"), 1))
     rows = rows.withColumn("message", F.substring(F.col("x.s.data"), F.lit(131), (length * 2).cast("int")))
     fits = (F.length("message") >= 2 * 376) & (F.size("x.b.topics") >= 4) & (F.length(data) >= 2 + 64 * 6)
     ref = lambda log: F.concat_ws(":", F.lit(f"eip155:{CHAIN_IDS[network]}"), "tx_hash", hex_number(log["logIndex"]).cast("string"))
@@ -102,7 +102,7 @@ def burns(receipts: DataFrame, network: str = "ethereum") -> DataFrame:
         _address_word(F.substring(_topic(F.col("x.b"), 2), 3, 64)).alias("depositor"),
         F.lower("x.b.address").alias("burn_contract"),
         amounts.from_hex(word(data, 0)).alias("amount"), _address_word(word(data, 1)).alias("mint_recipient"),
-        hex_number(F.substring(word(data, 2), 50, 15)).alias("destination_domain"), amounts.from_hex(word(data, 5)).alias("max_fee"),
+        hex_number(word(data, 2)).alias("destination_domain"), amounts.from_hex(word(data, 5)).alias("max_fee"),
     )
 
 
@@ -119,7 +119,7 @@ def receives(receipts: DataFrame, network: str = "base") -> DataFrame:
     return one.select(
         "tx_hash", F.when(hex_number(F.col("status")) == 1, "success").otherwise("reverted").alias("execution_status"), "block_number", "received", "mints",
         F.lpad(F.substring(_topic(F.col("x"), 2), 3, 64), 64, "0").alias("nonce"),
-        hex_number(F.substring(word(F.col("x.data"), 0), 50, 15)).alias("source_domain"),
+        hex_number(word(F.col("x.data"), 0)).alias("source_domain"),
         F.substring(F.col("x.data"), 3 + 64 * 4, 2 * 228).alias("body"),
         ref(F.col("x")).alias("receive_reference"), ref(F.col("m")).alias("mint_reference"),
         _address_word(F.substring(F.coalesce(_topic(F.col("m"), 1), _topic(F.col("u"), 2)), 3, 64)).alias("mint_recipient"),

@@ -105,10 +105,18 @@ def resource_evidence_rows(history: DataFrame, provider_cap: int, funder_cap: in
 
 
 def resource_current_rows(delegations: DataFrame, candidates: DataFrame, cap: int) -> DataFrame:
-    """Current delegations towards candidates as undated evidence rows."""
+    """Current delegations towards candidates as undated evidence rows.
+
+    The cap counts providers; all details of the providers that are kept stay, and
+    ``truncated_by_provider_limit`` says that some were left out.
+    """
     mine = delegations.withColumnRenamed("receiver", WALLET).join(candidates.select(WALLET), WALLET, "left_semi")
-    order = Window.partitionBy(WALLET).orderBy("sponsor", "resource")
-    top = mine.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap).drop("_rn")
+    # Providers are folded to one row each before they are ranked.
+    providers = mine.select(WALLET, "sponsor").distinct()
+    order = Window.partitionBy(WALLET).orderBy("sponsor")
+    first = providers.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap).drop("_rn")
+    totals = providers.groupBy(WALLET).agg((F.count(F.lit(1)) > cap).alias("truncated_by_provider_limit"))
+    top = mine.join(first, [WALLET, "sponsor"], "left_semi").join(totals, WALLET)
     return top.withColumn(
         "operation_type", F.when(F.col("resource").isNull(), "current_index").otherwise("current_detail")
     ).withColumn("temporal_status", F.lit("current_state_only"))

@@ -316,7 +316,7 @@ def _(spark, sf):
 @query("evidence_levels", sql(OBS, _RES, ACCOUNTS, body="""
 , cd AS (SELECT candidate_address, anchor_address, incoming_truncated OR outgoing_truncated AS tr, user_id FROM accounts),
 anc AS (SELECT 'p' || (s_suppkey%30) AS a, min(s_suppkey) AS f, max(s_suppkey) AS u FROM supplier WHERE s_suppkey%30 < 15 GROUP BY 1),
-p AS (SELECT candidate_address, count(*) AS n, min(t) AS f, max(t) AS u FROM obs WHERE direction='outgoing' GROUP BY 1), b AS (SELECT candidate_address, count(*) AS n, min(t) AS f, max(t) AS u FROM obs WHERE user_id%4<>0 GROUP BY 1),
+p AS (SELECT candidate_address, count(*) AS n, min(t) AS f, max(t) AS u FROM obs WHERE direction='outgoing' GROUP BY 1), b AS (SELECT candidate_address, count(*) AS n, min(t) AS f, max(t) AS u FROM obs GROUP BY 1),
 r AS (SELECT candidate_address, count(*) AS n, min(t) AS f, max(t) AS u FROM res WHERE rel<>'token_transfer' GROUP BY 1)
 SELECT candidate_address, 'anchor_only' AS level, CASE WHEN a IS NOT NULL THEN 'complete' ELSE 'not_applicable' END AS status, anc.f AS scope_start, anc.u AS scope_end, CASE WHEN a IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS evidence_rows FROM cd LEFT JOIN anc ON a = anchor_address
 UNION ALL SELECT candidate_address, 'chronological_tracing', CASE WHEN n>0 THEN 'complete' ELSE 'not_applicable' END, f, u, coalesce(n,0) FROM cd LEFT JOIN p USING (candidate_address)
@@ -336,7 +336,7 @@ def _(spark, sf):
 
     resources = src.resource_rows(spark, sf).filter("relationship_type <> 'token_transfer'")
     return out.evidence_levels(
-        acc, anchors, part(rows.filter("direction = 'outgoing'")), part(rows.filter("user_id % 4 <> 0")).join(cut, "candidate_address"), part(resources).join(cut, "candidate_address")
+        acc, anchors, part(rows.filter("direction = 'outgoing'")), part(rows).join(cut, "candidate_address"), part(resources).join(cut, "candidate_address")
     )
 
 

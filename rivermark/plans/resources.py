@@ -97,13 +97,14 @@ lead_p AS (SELECT sponsor, receiver, count(*) AS observations, bool_or(cur) AS u
 
 
 @query("resource_current_rows", sql(_DEL, body="""
-SELECT receiver AS candidate_address, sponsor, resource, CASE WHEN resource IS NULL THEN 'current_index' ELSE 'current_detail' END AS operation_type
-FROM (SELECT DISTINCT sponsor, receiver, resource FROM del WHERE cur) WHERE receiver IN (SELECT 'w' || user_id FROM events)
-QUALIFY row_number() OVER (PARTITION BY receiver ORDER BY sponsor, resource NULLS FIRST) <= 3"""))
+SELECT receiver AS candidate_address, sponsor, resource, CASE WHEN resource IS NULL THEN 'current_index' ELSE 'current_detail' END AS operation_type,
+ max(place) OVER (PARTITION BY receiver) > 2 AS truncated_by_provider_limit
+FROM (SELECT *, dense_rank() OVER (PARTITION BY receiver ORDER BY sponsor) AS place FROM (SELECT DISTINCT sponsor, receiver, resource FROM del WHERE cur) WHERE receiver IN (SELECT 'w' || user_id FROM events))
+QUALIFY place <= 2"""))
 def _(spark, sf):
     current = _delegations(spark, sf).filter("basis = 'current_state'").select("sponsor", "receiver", "resource").distinct()
     wanted = src.accounts(spark, sf).selectExpr("concat('w', user_id) AS candidate_address")
-    return res.resource_current_rows(current, wanted, 3).select("candidate_address", "sponsor", "resource", "operation_type")
+    return res.resource_current_rows(current, wanted, 2).select("candidate_address", "sponsor", "resource", "operation_type", "truncated_by_provider_limit")
 
 
 @query("backfill_operation_type", sql(*R, body="""

@@ -14,10 +14,13 @@ TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523
 ZERO_TOPIC = "0x" + "0" * 64
 
 
+#: A hex number of any length whose value fits a BIGINT.
+HEX_NUMBER = r"^(0[xX])?0*([0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15})\z"
+
+
 def hex_number(c: Column) -> Column:
-    """Hex text to BIGINT; NULL when it is not a number of at most 15 digits."""
-    bare = F.regexp_replace(c, "^0[xX]", "")
-    return F.when(bare.rlike(r"^[0-9a-fA-F]{1,15}\z"), F.conv(bare, 16, 10).cast("bigint"))
+    """Hex text of any length to BIGINT; NULL when it is no number or above the range."""
+    return F.when(c.rlike(HEX_NUMBER), F.conv(F.regexp_extract(c, HEX_NUMBER, 2), 16, 10).cast("bigint"))
 
 
 def word(data: Column, index: int = 0) -> Column:
@@ -36,7 +39,7 @@ def decode_transfer_logs(logs: DataFrame, contract: Column) -> DataFrame:
     shaped = logs.filter(
         (F.size("topics") == 3) & (F.lower(topic(0)) == TRANSFER_TOPIC) & plain(topic(1)) & plain(topic(2))
         & F.col("data").rlike(r"^0x[0-9a-fA-F]{64}\z") & (F.col("transactionHash") != "")
-        & F.col("logIndex").rlike(r"^(0[xX])?[0-9a-fA-F]{1,15}\z") & (F.lower("address") == contract)
+        & F.col("logIndex").rlike(HEX_NUMBER) & (F.lower("address") == contract)
     )
     low = lambda i: F.lower(F.concat(F.lit("0x"), F.substring(topic(i), 27, 40)))
     out = shaped.select(
@@ -55,8 +58,9 @@ def decode_transfer_logs(logs: DataFrame, contract: Column) -> DataFrame:
 
 
 def union_dedupe_logs(incoming: DataFrame, outgoing: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Both directions as one set of events, with block time."""
-    events = incoming.unionByName(outgoing).dropDuplicates(["event_reference"])
+    """Both directions as one set of events, with block time; of unequal copies the smallest row stays."""
+    both = incoming.unionByName(outgoing)
+    events = both.groupBy("event_reference").agg(F.min(F.struct(*both.columns)).alias("r")).select("r.*")
     return events.join(blocks.select("chain_id", "block_height", "block_time"), ["chain_id", "block_height"], "left")
 
 

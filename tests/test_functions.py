@@ -91,3 +91,12 @@ def test_strictly_after(spark):
     df = spark.createDataFrame(rows, "t long, s string, t0 long, s0 string, want boolean")
     got = df.select("want", strictly_after(F.col("t"), F.col("s"), F.col("t0"), F.col("s0")).alias("got"))
     assert all(r.want == r.got for r in got.collect())
+
+
+def test_hex_numbers_of_any_length(spark):
+    from rivermark.sources.chainlogs import hex_number
+
+    rows = [("0x0000000000000000000001", 1), ("0X" + "0" * 64 + "ff", 255), ("7fffffffffffffff", 2**63 - 1), ("8000000000000000", None),
+            ("f" * 64, None), ("0x", None), ("", None), (None, None), ("0x1g", None), ("0", 0), ("00", 0)]
+    df = spark.createDataFrame(rows, "h string, n long")
+    assert all(r.n == r.got for r in df.select("n", hex_number(F.col("h")).alias("got")).collect())

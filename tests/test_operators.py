@@ -124,3 +124,37 @@ def test_stream_reread_retraction_and_restart(spark, tmp_path):
     batch = spark.read.schema(schema).parquet(src)
     states = monitor.alert_states(monitor.watched(batch, watches))
     assert sorted((r.event_reference, r.poll_time.second, r.change) for r in states.collect()) == [g[:3] for g in got]
+
+
+def test_whole_words_and_whole_hooks(spark):
+    """A foreign domain behind high digits is no match, and hook bytes count to the last one."""
+    from rivermark.operators import bridge
+    from rivermark.sources.chainlogs import hex_number, word
+
+    data = spark.createDataFrame([("0x" + "f" * 10 + "0" * 53 + "6",), ("0x" + "0" * 63 + "6",)], "d string")
+    assert [r[0] for r in data.select(hex_number(word(F.col("d")))).collect()] == [None, 6]
+    fixed = "0" * (2 * 376)
+    pair = spark.createDataFrame([(fixed + "a" * 1_000_001 + "b", fixed + "a" * 1_000_001 + "c")], "x string, y string")
+    assert not pair.select(bridge.immutable(F.col("x")) == bridge.immutable(F.col("y"))).first()[0]
+
+
+def test_provider_cap_keeps_whole_providers(spark):
+    from rivermark.operators import resources
+
+    held = [("s1", "energy"), ("s1", "bandwidth"), ("s1", None), ("s2", "energy"), ("s3", "energy")]
+    rows = spark.createDataFrame([(s, "w", r) for s, r in held], "sponsor string, receiver string, resource string")
+    who = spark.createDataFrame([("w",)], "candidate_address string")
+    for cap, n, cut in ((1, 3, True), (2, 4, True), (3, 5, False)):
+        got = resources.resource_current_rows(rows, who, cap).collect()
+        assert len(got) == n and all(r.truncated_by_provider_limit == cut for r in got)
+
+
+def test_star_schema_keeps_unequal_events(spark):
+    from rivermark.sources import bundles
+
+    names = "network_key string, event_reference string, tx_hash string, token_contract string, from_address string, to_address string, amount_base_units string, ordering_ambiguous boolean, event_index long"
+    rows = [("n", f"r{k}", "t", "c", "a", "b", "1", False, k) for k in range(50)] + [("n", "r1", "t", "c", "a", "b", "2", False, 1)]
+    star = bundles.star_schema(spark.createDataFrame(rows, names))
+    facts = star["events"].collect()
+    assert len(facts) == 50 and {len(r.event_key) for r in facts} == {64}
+    assert [r.amount_base_units for r in facts].count("2") == 0
