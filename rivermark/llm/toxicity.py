@@ -160,7 +160,7 @@ def train(
 def _newton(x: np.ndarray, y: np.ndarray, change: np.ndarray, swap: float, steps: int = 25) -> np.ndarray:
     """Weights of the penalised logistic loss."""
     ridge = np.full(x.shape[1], RIDGE)
-    ridge[-2:] = 1e-3
+    ridge[-2] = 1e-3  # the constant is free
     fixed = np.diag(ridge) + swap * (change.T.astype(np.float64) @ change)
     w = np.zeros(x.shape[1])
 

@@ -51,12 +51,12 @@ def toxic_set(spark, n=400):
         words = [f"w{r.choice('abcdefghij')}{r.choice('klmnop')}" for _ in range(30)]
         toxic = r.random() < 0.3
         if toxic:
-            words += r.sample(["idiot", "scum", "trash", "moron"], 2)
+            words[:2] = r.sample(["idiot", "scum", "trash", "moron"], 2)
         # The group is named in toxic examples far more often than in others.
         if r.random() < (0.8 if toxic else 0.05):
-            words.append("muslim")
+            words[2] = "muslim"
         elif r.random() < 0.3:
-            words.append("christian")
+            words[2] = "christian"
         r.shuffle(words)
         rows.append((k, " ".join(words)))
         labels.append((k, int(toxic)))
