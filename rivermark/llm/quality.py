@@ -165,12 +165,13 @@ def good_documents(docs: DataFrame, keep: float = KEEP, stop_words: tuple[str, .
     carried = docs.select(row.alias("doc_id"), "text")
     voted = counts(docs, stop_words).select(*_votes())
     quality = _posterior(*fit(voted))
-    # The unused id keeps the filter above the projection, where the counts exist once.
+    # A filter that asks for the row's number stays above the projection; pushed below, it
+    # would compute the counts anew at every mention.
     judged = counts(carried, stop_words).select(
         "*", *_votes(), F.monotonically_increasing_id().alias("at")
     )
     fine = F.expr(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEATED} * n_words")
-    return judged.filter(fine & (quality >= keep)).select("doc_id.*")
+    return judged.filter(fine & (quality >= keep) & (F.col("at") >= 0)).select("doc_id.*")
 
 
 @query("op10_quality_rules")
