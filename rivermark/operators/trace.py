@@ -53,12 +53,19 @@ def _step() -> Column:
 
 
 def prepare(transfers: DataFrame) -> DataFrame:
-    """Slim, identity-unique event table that the walk reads at every level."""
+    """Slim, identity-unique event table that the walk reads at every level.
+
+    Of unequal rows with one identity the smallest stays, whatever the partitioning.
+    """
     unknown = (
         _is("event_kind", "transfer") & positive()
         & ~_is("execution_status", "failed", "reverted") & ~_is("confirmation_state", "removed")
     )
-    return transfers.dropDuplicates(["network_key", "event_reference"]).select(
+    identity = ["network_key", "event_reference"]
+    read = ["token_contract", "from_address", "to_address", "amount_base_units", "block_time", "chain_sequence",
+            "ordering_ambiguous", "event_kind", "execution_status", "confirmation_state"]
+    once = transfers.groupBy(*identity).agg(F.min(F.struct(*read)).alias("r")).select(*identity, "r.*")
+    return once.select(
         "network_key", "token_contract", "event_reference", "from_address", "to_address",
         "amount_base_units", "block_time",
         F.coalesce("chain_sequence", F.lit("")).alias("seq"),
@@ -68,8 +75,13 @@ def prepare(transfers: DataFrame) -> DataFrame:
     )
 
 
-def locate_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds with their event. A seed event outside the table stays unavailable."""
+def locate_seeds(seeds: DataFrame, edges: DataFrame, cutoff: Column) -> DataFrame:
+    """Seeds with their event.
+
+    The event is looked up in the outgoing history of the seed's own address between its
+    ``analysis_start`` and the cutoff; anywhere else it is unavailable, and the window is
+    never widened.
+    """
     found = edges.select(
         "network_key", "token_contract", F.col("event_reference").alias("seed_event_reference"),
         F.struct("event_reference", "from_address", "to_address", "amount_base_units", "block_time",
@@ -77,7 +89,12 @@ def locate_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     )
     # Seeds are the smaller side by nature; the event table is not moved for them.
     keys = ["network_key", "token_contract", "seed_event_reference"]
-    hits = dim_join(found, seeds.select("trace_id", *keys), keys, "inner", ["seed_event_reference"])
+    begin = F.col("analysis_start") if "analysis_start" in seeds.columns else F.lit(None).cast("timestamp")
+    wanted = seeds.select("trace_id", *keys, F.col("seed_address").alias("_from"), begin.alias("_start"))
+    hits = dim_join(found, wanted, keys, "inner", ["seed_event_reference"]).filter(
+        (F.col("e.from_address") == F.col("_from")) & F.coalesce(F.col("e.block_time") <= cutoff, F.lit(True))
+        & F.coalesce(F.col("e.block_time") >= F.col("_start"), F.lit(True))
+    )
     joined = seeds.join(hits.select("trace_id", "e"), "trace_id", "left")
     return joined.withColumn(
         "state",
@@ -212,7 +229,7 @@ def trace(
     """
     edges = cut(prepare(transfers))
     folded = cut(claims_by_address(claims))
-    located = cut(locate_seeds(seeds, edges))
+    located = cut(locate_seeds(seeds, edges, cutoff))
     untimed = edges.filter("block_time IS NULL").limit(1).count() > 0
     states = _start(located)
     observed: list[DataFrame] = []
@@ -331,8 +348,7 @@ def _assemble(located, observed, endings, limits, used) -> Trace:
         header.select(
             "trace_id", "network_key", "token_contract", "seed_address", "seed_event_reference", "state",
             F.when(F.col("state") == "unavailable", "unavailable").when(partial, COVERAGE[1]).otherwise(COVERAGE[0]).alias("coverage_status"),
-            F.when(F.col("state") == "rejected", "not_established").when(F.col("state") == "discovery", "not_established")
-            .otherwise("seed_event").alias("case_flow_linkage"),
+            F.when(F.col("state") == "followed", "established").otherwise("not_established").alias("case_flow_linkage"),
             F.coalesce("hops_used", F.lit(0)).cast("long").alias("hops_used"),
             F.coalesce("events_examined", F.lit(0)).cast("long").alias("events_examined"),
         ),

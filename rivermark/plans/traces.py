@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivermark.operators.trace import Trace, trace
-from rivermark.plans.base import LABELS, LEDGER, SPENT, sql
+from rivermark.operators.trace import Trace, locate_seeds, prepare, trace
+from rivermark.plans.base import LABELS, LEDGER, SPENDABLE, SPENT, sql
 from rivermark.registry import query
 from rivermark.scale import cut
 from rivermark.sources import tables as src
@@ -130,12 +130,28 @@ def _(spark, sf):
 
 
 @query("trace_headers", sql(*ENDINGS, _LIMITS, body=f"""
-SELECT s.trace_id, s.r AS seed_event_reference, CASE WHEN EXISTS (SELECT 1 FROM endings e WHERE e.trace_id = s.trace_id AND boundary_reason='hop_limit')
+SELECT s.trace_id, s.r AS seed_event_reference, 'followed' AS state, 'established' AS case_flow_linkage, CASE WHEN EXISTS (SELECT 1 FROM endings e WHERE e.trace_id = s.trace_id AND boundary_reason='hop_limit')
   OR EXISTS (SELECT 1 FROM lim WHERE lim.trace_id = s.trace_id AND code <> 'conflicting_service_labels') THEN 'partial' ELSE 'complete_within_scope' END AS coverage_status,
  (SELECT CAST(max(hop) AS BIGINT) FROM endings e WHERE e.trace_id = s.trace_id) AS hops_used,
  (SELECT count(*) FROM st x JOIN ledger b ON b.from_address = x.address AND b.t >= x.t AND b.t <= {src.CUTOFF}
    WHERE x.trace_id = s.trace_id AND x.hop < {HOPS} AND NOT x.stop) AS events_examined FROM seed s"""))
 def _(spark, sf):
     return traces(spark, sf).header.select(
-        "trace_id", "seed_event_reference", "coverage_status", "hops_used", "events_examined"
+        "trace_id", "seed_event_reference", "state", "case_flow_linkage", "coverage_status", "hops_used", "events_examined"
     )
+
+
+@query("seed_states", sql(LEDGER, body=f"""
+SELECT DISTINCT 'q:' || event_reference AS trace_id, CASE WHEN order_key % 5 = 4 THEN 'discovery' WHEN order_key % 5 = 1 AND to_address <> from_address THEN 'unavailable'
+ WHEN t > {src.EPOCH + 300000} OR (order_key % 5 = 2 AND t < {src.EPOCH + 100000}) THEN 'unavailable' WHEN {SPENDABLE} THEN 'followed' ELSE 'rejected' END AS state FROM ledger"""))
+def _(spark, sf):
+    """Every event as a reported one: from the receiver, before the start, after the cutoff, unnamed."""
+    ledger = src.ledger(spark, sf)
+    seeds = ledger.selectExpr(
+        "concat('q:', event_reference) AS trace_id", "network_key", "token_contract",
+        "CASE WHEN order_key % 5 = 1 THEN to_address ELSE from_address END AS seed_address",
+        "CASE WHEN order_key % 5 <> 4 THEN event_reference END AS seed_event_reference",
+        f"CASE WHEN order_key % 5 = 2 THEN timestamp_seconds({src.EPOCH + 100000}) END AS analysis_start",
+    ).distinct()
+    cutoff = F.timestamp_seconds(F.lit(src.EPOCH + 300000))
+    return locate_seeds(seeds, prepare(ledger), cutoff).select("trace_id", "state")

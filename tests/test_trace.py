@@ -172,3 +172,13 @@ def test_many_traces_and_hot_cells_agree(spark, monkeypatch):
     plain = shape()
     monkeypatch.setattr(scale, "HOT_ROWS", 3)
     assert shape() == plain
+
+
+@pytest.mark.parametrize("address,t,state,linkage", [
+    ("A", 10, "followed", "established"), ("Z", 10, "unavailable", "not_established"), ("A", END + 40, "unavailable", "not_established"),
+])
+def test_seed_lookup_stays_in_window_and_wallet(spark, address, t, state, linkage):
+    got = run(spark, [ev("s", "A", "B", t), ev("x", "B", "C", t + 1)], address=address)
+    row = got.header.first()
+    assert (row.state, row.case_flow_linkage) == (state, linkage)
+    assert bool(refs(got)) == (state == "followed")
