@@ -18,6 +18,7 @@ SUPPORTED_ROLES = {
     "chain_observation": ("unknown",),
 }
 LEAD_ONLY = ("aggregator_tagpack", "authorized_observation", "chain_observation")
+# States and categories of reviews and controls.
 ACTION_STATES = {"accept": "accepted", "reject": "rejected", "quarantine": "quarantined"}
 TERMINAL = ("accepted", "rejected", "quarantined")
 CONTROL_CATEGORIES = ("self_custody", "frequent_exchange_customer", "payment_service",
@@ -199,25 +200,60 @@ def registration_verdicts(incoming: DataFrame, registry: DataFrame) -> DataFrame
     return j.select(*key, "control_category", verdict.alias("verdict"))
 
 
-def intake_tasks(complaints: DataFrame, assets: DataFrame) -> DataFrame:
-    """Trace tasks of complaints: one per reported wallet and supported asset, once.
-
-    A complaint lists at most 20 wallets, so its tasks stay few; more than the
-    limit refuses the complaint as a whole and the flag says so.
-    """
+def _reports(complaints: DataFrame, assets: DataFrame) -> DataFrame:
+    """Reported wallets with what their network and contract offer; nothing is expanded."""
     w = complaints.select("external_reference", "analysis_start", "analysis_cutoff", F.explode("wallets").alias("w")).select(
         "external_reference", "analysis_start", "analysis_cutoff", "w.*"
     )
+    networks = assets.groupBy("network_key").agg(F.count_if("is_supported").alias("_offered"))
+    named = assets.filter("is_supported").select("network_key", "token_contract").distinct().withColumn("_named", F.lit(1))
+    j = w.join(networks, "network_key", "left").join(named, ["network_key", "token_contract"], "left")
+    matching = F.when(F.col("token_contract").isNull(), F.col("_offered")).otherwise(F.coalesce("_named", F.lit(0)))
+    return j.withColumn("matching", F.coalesce(matching, F.lit(0)))
+
+
+def intake_refusals(complaints: DataFrame, assets: DataFrame) -> DataFrame:
+    """Verdict per complaint: how many tasks it would make, and why it is refused if it is.
+
+    Tasks are counted from the assets of each network, so a complaint that would expand
+    into too many is refused before it expands.
+    """
+    r = _reports(complaints, assets)
+    # Reports of one wallet and seed share tasks: all assets once, or the contracts named.
+    per = r.groupBy("external_reference", "network_key", "address", "seed_event_reference").agg(
+        F.max(F.when(F.col("token_contract").isNull(), F.col("_offered"))).alias("_all"),
+        F.count_distinct(F.when(F.col("_named") == 1, F.col("token_contract"))).alias("_some"),
+        F.max(F.coalesce(F.col("analysis_start") > F.col("analysis_cutoff"), F.lit(False))).alias("_late"),
+        F.max(F.col("_offered").isNull()).alias("_unknown"), F.min("matching").alias("_least"),
+        F.max(F.col("seed_event_reference").isNotNull() & (F.col("matching") != 1)).alias("_vague"),
+    )
+    each = per.groupBy("external_reference").agg(
+        F.sum(F.coalesce("_all", "_some")).alias("tasks"), F.max("_late").alias("late"), F.max("_unknown").alias("unknown"),
+        F.min("_least").alias("least"), F.max("_vague").alias("vague"),
+    )
+    reason = first_reason(
+        (F.col("late"), "start_after_cutoff"), (F.col("unknown"), "unsupported_network"), (F.col("least") == 0, "no_supported_asset"),
+        (F.col("vague"), "seed_needs_one_asset"), (F.col("tasks") > MAX_TASKS, "too_many_tasks"),
+    )
+    return each.select("external_reference", "tasks", reason.alias("reason"))
+
+
+def intake_tasks(complaints: DataFrame, assets: DataFrame) -> DataFrame:
+    """Trace tasks of the accepted complaints: one per reported wallet and supported asset, once."""
+    accepted = intake_refusals(complaints, assets).filter("reason IS NULL").select("external_reference", "tasks")
+    w = complaints.join(accepted, "external_reference").select(
+        "external_reference", "tasks", "analysis_start", "analysis_cutoff", F.explode("wallets").alias("w")
+    ).select("external_reference", "tasks", "analysis_start", "analysis_cutoff", "w.*")
     dim = assets.filter("is_supported").select("network_key", F.col("token_contract").alias("asset_contract"))
     j = w.join(dim, "network_key").filter("token_contract IS NULL OR token_contract = asset_contract")
     task = j.select(
         "external_reference", "network_key", "address", F.col("asset_contract").alias("token_contract"), "seed_event_reference",
-        F.when(F.col("seed_event_reference").isNull(), "address_discovery").otherwise("incident").alias("mode"), "analysis_start", "analysis_cutoff",
+        F.when(F.col("seed_event_reference").isNull(), "address_discovery").otherwise("incident").alias("mode"),
+        "analysis_start", "analysis_cutoff", "tasks",
     ).distinct()
     facts = ["network_key", "address", "token_contract", "seed_event_reference", "mode"]
     printed = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in facts]), 256)
-    n = task.groupBy("external_reference").agg(F.count(F.lit(1)).alias("tasks"))
-    return task.withColumn("fingerprint", printed).join(n, "external_reference").withColumn("accepted", F.col("tasks") <= MAX_TASKS)
+    return task.withColumn("fingerprint", printed)
 
 
 def intake_dedupe(incoming: DataFrame, existing: DataFrame) -> DataFrame:

@@ -190,21 +190,42 @@ def _(spark, sf):
     return reg.registration_verdicts(incoming, registry)
 
 
-@query("intake_tasks", """
-WITH a AS (SELECT 'n' || (p_partkey%40) AS network_key, 'a' || p_partkey AS c FROM part WHERE p_size%2=0),
-w AS (SELECT 'c' || (o_custkey%500) AS ref, 'n' || (o_custkey%40) AS network_key, 'w' || o_custkey AS address, CASE WHEN o_orderkey%3=0 THEN 'a' || (o_custkey%40 + 40*(o_orderkey%10)) END AS tc, CASE WHEN o_orderkey%4=0 THEN 'e' || o_orderkey END AS seed FROM orders),
-t AS (SELECT DISTINCT ref, network_key, address, c, seed FROM w JOIN a USING (network_key) WHERE tc IS NULL OR tc = c)
-SELECT ref AS external_reference, address, c AS token_contract, seed AS seed_event_reference, CASE WHEN seed IS NULL THEN 'address_discovery' ELSE 'incident' END AS mode, count(*) OVER (PARTITION BY ref) AS tasks, count(*) OVER (PARTITION BY ref) <= 60 AS accepted,
- sha256(network_key || '|' || address || '|' || c || '|' || coalesce(seed,'') || '|' || CASE WHEN seed IS NULL THEN 'address_discovery' ELSE 'incident' END) AS fingerprint FROM t""")
-def _(spark, sf):
-    assets = src.table(spark, sf, "part").selectExpr("concat('n', p_partkey % 40) AS network_key", "concat('a', p_partkey) AS token_contract", "p_size % 2 = 0 AS is_supported")
-    # A complaint of the given tables is one order with one reported wallet.
-    complaints = src.table(spark, sf, "orders").selectExpr(
-        "concat('c', o_custkey % 500) AS external_reference", "cast(null as timestamp) AS analysis_start", "cast(null as timestamp) AS analysis_cutoff",
-        "array(named_struct('network_key', concat('n', o_custkey % 40), 'address', concat('w', o_custkey), 'token_contract', CASE WHEN o_orderkey % 3 = 0 THEN concat('a', o_custkey % 40 + 40 * (o_orderkey % 10)) END,"
-        " 'seed_event_reference', CASE WHEN o_orderkey % 4 = 0 THEN concat('e', o_orderkey) END)) AS wallets",
+#: Complaints of up to four neighbouring orders; networks of eight assets, one of forty unsupported.
+_INTAKE = """a AS (SELECT 'n' || (p_partkey // 8) AS network_key, 'a' || p_partkey AS c, p_partkey % 40 <> 7 AS ok FROM part),
+nets AS (SELECT network_key, count(*) FILTER (WHERE ok) AS offered FROM a GROUP BY 1),
+w AS (SELECT 'c' || (o_orderkey // 4) AS ref, (o_orderkey // 4) % 11 = 0 AS late, CASE WHEN o_orderkey % 97 = 0 THEN 'nx' ELSE 'n' || (o_custkey % 20) END AS network_key, 'w' || o_custkey AS address,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'a' || ((o_custkey % 20) * 8 + o_orderkey % 8) END AS tc, CASE WHEN o_orderkey % 12 = 0 OR o_orderkey % 101 = 0 THEN 'e' || o_orderkey END AS seed FROM orders),
+t AS (SELECT DISTINCT ref, network_key, address, c, seed FROM w JOIN a USING (network_key) WHERE ok AND (tc IS NULL OR tc = c)),
+m AS (SELECT w.*, offered, (SELECT count(*) FROM a WHERE a.network_key = w.network_key AND ok AND (w.tc IS NULL OR w.tc = a.c)) AS hits FROM w LEFT JOIN nets USING (network_key)),
+v AS (SELECT ref, (SELECT count(*) FROM t WHERE t.ref = m.ref) AS tasks, CASE WHEN bool_or(late) THEN 'start_after_cutoff' WHEN bool_or(offered IS NULL) THEN 'unsupported_network'
+ WHEN min(hits) = 0 THEN 'no_supported_asset' WHEN bool_or(seed IS NOT NULL AND hits <> 1) THEN 'seed_needs_one_asset' WHEN (SELECT count(*) FROM t WHERE t.ref = m.ref) > 60 THEN 'too_many_tasks' END AS reason FROM m GROUP BY ref)"""
+
+
+def _intake(spark, sf):
+    assets = src.table(spark, sf, "part").selectExpr("concat('n', p_partkey div 8) AS network_key", "concat('a', p_partkey) AS token_contract", "p_partkey % 40 <> 7 AS is_supported")
+    report = (
+        "named_struct('network_key', CASE WHEN o_orderkey % 97 = 0 THEN 'nx' ELSE concat('n', o_custkey % 20) END, 'address', concat('w', o_custkey),"
+        " 'token_contract', CASE WHEN o_orderkey % 3 = 0 THEN concat('a', o_custkey % 20 * 8 + o_orderkey % 8) END,"
+        " 'seed_event_reference', CASE WHEN o_orderkey % 12 = 0 OR o_orderkey % 101 = 0 THEN concat('e', o_orderkey) END)"
+    )
+    # At most four orders share a complaint, so its wallet list stays short.
+    complaints = src.table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 4").alias("k")).agg(F.expr(f"collect_list({report})").alias("wallets")).selectExpr(
+        "concat('c', k) AS external_reference", "wallets", "CASE WHEN k % 11 = 0 THEN timestamp_seconds(2000) ELSE timestamp_seconds(500) END AS analysis_start",
+        "timestamp_seconds(1000) AS analysis_cutoff",
     )
-    return reg.intake_tasks(complaints, assets).select("external_reference", "address", "token_contract", "seed_event_reference", "mode", "tasks", "accepted", "fingerprint")
+    return complaints, assets
+
+
+@query("intake_tasks", sql(_INTAKE, body="""
+SELECT ref AS external_reference, address, c AS token_contract, seed AS seed_event_reference, CASE WHEN seed IS NULL THEN 'address_discovery' ELSE 'incident' END AS mode, tasks,
+ sha256(network_key || '|' || address || '|' || c || '|' || coalesce(seed,'') || '|' || CASE WHEN seed IS NULL THEN 'address_discovery' ELSE 'incident' END) AS fingerprint FROM t JOIN v USING (ref) WHERE reason IS NULL"""))
+def _(spark, sf):
+    return reg.intake_tasks(*_intake(spark, sf)).select("external_reference", "address", "token_contract", "seed_event_reference", "mode", "tasks", "fingerprint")
+
+
+@query("intake_refusals", sql(_INTAKE, body="SELECT ref AS external_reference, tasks, reason FROM v"))
+def _(spark, sf):
+    return reg.intake_refusals(*_intake(spark, sf))
 
 
 @query("intake_dedupe", """
