@@ -64,14 +64,16 @@ def prepare(transfers: DataFrame) -> DataFrame:
     identity = ["network_key", "event_reference"]
     read = ["token_contract", "from_address", "to_address", "amount_base_units", "block_time", "chain_sequence",
             "ordering_ambiguous", "event_kind", "execution_status", "confirmation_state"]
-    once = transfers.groupBy(*identity).agg(F.min(F.struct(*read)).alias("r")).select(*identity, "r.*")
+    # A table without transaction hashes can be walked too.
+    tx = F.col("tx_hash") if "tx_hash" in transfers.columns else F.lit(None).cast("string")
+    once = transfers.groupBy(*identity).agg(F.min(F.struct(*read, tx.alias("tx_hash"))).alias("r")).select(*identity, "r.*")
     return once.select(
         "network_key", "token_contract", "event_reference", "from_address", "to_address",
         "amount_base_units", "block_time",
         F.coalesce("chain_sequence", F.lit("")).alias("seq"),
         (F.col("ordering_ambiguous") | F.col("chain_sequence").isNull()).alias("unordered"),
         spendable().alias("spendable"),
-        (unknown & ~spendable()).alias("unverified"),
+        (unknown & ~spendable()).alias("unverified"), "tx_hash", "execution_status", "confirmation_state",
     )
 
 
@@ -85,7 +87,7 @@ def locate_seeds(seeds: DataFrame, edges: DataFrame, cutoff: Column) -> DataFram
     found = edges.select(
         "network_key", "token_contract", F.col("event_reference").alias("seed_event_reference"),
         F.struct("event_reference", "from_address", "to_address", "amount_base_units", "block_time",
-                 "seq", "spendable").alias("e"),
+                 "seq", "spendable", "tx_hash", "execution_status", "confirmation_state").alias("e"),
     )
     # Seeds are the smaller side by nature; the event table is not moved for them.
     keys = ["network_key", "token_contract", "seed_event_reference"]
@@ -116,7 +118,7 @@ def _start(located: DataFrame) -> DataFrame:
         F.when(seeded, F.coalesce("e.to_address", "seed_address")).otherwise(F.col("seed_address")).alias("address"),
         F.when(seeded, F.col("e.block_time")).otherwise(start).alias("at"),
         F.when(seeded, F.col("e.seq")).otherwise("").alias("at_seq"),
-        F.when(seeded, F.col("e.event_reference")).otherwise("").alias("arrival"),
+        F.when(seeded, F.col("e.event_reference")).otherwise("").alias("arrival"), F.when(seeded, F.col("e.tx_hash")).alias("arrival_tx"),
         F.when(seeded, F.col("e.amount_base_units")).alias("amount"),
         F.when(seeded, key).otherwise(nothing).alias("branch_key"),
         F.lit(0).cast("long").alias("used"),
@@ -194,7 +196,7 @@ def _ending(states: DataFrame, hop: int, cls: str, reason: str | None, status: s
         F.lit(cls).alias("endpoint_class"), F.lit(status).alias("attribution_status"),
         F.lit(reason).cast("string").alias("boundary_reason"), F.lit(hop).cast("long").alias("hop_depth"),
         F.col("branch_key.r").alias("branch_path"),
-        F.nullif("arrival", F.lit("")).alias("arrival_event_reference"),
+        F.nullif("arrival", F.lit("")).alias("arrival_event_reference"), F.col("arrival_tx").alias("arrival_tx_hash"),
         F.col("amount").alias("observed_amount_base_units"),
         lab("entity_name"), lab("entity_type"), lab("assertion_type"), lab("address_role"),
         lab("review_state"), lab("source_reference"),
@@ -310,7 +312,7 @@ def trace(
         states = fresh.filter("to_address IS NOT NULL").join(spent, "trace_id").select(
             "trace_id", "network_key", "token_contract", F.col("to_address").alias("address"),
             F.col("block_time").alias("at"), F.col("seq").alias("at_seq"),
-            F.col("event_reference").alias("arrival"), F.col("amount_base_units").alias("amount"),
+            F.col("event_reference").alias("arrival"), F.col("tx_hash").alias("arrival_tx"), F.col("amount_base_units").alias("amount"),
             "branch_key", F.col("total").alias("used"),
         )
 
@@ -324,7 +326,7 @@ def _assemble(located, observed, endings, limits, used) -> Trace:
         F.col("seed_event_reference").alias("event_reference"),
     )
     obs_cols = ["trace_id", "network_key", "token_contract", "event_reference", "from_address", "to_address",
-                "amount_base_units", "block_time", "seq", "hop_depth", "branch_path"]
+                "amount_base_units", "block_time", "seq", "hop_depth", "branch_path", "tx_hash", "execution_status", "confirmation_state"]
     seed_rows = located.filter("state = 'followed'").select("trace_id", "network_key", "token_contract", "e.*").select(
         "*", F.lit(0).cast("long").alias("hop_depth"), F.array("event_reference").alias("branch_path")
     )

@@ -111,9 +111,7 @@ def _(spark, sf):
 @query("request_identifiers", sql(*ENDINGS, body="""
 SELECT trace_id, tx_hash, count(*) OVER (PARTITION BY trace_id) AS observed_transactions FROM (SELECT DISTINCT trace_id, tx_hash FROM obs_t)"""))
 def _(spark, sf):
-    t = saved(spark, sf)
-    tx = F.concat(F.lit("h"), F.split("event_reference", ":")[1])
-    return att.request_identifiers(t.observed.withColumn("tx_hash", tx))
+    return att.request_identifiers(saved(spark, sf).observed)
 
 
 @query("request_eligibility", sql(*SERV, body="""
