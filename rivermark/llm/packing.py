@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ CACHE = 800_000
 #: Characters of text that are encoded at one time.
 CHUNK = 4_000_000
 #: Fixed values of the tokenizer file: what it calls one pre-token.
-PRE_TOKENS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: White space, printable ASCII and precomposed letters whose lower case is one letter.
 PLAIN = r"^[\t\n\r\x20-~\x{C0}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17F}]*$"
 
@@ -103,32 +104,40 @@ class Encoder:
         # Pre-tokens arrive normalised, split and in the byte alphabet.
         self.pieces.normalizer, self.pieces.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.letters, self.known = _byte_letters(), {}
+        self.pre_tokens = regex.compile(PRE_TOKENS).findall
 
-    def _learn(self, words: list[str], batch: int = 4000) -> None:
-        for at in range(0, len(words), batch):
-            part = words[at : at + batch]
+    def _pieces(self, pieces: list[str], batch: int = 4000) -> None:
+        """Learn the ids of pre-tokens."""
+        for at in range(0, len(pieces), batch):
+            part = pieces[at : at + batch]
             line = " ".join(w.encode().decode("latin-1").translate(self.letters) for w in part)
             got = self.pieces.encode(line, add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            ends = np.searchsorted(np.array(got.word_ids), np.arange(1, len(part) + 1))
-            self.known.update(zip(part, np.split(ids, ends[:-1])))
+            ids = np.array(got.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.array(got.word_ids), np.arange(1, len(part) + 1)) * 4).tolist()
+            begin = 0
+            for w, end in zip(part, ends):
+                self.known[w] = ids[begin:end]
+                begin = end
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space; each is one or a few pre-tokens."""
+        split = [(w,) if w in self.known else self.pre_tokens(w) for w in words]
+        new = list({p for parts in split for p in parts if p not in self.known})
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            split = [self.pre_tokens(w) for w in words]
+            new = list({p for parts in split for p in parts})
+        self._pieces(new)
+        known = self.known
+        return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in split]
 
     def _plain(self, texts: pa.Array) -> list[np.ndarray]:
-        marked = pc.replace_substring_regex(pc.utf8_lower(texts), PRE_TOKENS, r"\1 ")
-        lists = pc.ascii_split_whitespace(marked)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         flat = lists.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        new = [w for w in words if w and w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, [w for w in words if w]
-        self._learn(new)
-        none = np.empty(0, np.uint32)
-        ids = [self.known[w] if w else none for w in words]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        if not len(sizes):
-            return [none] * len(texts)
+        ids = self._words(flat.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begins = np.cumsum(sizes) - sizes
-        every = np.concatenate(ids)
+        every = np.frombuffer(b"".join(ids), "<u4")
         index = flat.indices.to_numpy(zero_copy_only=False)
         lens = sizes[index]
         ends = np.cumsum(lens)
