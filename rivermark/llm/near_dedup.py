@@ -14,12 +14,20 @@ What happens with the documents that meet:
 
 * Equal sets fold to one node first, known by a 128-bit digest of the whole set, so
   exact copies cost nothing further.
-* In every bucket each node is compared with the bucket's smallest node only, so a bucket
-  of k nodes gives k - 1 pairs. Pairs are confirmed by intersecting the full sets.
-* Buckets whose nodes are now in one component are finished. In the others the nodes
-  outside the bucket's largest component are compared with all nodes of other
-  components, in as many slices as keep a slice near ``SLICE`` pairs. Pairs inside a
-  component need no comparison, so nothing that could join two components is left out.
+* In every bucket each node is compared with one pivot, the bucket's smallest node, so a
+  bucket of k nodes gives k - 1 pairs. Pairs are confirmed by intersecting the full sets.
+* Buckets whose nodes are now in one component are finished. In the others every node is
+  compared with ``PIVOTS`` random pivots of other components, then with ``GROWTH`` times as
+  many, until each bucket is one component or all its nodes have been pivots. Pairs
+  inside a component need no comparison, and as components grow from round to round
+  little is left for the large rounds; but nothing that could join two is left out.
+* Before the second comparison the shingles that only one unfinished node has are counted.
+  They can be in no intersection, which bounds the similarity of every pair from above;
+  nodes that cannot reach the limit with any other are finished.
+* The unfinished nodes also get a sketch: the lowest bits of the minima and maxima under
+  1024 more permutations. Pairs whose sketches differ in more places than a similarity at
+  the limit gives, plus six standard deviations, are not compared; a pair at the limit
+  falls to that with a probability of 1e-9.
 
 Defined results: null and empty texts and texts of white space only have no shingles,
 are linked with nothing and keep themselves. A component's id is its smallest id that is
@@ -32,21 +40,22 @@ columns, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivermark.llm.common import staged, table, text_of
 from rivermark.registry import query
 
 SHINGLE, PERCENT = 4, 80
-PERMUTATIONS, ROWS = 64, 4
-#: Pairs compared at one time when buckets hold several components.
-SLICE = 20_000_000
+PERMUTATIONS, ROWS, SKETCH = 64, 4, 1024
+#: Pivots per unfinished bucket after the first, and their growth from round to round.
+PIVOTS, GROWTH = 8, 64
 #: Bytes of text that are hashed at one time.
 CHUNK = 4_000_000
 
@@ -69,6 +78,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE, _BAND = _numbers(2, 1)[0], _numbers(3, 64)
 _SLOPES, _SHIFTS = _numbers(4, PERMUTATIONS)[:, None], _numbers(5, PERMUTATIONS)[:, None]
+_MORE_SLOPES, _MORE_SHIFTS = _numbers(9, SKETCH)[:, None], _numbers(10, SKETCH)[:, None]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +129,13 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         at = upto
 
 
-def _signature(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signature(elements: np.ndarray, slopes: np.ndarray = _SLOPES, shifts: np.ndarray = _SHIFTS) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest value of the set under each permutation."""
-    low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
-    for at in range(0, len(elements), 1024):
-        values = elements[at : at + 1024] * _SLOPES + _SHIFTS
+    low = np.full(len(slopes), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(slopes), np.uint64)
+    step = 65_536 // len(slopes)
+    for at in range(0, len(elements), step):
+        values = elements[at : at + step] * slopes + shifts
         np.minimum(low, values.min(axis=1), out=low)
         np.maximum(high, values.max(axis=1), out=high)
     return low, high
@@ -185,6 +196,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.join(wanted, hit, "left_semi").select("text").mapInArrow(run, "node binary, shingles array<long>")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node and the 64-bit numbers s0, s1, ... that hold the sketch's bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for elements in batch.column("shingles"):
+                low, high = _signature(elements.values.to_numpy().view(np.uint64), _MORE_SLOPES, _MORE_SHIFTS)
+                rows.append(np.packbits((np.concatenate([low, high]) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+            columns = np.stack(rows).T if rows else np.empty((SKETCH // 32, 0), np.int64)
+            arrays = [batch.column("node"), *[pa.array(np.ascontiguousarray(c)) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", *_SKETCH_COLUMNS])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node binary, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS))
+
+
+_SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH // 32)]
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -220,60 +250,83 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def links_of(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, slice_pairs: int = SLICE):
+def _unlike(percent: int) -> int:
+    """Places in which the sketches of a pair at the limit differ at most, but for one pair in 1e9."""
+    n, same = 2 * SKETCH, (1 + percent / 100) / 2
+    return math.ceil(n * (1 - same) + 6 * math.sqrt(n * same * (1 - same)))
+
+
+def links_of(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS):
     """``nodes`` (one row per different set) and ``roots`` (components over nodes)."""
     nodes = staged(
-        signed.filter("n_shingles > 0").groupBy("node")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-        .select("node", "first.doc_id", "first.mark", "n", "bands")
-    )
-    entries = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = staged(
-        entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1").select("bucket", "pivot")
+        signed.filter("n_shingles > 0").groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+        ).select("node", "first.doc_id", "first.mark", "n", "bands")
     )
-    members = staged(entries.join(shared, "bucket"))
-    sets = staged(_sets(docs, nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), size))
-
-    def near(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    star = members.filter(F.col("node") != F.col("pivot.node")).filter(near("n", "pivot.n"))
-    links = staged(_confirmed(star.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
-    roots = staged(components(links))
-    part, parts = 0, 1
-    while part < parts:
-        placed = members.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # r: the shingles that another node may have; all of them until they are counted.
+    facts = ["n", "r"]
+    entries = nodes.select(F.explode("bands").alias("bucket"), "node")
+    shared = staged(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
+    members = staged(entries.join(shared, "bucket", "left_semi").join(nodes.withColumn("r", F.col("n")).select("node", *facts), "node"))
+    wanted = nodes.select("node", "doc_id", "mark").join(members.select("node").distinct(), "node", "left_semi")
+    sets = staged(_sets(docs, wanted, size))
+
+    def alike(a: str, b: str) -> Column:
+        """What two nodes satisfy if they are similar: by what they may share, and by sketch."""
+        most = F.least(F.col(f"{a}r"), F.col(f"{b}r"))
+        near = 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
+        sketched = [c for c in facts if c in _SKETCH_COLUMNS]
+        if not sketched:
+            return near
+        return near & (sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in sketched) <= _unlike(percent))
+
+    def named(df: DataFrame, *more: str) -> DataFrame:
+        """A frame of pivots, its columns told from the members'."""
+        return df.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", *facts, *more)])
+
+    least = staged(members.groupBy("bucket").agg(F.min(F.struct("node", *facts)).alias("p")).select("bucket", "p.*"))
+    star = members.join(named(least), "bucket").filter((F.col("node") != F.col("p_node")) & alike("", "p_"))
+    links = staged(_confirmed(star.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
+    roots, turn = staged(components(links)), 0
+    while True:
+        turn += 1
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        several = staged(
-            sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("home"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
-            .filter("kinds > 1").select("bucket", F.col("home.root").alias("home"), "home.c", "total")
+        several = staged(sizes.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"))
+        open_ = staged(placed.join(several, "bucket"))
+        if open_.isEmpty():
+            return nodes, roots
+        if turn == 1:
+            own = sets.join(open_.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("g"))
+            alone = own.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
+            counted = staged(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
+            open_ = open_.join(counted, "node", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            open_ = staged(open_.filter(100 * F.col("r") >= percent * F.col("n")))
+            wide = staged(_sketches(sets.join(open_.select("node").distinct(), "node", "left_semi")))
+            open_ = staged(open_.join(wide, "node").join(nodes.select("node", "bands"), "node"))
+            facts = [*facts, "bands", *_SKETCH_COLUMNS]
+        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        chosen = named(open_.filter(chance * F.col("total") < pivots), "root")
+        # A pair that shares several buckets is taken in the smallest of them only. While its
+        # roots differ that one is unfinished too, or has compared all its nodes.
+        met = open_.join(chosen, "bucket").filter(
+            (F.col("root") != F.col("p_root")) & alike("", "p_") & (F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket"))
         )
-        open_ = placed.join(several, "bucket")
-        if part == 0:
-            work = several.agg(F.sum(F.expr("(total - c) * total"))).first()[0] or 0
-            parts = -(-work // slice_pairs)
-            if not parts:
-                break
-        # Every slice takes its share of the nodes outside the largest component.
-        outside = open_.filter(F.col("root") != F.col("home")).filter(F.pmod(F.xxhash64("node"), F.lit(parts)) == part)
-        outside = outside.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        met = open_.select("bucket", "node", "n", "root").join(outside, "bucket")
-        pairs = met.filter((F.col("rx") != F.col("root")) & near("n", "nx")).select(
-            F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")
-        ).distinct()
+        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
         found = staged(_confirmed(pairs, sets, percent))
-        links = links.union(found)
+        # Where all nodes were pivots, all pairs have been compared.
+        members = open_.filter(F.col("total") > pivots).select("bucket", "node", *facts)
         if not found.isEmpty():
+            links = links.union(found)
             roots = staged(components(links))
-        part += 1
-    return nodes, roots
+        pivots *= GROWTH
 
 
-def decisions(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, slice_pairs: int = SLICE) -> DataFrame:
+def decisions(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
     """One row per input row: doc_id, mark, n_shingles, component_id, kept."""
     signed = staged(signatures(docs, size))
-    nodes, roots = links_of(docs, signed, size, percent, slice_pairs)
+    nodes, roots = links_of(docs, signed, size, percent, pivots)
     placed = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = staged(placed.join(smallest, "root").select("node", "component_id"))

@@ -84,9 +84,9 @@ def family(r, n, base, changes):
     return out
 
 
-@pytest.mark.parametrize("slice_pairs", [near_dedup.SLICE, 40])
-def test_near(spark, rows_of, slice_pairs):
-    """Families around the limit of 0.8, chains, copies; one slice and many."""
+@pytest.mark.parametrize("pivots", [near_dedup.PIVOTS, 1])
+def test_near(spark, rows_of, pivots):
+    """Families around the limit of 0.8, chains, copies; few rounds and many."""
     r = random.Random(5)
     texts = family(r, 25, 120, 6) + family(r, 25, 60, 5) + family(r, 10, 12, 1) + [t.upper() for t in family(r, 3, 40, 0)]
     chain = [f"c{k}" for k in range(200)]
@@ -94,7 +94,7 @@ def test_near(spark, rows_of, slice_pairs):
     ids = list(range(100, 100 + len(texts)))
     r.shuffle(ids)
     pairs = ODD + list(zip(ids, texts))
-    got = near_dedup.decisions(rows_of(pairs), slice_pairs=slice_pairs).drop("mark").collect()
+    got = near_dedup.decisions(rows_of(pairs), pivots=pivots).drop("mark").collect()
     assert sorted(map(tuple, got), key=str) == near_by_hand(pairs)
 
 
