@@ -10,7 +10,7 @@ from rivermark.operators.patterns import pattern_id, recommendations
 from rivermark.operators.transfers import verified_events
 from rivermark.plans.base import LABELS, LEDGER, SPARSE, SPENT, sql
 from rivermark.plans.patterns import spent, thin
-from rivermark.plans.traces import ENDINGS, saved
+from rivermark.plans.traces import _LIMITS, ENDINGS, saved
 from rivermark.registry import query
 from rivermark.sources import tables as src
 
@@ -87,10 +87,10 @@ def _(spark, sf):
 
 
 _COVER = f"""cover AS (SELECT s.trace_id, CASE WHEN EXISTS (SELECT 1 FROM endings e WHERE e.trace_id = s.trace_id AND boundary_reason='hop_limit')
- THEN 'partial' ELSE 'complete_within_scope' END AS coverage_status FROM seed s)"""
+ OR EXISTS (SELECT 1 FROM lim WHERE lim.trace_id = s.trace_id AND code <> 'conflicting_service_labels') THEN 'partial' ELSE 'complete_within_scope' END AS coverage_status FROM seed s)"""
 
 
-@query("recommendations", sql(*SERV, _COVER, body="""
+@query("recommendations", sql(*SERV, _LIMITS, _COVER, body="""
 SELECT trace_id, boundaries, concat_ws(',', 'preserve_evidence', 'review_scope', CASE WHEN boundaries > 0 THEN 'review_vasp_request' END,
  CASE WHEN limited THEN 'resolve_data_gaps' END) AS actions
 FROM (SELECT c.trace_id, count(serv.r) AS boundaries, bool_or(c.coverage_status <> 'complete_within_scope') AS limited
@@ -98,12 +98,12 @@ FROM (SELECT c.trace_id, count(serv.r) AS boundaries, bool_or(c.coverage_status
 def _(spark, sf):
     t = saved(spark, sf)
     n = att.service_boundaries(t.endings, t.observed, t.header).groupBy("trace_id").agg(F.count(F.lit(1)).alias("boundaries"))
-    stopped = t.endings.groupBy("trace_id").agg(
-        F.max((F.col("boundary_reason") == "hop_limit").cast("int")).alias("cut")
-    )
-    rows = t.header.select("trace_id").join(stopped, "trace_id", "left").join(n, "trace_id", "left").select(
-        "trace_id", F.coalesce("boundaries", F.lit(0)).cast("long").alias("boundaries"), F.lit(0).alias("excluded"),
-        F.when(F.col("cut") == 1, "partial").otherwise("complete_within_scope").alias("coverage_status"),
+    # Observed steps that are not verified by their own statuses count as excluded.
+    unproven = t.observed.filter("NOT (execution_status = 'success' AND confirmation_state = 'confirmed')")
+    excluded = unproven.groupBy("trace_id").agg(F.count(F.lit(1)).alias("excluded"))
+    rows = t.header.select("trace_id", "coverage_status").join(n, "trace_id", "left").join(excluded, "trace_id", "left").select(
+        "trace_id", F.coalesce("boundaries", F.lit(0)).cast("long").alias("boundaries"), F.coalesce("excluded", F.lit(0)).alias("excluded"),
+        "coverage_status",
     )
     return recommendations(rows).select("trace_id", "boundaries", "actions")
 

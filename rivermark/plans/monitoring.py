@@ -96,6 +96,12 @@ def _(spark, sf):
     return spark.read.parquet(path).select("watch_id", "event_reference", F.unix_seconds("poll_time").alias("poll_at"), "change")
 
 
+@query("late_observations", sql(*SEEN, body=f"""
+SELECT watch_id, count(*) AS late FROM ledger JOIN wt ON watch_address = from_address OR watch_address = to_address WHERE t < {src.EPOCH + 200_000 - mon.OVERLAP_SECONDS} GROUP BY 1"""))
+def _(spark, sf):
+    return stream.late_rows(src.ledger(spark, sf), watches(spark, sf), F.timestamp_seconds(F.lit(src.EPOCH + 200_000)))
+
+
 @query("alert_lag", sql(*SEEN, _ALERT, body="""
 SELECT watch_id, event_reference, CASE WHEN ck%4=0 THEN 'unavailable_recorded_replay' WHEN ck%4=1 THEN 'simulated_clock' WHEN ck%4=2 THEN 'synthetic_fixture_times' ELSE 'live_wall_clock' END AS basis, CASE WHEN ck%4<>0 THEN first_observed - t END AS lag_seconds FROM alerts"""))
 def _(spark, sf):

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -79,10 +79,14 @@ def watch_changes(observations: DataFrame, watches: DataFrame, overlap_seconds:
     )
 
 
-def late_rows(batch: DataFrame, checkpoint, overlap_seconds: int = OVERLAP_SECONDS) -> DataFrame:
-    """Observations older than the overlap: counted per wallet, never read as removals."""
+def late_rows(batch: DataFrame, watches: DataFrame, checkpoint: Column, overlap_seconds: int = OVERLAP_SECONDS) -> DataFrame:
+    """Observations of a batch that are older than the overlap: counted per watch, never read as removals."""
     edge = F.timestamp_seconds(F.unix_seconds(checkpoint) - overlap_seconds)
-    return batch.filter(F.col("block_time") < edge).groupBy("network_key").agg(F.count(F.lit(1)).alias("late"))
+    ends = F.explode(F.array_distinct(F.array_compact(F.array("from_address", "to_address")))).alias("watch_address")
+    late = batch.filter(F.col("block_time") < edge).select("event_reference", ends)
+    # One row per address and task before the watches are met.
+    counted = late.groupBy("watch_address").agg(F.count(F.lit(1)).alias("late"))
+    return counted.join(watches.select("watch_id", "watch_address"), "watch_address").select("watch_id", "late")
 
 
 def sink(path: str):
