@@ -4,7 +4,8 @@ Texts and templates are normalised alike: lower case, everything but letters and
 becomes one space. The units compared are whole documents, paragraphs (between empty
 lines) and single lines. A unit with ``w`` words has ``w - 1`` bigrams, a template ``t``
 different ones, and Dice is ``2 * common / (w - 1 + t)`` with the different bigrams they
-share as ``common``. As that is at most both sizes, a value of ``least`` needs
+share as ``common``; a text that repeats bigrams stays a little below 1 against itself. As
+``common`` is at most both sizes, a value of ``least`` needs
 ``least / (2 - least) <= (w - 1) / t <= (2 - least) / least``: units outside these bounds of
 every template fall before any bigram is built, and the others meet only the templates
 whose size fits.
@@ -132,7 +133,8 @@ WITH t(license, grams) AS (VALUES {rows}),
 u AS (
   SELECT doc_id, 'document' AS scope, 0 AS position, coalesce(text, '') AS part FROM documents
   UNION ALL SELECT doc_id, 'paragraph', i::INT - 1, p[i] FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '
-[ 	]*
+[ 	
+]*
 ') AS p
     FROM documents), unnest(range(1, len(p) + 1)) AS r(i)
   UNION ALL SELECT doc_id, 'line', i::INT - 1, p[i] FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p
