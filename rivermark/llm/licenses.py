@@ -16,7 +16,7 @@ shuffled.
 
 Defined results: null and empty texts and units with less than two words match nothing;
 ties between templates go to the smaller name; repeated rows give repeated results; a
-null id is kept; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+null id is kept; an empty table and an empty list of templates give no rows. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -103,7 +103,9 @@ def units(docs: DataFrame, most_words: int) -> DataFrame:
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, scope, position, license and dice of every unit that matches a template."""
-    grams = {name: _bigrams_py(text) for name, text in sorted(templates.items())}
+    grams = {name: g for name, text in sorted(templates.items()) if (g := _bigrams_py(text))}
+    if not grams:
+        return docs.limit(0).select("doc_id", F.lit("").alias("scope"), F.lit(0).alias("position"), F.lit("").alias("license"), F.lit(0.0).alias("dice"))
     low, high = least / (2 - least), (2 - least) / least
     bounds = {name: (math.ceil(low * len(g)), math.floor(high * len(g))) for name, g in grams.items()}
     pairs = F.expr("array_distinct(transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])))")
