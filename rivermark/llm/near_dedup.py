@@ -24,10 +24,10 @@ What happens with the documents that meet:
 * Before the second comparison the shingles that only one unfinished node has are counted.
   They can be in no intersection, which bounds the similarity of every pair from above;
   nodes that cannot reach the limit with any other are finished.
-* The unfinished nodes also get a sketch: the lowest bits of the minima and maxima under
-  1024 more permutations. Pairs whose sketches differ in more places than a similarity at
-  the limit gives, plus six standard deviations, are not compared; a pair at the limit
-  falls to that with a probability of 1e-9.
+* The unfinished nodes also get a sketch: one mixed bit of each minimum and maximum under
+  1024 more permutations. Pairs whose sketches differ in more places than ``_unlike`` are
+  not compared; a pair at the limit falls to that with a probability of at most 1e-9, in
+  sets of any size.
 
 Defined results: null and empty texts and texts of white space only have no shingles,
 are linked with nothing and keep themselves. A component's id is its smallest id that is
@@ -141,6 +141,15 @@ def _signature(elements: np.ndarray, slopes: np.ndarray = _SLOPES, shifts: np.nd
     return low, high
 
 
+def _sketch(elements: np.ndarray) -> np.ndarray:
+    """One bit of each minimum and maximum under the further permutations.
+
+    Slopes and shifts are odd, so a value's own lowest bit is that of the element, whatever
+    the permutation; mixed it depends on all bits of both.
+    """
+    return (_mix(np.concatenate(_signature(elements, _MORE_SLOPES, _MORE_SHIFTS))) & np.uint64(1)).astype(np.uint8)
+
+
 def _digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else b""
 
@@ -203,8 +212,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for elements in batch.column("shingles"):
-                low, high = _signature(elements.values.to_numpy().view(np.uint64), _MORE_SLOPES, _MORE_SHIFTS)
-                rows.append(np.packbits((np.concatenate([low, high]) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                rows.append(np.packbits(_sketch(elements.values.to_numpy().view(np.uint64))).view(np.int64))
             columns = np.stack(rows).T if rows else np.empty((SKETCH // 32, 0), np.int64)
             arrays = [batch.column("node"), *[pa.array(np.ascontiguousarray(c)) for c in columns]]
             yield pa.RecordBatch.from_arrays(arrays, ["node", *_SKETCH_COLUMNS])
@@ -251,9 +259,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _unlike(percent: int) -> int:
-    """Places in which the sketches of a pair at the limit differ at most, but for one pair in 1e9."""
-    n, same = 2 * SKETCH, (1 + percent / 100) / 2
-    return math.ceil(n * (1 - same) + 6 * math.sqrt(n * same * (1 - same)))
+    """Places in which the sketches of a pair at the limit differ at most, but for one pair in 1e9.
+
+    A permutation's minima differ with a probability of 1 - J and their bits then with one
+    half: q = (1 - J) / 2, and so for its maxima. Both differ with at most q * q, as the two
+    ends of the union are different shingles, drawn without replacement. So the number of
+    places has no larger exponential moments than the binomial B(2 * SKETCH, q), whatever the
+    size of the sets, and Chernoff's bound exp(-n * KL(k / n, q)) holds for it.
+    """
+    n, q = 2 * SKETCH, (1 - percent / 100) / 2
+
+    def bound(k: int) -> float:
+        """Logarithm of the bound on k or more places."""
+        return -sum(x * math.log(x / n / y) for x, y in ((k, q), (n - k, 1 - q)) if x)
+
+    k = math.ceil(n * q)
+    while k < n and q and bound(k + 1) > math.log(1e-9):
+        k += 1
+    return k
 
 
 def links_of(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS):

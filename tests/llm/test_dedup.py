@@ -98,6 +98,41 @@ def test_near(spark, rows_of, pivots):
     assert sorted(map(tuple, got), key=str) == near_by_hand(pairs)
 
 
+def small_pairs(n):
+    """Pairs of texts with 4 to 30 shingles that are similar at the limit of 0.8 or just above."""
+    shapes = [(4, 0, 1), (8, 0, 2), (8, 1, 1), (16, 0, 4), (16, 2, 2), (17, 0, 4), (24, 0, 6), (24, 3, 3)]
+    out = []
+    for k in range(n):
+        both, left, right = shapes[k % len(shapes)]
+        words = [f"p{k}w{j}" for j in range(left + both + right + 3)]
+        out += [" ".join(words[: left + both + 3]), " ".join(words[left:])]
+    return out
+
+
+def test_near_small_sets_in_one_bucket(spark, rows_of):
+    """Pairs that only the rounds after the first can join, as the bucket's smallest node is in one pair only."""
+    texts = small_pairs(240)
+    docs = rows_of(list(enumerate(texts)))
+    signed = near_dedup.staged(near_dedup.signatures(docs).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    nodes, roots = near_dedup.links_of(docs, signed)
+    placed = nodes.select("node", "doc_id").join(roots, "node", "left")
+    root = {r.doc_id: r.root for r in placed.collect()}
+    assert [k for k in range(0, len(texts), 2) if root[k] is None or root[k] != root[k + 1]] == []
+    assert len(set(root.values())) == len(texts) // 2
+
+
+def test_sketches_of_small_sets():
+    """At the limit no pair's sketches differ in too many places, whatever the size of the sets."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for both, left, right in [(4, 0, 1), (4, 1, 0), (8, 0, 2), (8, 1, 1), (16, 0, 4), (16, 2, 2), (24, 0, 6), (24, 3, 3)]:
+        for _ in range(60):
+            every = r.integers(0, 1 << 64, left + both + right, dtype=np.uint64)
+            a, b = near_dedup._sketch(every[: left + both]), near_dedup._sketch(every[left:])
+            assert int((a != b).sum()) <= near_dedup._unlike(80)
+
+
 def test_drop_near_copies(spark, rows_of):
     docs = rows_of([(1, "a b c d e f g h i j k l m n o p"), (2, "A b c d e f g h i j k l m n o p"), (3, "q r s t u"), (4, None)])
     kept = near_dedup.drop_near_copies(docs)
