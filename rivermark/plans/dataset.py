@@ -201,11 +201,32 @@ def _(spark, sf):
     return fo.grow(drawn, _FEATS, 11, LEVELS).select(F.col("tree").cast("long").alias("tree"), "node", "size", "feature", F.round("split", 6).alias("split"))
 
 
-def _ranked(spark, sf, trees=32):
-    points = _points(spark, sf)
-    drawn = fo.cut(fo.sample(points, "id", trees, 11))
-    model = fo.grow(drawn, _FEATS, 11)
-    return fo.rank(fo.score(points, model, drawn, _FEATS), "id")
+#: The reference's forest: so many trees, each of up to ``fo.SAMPLE`` rows and ``fo.DEPTH`` levels.
+FOREST = 128
+
+
+def _model_points(spark, sf):
+    """One row per window with all allow-listed features, gaps filled with the median of the train wallets."""
+    rows = fo.cut(ds.split_by_wallet(windows(spark, sf), 0.3, 7))
+    medians = ds.train_medians(ds.feature_matrix(rows.filter("side = 'train'")))
+    full = ds.impute(ds.feature_matrix(rows), medians)
+    wide = full.groupBy("wallet_id", "window_start").agg(*[F.max(F.when(F.col("feature") == n, F.col("x"))).alias(n) for n in ds.FEATURES])
+    known = rows.select("wallet_id", "window_start", "side", "control_category")
+    return wide.join(known, ["wallet_id", "window_start"]).withColumn("id", F.concat_ws(":", "wallet_id", "window_start"))
+
+
+def _drawn(points, trees):
+    """The rows each tree grows from. Only train wallets are drawn, and only keys are dealt to all trees."""
+    keys = fo.cut(fo.sample(points.filter("side = 'train'").select("id"), "id", trees, 11))
+    return fo.cut(points.join(F.broadcast(keys), "id"))
+
+
+def _ranked(spark, sf, trees=FOREST, side=None):
+    """All windows by score, or those of one side."""
+    points, names = fo.cut(_model_points(spark, sf)), list(ds.FEATURES)
+    drawn = _drawn(points, trees)
+    wanted = points if side is None else points.filter(F.col("side") == side)
+    return fo.rank(fo.score(wanted, fo.grow(drawn, names, 11), drawn, names), "id")
 
 
 @query("anomaly_rank")
@@ -223,6 +244,12 @@ def _(spark, sf):
     return fo.precision_at_k(fo.rank(scored, "id"), 50, _WORTHY, _CONF, _NEG)
 
 
+@query("anomaly_precision_at_k")
+def _(spark, sf):
+    # Windows the model was grown from must not judge it.
+    return fo.precision_at_k(_ranked(spark, sf, side="eval"), 50, _WORTHY, _CONF, _NEG)
+
+
 @query("readiness_units", sql(*WIN, _REG, body="""
 , w AS (SELECT wallet_id, count(*) AS n FROM win GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS windows, count(*) AS wallets, count(*) FILTER (WHERE n>1) AS wallets_with_many, max(n) AS most, (SELECT count(*) FROM reg) AS records,
  (SELECT count(*) FROM reg WHERE review_state='accepted') AS accepted, (SELECT count(*) FROM reg WHERE review_state='unreviewed') AS unreviewed, max(n)::DOUBLE/sum(n)::DOUBLE AS largest_share, 'READY' AS status FROM w""".lstrip()))
