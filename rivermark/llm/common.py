@@ -38,3 +38,56 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/rivermark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Copies:
+    """Staged copies of one job, each removed once what was made from it is written too."""
+
+    def __init__(self, spark: SparkSession):
+        _checkpoint_ready(spark)
+        self.spark, self.paths = spark, {}
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/rivermark-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df``; an earlier copy of that name stays until ``drop``."""
+        path = f"{self.folder}/{len(self.paths)}-{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str, keep: int = 0) -> None:
+        """Remove the copies of that name but the ``keep`` newest."""
+        paths = self.paths.get(name, [])
+        for path in paths[: len(paths) - keep]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths[name] = paths[len(paths) - keep :]
+
+
+#: Bytes of UTF-8 that belong to a term: letters, digits and everything outside ASCII.
+_TERM_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
+    for b in range(256)
+)
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """Maximal runs of ASCII letters, digits and non-ASCII characters of a UTF-8 text, A-Z lower-cased."""
+    return text.translate(_TERM_BYTES).split()
+
+
+def blocks(items: DataFrame, size: str, limit: int):
+    """Rows of ``items`` in lists whose ``size`` column adds up to ``limit`` at most.
+
+    A row above the limit is a list of its own. One partition at a time comes to the
+    driver, so a long list of queries is never held whole.
+    """
+    block, held = [], 0
+    for row in items.toLocalIterator():
+        if block and held + row[size] > limit:
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += row[size]
+    if block:
+        yield block

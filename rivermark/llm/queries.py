@@ -11,4 +11,5 @@ from rivermark.llm import (  # noqa: F401
     secrets,
     tokens,
     toxicity,
+    vector_codes,
 )
