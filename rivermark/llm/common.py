@@ -41,7 +41,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 class Copies:
-    """Staged copies of one job, each removed once what was made from it is written too."""
+    """Staged copies of one job, each removed once what was made from it is written too, all if a write fails."""
 
     def __init__(self, spark: SparkSession):
         _checkpoint_ready(spark)
@@ -50,9 +50,14 @@ class Copies:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df``; an earlier copy of that name stays until ``drop``."""
-        path = f"{self.folder}/{len(self.paths)}-{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         self.paths.setdefault(name, []).append(path)
+        try:
+            df.write.parquet(path)
+        except Exception:
+            for held in list(self.paths):
+                self.drop(held)
+            raise
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str, keep: int = 0) -> None:

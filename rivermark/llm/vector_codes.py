@@ -21,7 +21,7 @@ Defined results: rows whose vector is null or has null or non-finite components
 out. Where lengths differ, the most frequent length is the table's (the larger one of
 equally frequent ones); vectors of other lengths, and all if that length cannot be cut into
 the parts, get a null code and error. With fewer rows than entries the codebooks are that
-much smaller. Repeated rows count each time; null ids come last. An empty table gives no
+much smaller. Repeated rows count each time; equal ids go by their vectors, null ids come last. An empty table gives no
 rows. Whole numbers are exact up to an absolute component of 16384 at 64 dimensions; a
 larger one raises an error instead of a wrong code.
 """
