@@ -74,14 +74,17 @@ def claims_by_address(claims: DataFrame) -> DataFrame:
     return usable.groupBy(*KEYS).agg(F.sort_array(F.collect_list(item)).alias("claims"))
 
 
-def resolve(rows: DataFrame, folded: DataFrame, address: str, at: Column, spread: list[str]) -> DataFrame:
+def resolve(
+    rows: DataFrame, folded: DataFrame, address: str, at: Column, spread: list[str], small: bool | None = None
+) -> DataFrame:
     """Add ``service`` (agreed control claim), ``conflict`` and ``candidate`` at ``at``.
 
-    ``folded`` comes from ``claims_by_address``. Where active accepted claims
+    ``folded`` comes from ``claims_by_address``; ``small`` says whether it was found to fit
+    a broadcast. Where active accepted claims
     disagree on entity, type or role none is chosen.
     """
     dim = folded.withColumnRenamed("address", address)
-    joined = dim_join(rows, dim, ["network_key", address], "left", spread)
+    joined = dim_join(rows, dim, ["network_key", address], "left", spread, small)
     live = F.filter(
         F.coalesce("claims", F.array()), lambda c: covers(at, c["valid_from"], c["valid_to"])
     )

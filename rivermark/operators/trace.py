@@ -10,6 +10,11 @@ The order in which a first-in-first-out walk would visit states is kept as
 ``branch_key``: the array of ``(time, sequence, reference)`` along the branch.
 Comparing these arrays compares queue positions, so no global numbering is
 needed, and the branch path falls out of it.
+
+The event table is written once in buckets of the sending wallet; a level brings its
+wallets to the buckets and never moves the events again. Which events a trace has
+claimed is known from the earliest expanded position at each wallet, a table of visited
+wallets instead of the events of all earlier levels.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from pyspark.sql import Window
 from rivermark import scale
 from rivermark.functions.predicates import _is, positive, spendable
 from rivermark.operators.labels import claims_by_address, resolve
-from rivermark.scale import cut, dim_join, one_cell, running_before, with_cells
+from rivermark.scale import Laid, cut, dim_join, fits, one_cell, running_before, with_cells
 
 MAX_HOPS = 8
 MAX_EVENTS = 5000
 PLACE = ["trace_id", "address"]
+WALLET = ["network_key", "token_contract", "address"]
 CELL_SECONDS = 3600
 # Coverage from best to worst.
 COVERAGE = ("complete_within_scope", "partial", "failed")
@@ -87,7 +93,8 @@ def locate_seeds(seeds: DataFrame, edges: DataFrame, cutoff: Column) -> DataFram
     found = edges.select(
         "network_key", "token_contract", F.col("event_reference").alias("seed_event_reference"),
         F.struct("event_reference", "from_address", "to_address", "amount_base_units", "block_time",
-                 "seq", "spendable", "tx_hash", "execution_status", "confirmation_state").alias("e"),
+                 "seq", "spendable", "tx_hash", "execution_status", "confirmation_state",
+                 *[c for c in ("looked", "follow", "service", "conflict", "candidate") if c in edges.columns]).alias("e"),
     )
     # Seeds are the smaller side by nature; the event table is not moved for them.
     keys = ["network_key", "token_contract", "seed_event_reference"]
@@ -107,86 +114,124 @@ def locate_seeds(seeds: DataFrame, edges: DataFrame, cutoff: Column) -> DataFram
     )
 
 
-def _start(located: DataFrame) -> DataFrame:
-    usable = located.filter("state IN ('followed', 'discovery')")
-    seeded = F.col("state") == "followed"
-    start = F.coalesce("analysis_start", F.timestamp_seconds(F.lit(0))) if "analysis_start" in located.columns else F.timestamp_seconds(F.lit(0))
+def _with_outlook(edges: DataFrame, folded: DataFrame, few_claims: bool, cutoff: Column, small: bool, untimed: bool) -> DataFrame:
+    """Events with what awaits a state that they open, which is the same for every trace.
+
+    ``looked`` counts the departures a state looks at, ``follow`` those that continue it;
+    ``service``, ``conflict`` and ``candidate`` are the recipient's labels at the arrival.
+    """
+    arrivals = edges.filter("spendable AND to_address IS NOT NULL").select(
+        "network_key", "token_contract", F.col("to_address").alias("address"), F.col("block_time").alias("at"),
+        F.col("seq").alias("at_seq"), F.col("event_reference").alias("arrival"),
+    )
+    leaving = edges.withColumnRenamed("from_address", "address").filter(F.coalesce(F.col("block_time") <= cutoff, F.lit(True)))
+    counts = _outlook(arrivals, leaving, WALLET, small, untimed)
+    labelled = resolve(arrivals, folded, "address", F.coalesce("at", cutoff), ["arrival"], few_claims).filter(
+        "service IS NOT NULL OR conflict OR candidate IS NOT NULL"
+    )
+    key = ["network_key", "event_reference"]
+    for more, columns in ((counts, ["looked", "follow"]), (labelled, ["service", "conflict", "candidate"])):
+        edges = edges.join(more.select("network_key", F.col("arrival").alias("event_reference"), *columns), key, "left")
+    return edges
+
+
+def _start(located: DataFrame, edges: Laid, folded: DataFrame, few_claims: bool, cutoff: Column, untimed: bool) -> DataFrame:
+    """The first states: the arrival of a followed seed event, or a seed address alone."""
+    begin = F.coalesce("analysis_start", F.timestamp_seconds(F.lit(0))) if "analysis_start" in located.columns else F.timestamp_seconds(F.lit(0))
     key = F.array(F.struct(F.col("e.block_time").alias("t"), F.col("e.seq").alias("s"), F.col("e.event_reference").alias("r")))
-    nothing = F.slice(key, 1, 0)
-    return usable.select(
-        "trace_id", "network_key", "token_contract",
-        F.when(seeded, F.coalesce("e.to_address", "seed_address")).otherwise(F.col("seed_address")).alias("address"),
-        F.when(seeded, F.col("e.block_time")).otherwise(start).alias("at"),
-        F.when(seeded, F.col("e.seq")).otherwise("").alias("at_seq"),
-        F.when(seeded, F.col("e.event_reference")).otherwise("").alias("arrival"), F.when(seeded, F.col("e.tx_hash")).alias("arrival_tx"),
-        F.when(seeded, F.col("e.amount_base_units")).alias("amount"),
-        F.when(seeded, key).otherwise(nothing).alias("branch_key"),
-        F.lit(0).cast("long").alias("used"),
+    place = ["trace_id", "network_key", "token_contract"]
+    told = ["looked", "follow", "service", "conflict", "candidate"]
+    used = F.lit(0).cast("long").alias("used")
+    followed = located.filter("state = 'followed'").select(
+        *place, F.coalesce("e.to_address", "seed_address").alias("address"), F.col("e.block_time").alias("at"), F.col("e.seq").alias("at_seq"),
+        F.col("e.event_reference").alias("arrival"), F.col("e.tx_hash").alias("arrival_tx"), F.col("e.amount_base_units").alias("amount"),
+        key.alias("branch_key"), used, *[F.col(f"e.{c}").alias(c) for c in told],
     )
+    alone = located.filter("state = 'discovery'")
+    if alone.isEmpty():
+        return followed
+    bare = cut(alone.select(
+        *place, F.col("seed_address").alias("address"), begin.alias("at"), F.lit("").alias("at_seq"), F.lit("").alias("arrival"),
+        F.lit(None).cast("string").alias("arrival_tx"), F.lit(None).cast("string").alias("amount"), F.slice(key, 1, 0).alias("branch_key"), used,
+    ))
+    counts = _outlook(bare, _touched(bare, edges, cutoff, fits(bare)), PLACE, False, untimed)
+    known = resolve(bare, folded, "address", F.coalesce("at", cutoff), ["trace_id"], few_claims).join(
+        counts.select("trace_id", "looked", "follow"), "trace_id", "left"
+    )
+    return followed.unionByName(cut(known.select(followed.columns)))
 
 
-def _cells(rows: DataFrame, small: bool) -> DataFrame:
+def _cells(rows: DataFrame, place: list[str], small: bool) -> DataFrame:
     if small:
         return one_cell(rows)
-    return with_cells(rows, PLACE, F.unix_seconds("t"), CELL_SECONDS)
-
+    return with_cells(rows, place, F.unix_seconds("t"), CELL_SECONDS)
 
-def _match(states: DataFrame, events: DataFrame, by_time: bool, small: bool) -> tuple[DataFrame, DataFrame]:
-    """Order arrivals and departures of each wallet together.
 
-    Returns per state how many usable departures follow it and how many it looked
-    at, and per departure the earliest-queued arrival before it.
-    """
-    blank = F.lit(None)
-    s = states.select(
-        *PLACE, F.col("at").alias("t"), F.col("at_seq").alias("q"), F.lit(1).alias("kind"),
-        "arrival", "branch_key", blank.cast("string").alias("event_reference"),
-        F.lit(0).cast("long").alias("usable"), F.lit(0).cast("long").alias("any"),
-    )
-    e = events.select(
-        *PLACE, F.col("block_time").alias("t"), F.col("seq").alias("q"), F.lit(0).alias("kind"),
-        blank.cast("string").alias("arrival"), F.slice(_step(), 1, 0).alias("_none"), "event_reference",
-        (F.col("spendable") & F.col("to_address").isNotNull()).cast("long").alias("usable"),
-        F.lit(1).cast("long").alias("any"),
-    ).withColumn("branch_key", F.when(F.lit(False), F.col("_none"))).drop("_none")
-    rows = _cells(s.unionByName(e), small)
-    # A departure sorts before an arrival of the same position: strictly after only.
-    order = ["t", "q", "kind"] if by_time else ["q", "kind"]
-    marked = running_before(
-        rows if by_time else one_cell(rows.drop("_hot", "_cell")), PLACE, order,
-        {"parent": (F.min, F.col("branch_key")), "usable_before": (F.sum, F.col("usable"))},
-    )
-    if by_time:
-        # Every departure at or after the arrival's time was looked at.
-        marked = running_before(
-            marked.withColumn("_flip", -F.col("kind")), PLACE, ["t", "_flip"], {"any_before": (F.sum, F.col("any"))}
-        )
-    else:
-        marked = marked.withColumn("any_before", F.lit(0).cast("long"))
-    totals = rows.groupBy(*PLACE).agg(F.sum("usable").alias("_usable"), F.sum("any").alias("_any"))
-    per_state = marked.filter("kind = 1").join(totals, PLACE).select(
-        *PLACE, "arrival", (F.col("_usable") - F.col("usable_before")).alias("follow"),
-        (F.col("_any") - F.col("any_before")).alias("looked"),
-    )
-    per_event = marked.filter("kind = 0 AND parent IS NOT NULL").select(*PLACE, "event_reference", "parent")
-    return per_state, per_event
-
-
-def _analyse(states: DataFrame, touch: DataFrame, small: bool, untimed: bool) -> tuple[DataFrame, DataFrame]:
+def _parts(states: DataFrame, events: DataFrame, untimed: bool) -> list[tuple[DataFrame, DataFrame, bool]]:
+    """Arrivals and departures that are compared by time, or by sequence where a time is unknown."""
     if not untimed:
-        return _match(states, touch, True, small)
-    timed_s, timed_e = states.filter("at IS NOT NULL"), touch.filter("block_time IS NOT NULL")
-    parts = [
-        _match(timed_s, timed_e, True, small),
-        _match(timed_s, touch.filter("block_time IS NULL"), False, small),
-        _match(states.filter("at IS NULL"), touch, False, small),
+        return [(states, events, True)]
+    timed = states.filter("at IS NOT NULL")
+    return [
+        (timed, events.filter("block_time IS NOT NULL"), True), (timed, events.filter("block_time IS NULL"), False),
+        (states.filter("at IS NULL"), events, False),
     ]
-    st = reduce(DataFrame.unionByName, [p[0] for p in parts])
-    ev = reduce(DataFrame.unionByName, [p[1] for p in parts])
-    return (
-        st.groupBy(*PLACE, "arrival").agg(F.sum("follow").alias("follow"), F.sum("looked").alias("looked")),
-        ev.groupBy(*PLACE, "event_reference").agg(F.min("parent").alias("parent")),
+
+
+def _outlook(states: DataFrame, events: DataFrame, place: list[str], small: bool, untimed: bool) -> DataFrame:
+    """Per arrival how many usable departures follow it and how many it looks at."""
+    found = []
+    for arrivals, departures, by_time in _parts(states, events, untimed):
+        s = arrivals.select(*place, F.col("at").alias("t"), F.col("at_seq").alias("q"), F.lit(1).alias("kind"), "arrival",
+                            F.lit(0).cast("long").alias("usable"), F.lit(0).cast("long").alias("any"))
+        e = departures.select(*place, F.col("block_time").alias("t"), F.col("seq").alias("q"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("arrival"),
+                              (F.col("spendable") & F.col("to_address").isNotNull()).cast("long").alias("usable"), F.lit(1).cast("long").alias("any"))
+        rows = s.unionByName(e)
+        rows = _cells(rows, place, small) if by_time else one_cell(rows)
+        # A departure sorts before an arrival of the same position: strictly after only.
+        order = ["t", "q", "kind"] if by_time else ["q", "kind"]
+        marked = running_before(rows, place, order, {"usable_before": (F.sum, F.col("usable"))})
+        if by_time:
+            # Every departure at or after the arrival's time is looked at.
+            marked = running_before(marked.withColumn("_flip", -F.col("kind")), place, ["t", "_flip"], {"any_before": (F.sum, F.col("any"))})
+        else:
+            marked = marked.withColumn("any_before", F.lit(0).cast("long"))
+        totals = rows.groupBy(*place).agg(F.sum("usable").alias("_usable"), F.sum("any").alias("_any"))
+        found.append(marked.filter("kind = 1").join(totals, place).select(
+            *place, "arrival", (F.col("_usable") - F.col("usable_before")).alias("follow"), (F.col("_any") - F.col("any_before")).alias("looked")
+        ))
+    if len(found) == 1:
+        return found[0]
+    return reduce(DataFrame.unionByName, found).groupBy(*place, "arrival").agg(F.sum("follow").alias("follow"), F.sum("looked").alias("looked"))
+
+
+def _continued(live: DataFrame, touch: DataFrame, small: bool, untimed: bool) -> DataFrame:
+    """Departures with ``parent``, the earliest-queued arrival before them, and ``tied``.
+
+    Arrivals and departures of a wallet are put in one order, so a running minimum finds
+    the parent. A departure is tied if it could only be told from an arrival of the same
+    moment by an order that the chain does not give.
+    """
+    carried = [c for c in touch.columns if c not in PLACE]
+    found = []
+    for arrivals, departures, by_time in _parts(live, touch, untimed):
+        event = F.struct(*carried).alias("event")
+        e = departures.select(*PLACE, F.col("block_time").alias("t"), F.col("seq").alias("q"), F.lit(0).alias("kind"), event)
+        s = arrivals.select(*PLACE, F.col("at").alias("t"), F.col("at_seq").alias("q"), F.lit(1).alias("kind"),
+                            F.struct("branch_key", "total").alias("state"))
+        rows = s.unionByName(e, allowMissingColumns=True)
+        rows = _cells(rows, PLACE, small) if by_time else one_cell(rows)
+        marked = running_before(rows, PLACE, ["t", "q", "kind"] if by_time else ["q", "kind"], {"parent": (F.min, F.col("state"))})
+        last = F.max(F.when(F.col("kind") == 1, F.col("q"))).over(Window.partitionBy(*PLACE, "_cell", "t")) if by_time else F.lit(None).cast("string")
+        out = marked.withColumn("_last", last).filter("kind = 0").select(*PLACE, "event.*", "parent", (F.col("q") <= F.col("_last")).alias("_same"))
+        found.append(out.withColumn("tied", F.coalesce(F.col("spendable") & F.col("unordered") & F.col("_same"), F.lit(False))).drop("_same"))
+    if len(found) == 1:
+        return found[0]
+    rest = [c for c in carried if c != "event_reference"]
+    joined = reduce(DataFrame.unionByName, found).groupBy(*PLACE, "event_reference").agg(
+        F.first(F.struct(*rest)).alias("_event"), F.min("parent").alias("parent"), F.max("tied").alias("tied")
     )
+    return joined.select(*PLACE, "event_reference", "_event.*", "parent", "tied")
 
 
 def _ending(states: DataFrame, hop: int, cls: str, reason: str | None, status: str, label: str | None = None) -> DataFrame:
@@ -203,21 +248,44 @@ def _ending(states: DataFrame, hop: int, cls: str, reason: str | None, status: s
     )
 
 
-def _touched(live: DataFrame, edges: DataFrame, cutoff: Column) -> DataFrame:
+def _touched(live: DataFrame, edges: Laid, cutoff: Column, small: bool | None) -> DataFrame:
     """Departures from the wallets of ``live``, once per trace and wallet."""
     start = live.groupBy("trace_id", "network_key", "token_contract", "address").agg(
         F.min("at").alias("since"), F.max(F.col("at").isNull()).alias("open")
     )
-    out = dim_join(
-        edges.withColumnRenamed("from_address", "address"), start,
-        ["network_key", "token_contract", "address"], "inner", ["event_reference"],
-    )
+    out = edges.join(start.withColumnRenamed("address", "from_address"), small).withColumnRenamed("from_address", "address")
     return out.filter(
         F.coalesce(F.col("open") | (F.col("block_time") >= F.col("since")), F.lit(True))
         & F.coalesce(F.col("block_time") <= cutoff, F.lit(True))
     ).drop("since", "open")
 
 
+def _claimed(expanded: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Per trace and wallet the earliest positions from which departures are claimed.
+
+    All departures strictly after an expanded state are claimed by some state of its level,
+    so the earliest expanded positions of a wallet tell which of its events are.
+    """
+    timed = F.col("at").isNotNull()
+    own = expanded.select(
+        *PLACE, F.when(timed, F.struct(F.col("at").alias("t"), F.col("at_seq").alias("q"))).alias("since"),
+        F.when(timed, F.col("at_seq")).alias("timed_seq"), F.when(~timed, F.col("at_seq")).alias("untimed_seq"),
+    )
+    rows = own if before is None else own.unionByName(before)
+    return cut(rows.groupBy(*PLACE).agg(*[F.min(c).alias(c) for c in ("since", "timed_seq", "untimed_seq")]))
+
+
+def _marked_taken(events: DataFrame, claimed: DataFrame | None) -> DataFrame:
+    """Events with ``taken``: whether an earlier level of their trace claimed them."""
+    if claimed is None:
+        return events.withColumn("taken", F.lit(False))
+    after = F.when(F.col("block_time").isNull(), F.col("seq") > F.col("timed_seq")).otherwise(
+        F.struct(F.col("block_time").alias("t"), F.col("seq").alias("q")) > F.col("since")
+    )
+    taken = F.coalesce(after, F.lit(False)) | F.coalesce(F.col("seq") > F.col("untimed_seq"), F.lit(False))
+    return events.join(claimed, PLACE, "left").withColumn("taken", taken).drop("since", "timed_seq", "untimed_seq")
+
+
 def trace(
     seeds: DataFrame, transfers: DataFrame, claims: DataFrame, cutoff: Column,
     max_hops: int = MAX_HOPS, max_events: int = MAX_EVENTS,
@@ -229,92 +297,94 @@ def trace(
     ``analysis_start``. At each state the budgets are tested first, then the
     labels at the arrival time, then the departures.
     """
-    edges = cut(prepare(transfers))
+    slim = cut(prepare(transfers))
     folded = cut(claims_by_address(claims))
-    located = cut(locate_seeds(seeds, edges, cutoff))
-    untimed = edges.filter("block_time IS NULL").limit(1).count() > 0
-    states = _start(located)
+    few_claims = fits(folded)
+    rows, bare = slim.agg(F.count(F.lit(1)), F.sum(F.col("block_time").isNull().cast("long"))).first()
+    untimed = bool(bare)
+    told = _with_outlook(slim, folded, few_claims, cutoff, 2 * rows <= scale.HOT_ROWS, untimed)
+    edges = Laid(told, ["network_key", "token_contract", "from_address"], ["block_time"], "event_reference", rows)
+    try:
+        located = cut(locate_seeds(seeds, edges.df, cutoff))
+        first = _start(located, edges, folded, few_claims, cutoff, untimed)
+        return _walk(located, first, edges, cutoff, max_hops, max_events, untimed)
+    finally:
+        edges.drop()
+
+
+def _budgeted(states: DataFrame, max_events: int) -> DataFrame:
+    """States with ``late``, whether the event budget was used up before their turn, and ``total``.
+
+    A trace below its budget has looked at fewer than ``max_events`` events, and each of its
+    states is one of them, so its queue holds at most that many rows.
+    """
+    looked = F.when(F.col("service").isNull(), F.coalesce("looked", F.lit(0))).otherwise(F.lit(0))
+    queue = Window.partitionBy("trace_id").orderBy("branch_key").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("trace_id")
+    rows = states.withColumn("_looks", looked.cast("long"))
+    open_ = rows.filter(F.col("used") < max_events)
+    open_ = open_.withColumn("late", F.col("used") + F.coalesce(F.sum("_looks").over(queue), F.lit(0)) >= max_events)
+    open_ = open_.withColumn("total", F.col("used") + F.sum(F.when(~F.col("late"), F.col("_looks")).otherwise(F.lit(0))).over(whole))
+    shut = rows.filter(F.col("used") >= max_events).withColumn("late", F.lit(True)).withColumn("total", F.col("used"))
+    return open_.unionByName(shut)
+
+
+def _walk(located: DataFrame, states: DataFrame, edges: Laid, cutoff: Column, max_hops: int, max_events: int, untimed: bool) -> Trace:
+    claimed: DataFrame | None = None
     observed: list[DataFrame] = []
     endings: list[DataFrame] = []
     limits: list[DataFrame] = []
     used: list[DataFrame] = []
 
     for hop in range(max_hops + 1):
-        states = cut(
-            resolve(states, folded, "address", F.coalesce("at", cutoff), ["trace_id", "arrival"])
-        )
-        count = states.count()
-        if count == 0:
-            break
         if hop == max_hops:
             endings.append(_ending(states, hop, "boundary", "hop_limit", "unresolved"))
             break
-        endings.append(_ending(states.filter(F.col("used") >= max_events), hop, "boundary", "event_limit", "unresolved"))
-        open_ = states.filter(F.col("used") < max_events)
-        live = open_.filter("service IS NULL")
-        touch = cut(_touched(live, edges, cutoff))
-        small = touch.count() + count <= scale.HOT_ROWS
-        per_state, per_event = _analyse(live, touch, small, untimed)
-        per_state = cut(per_state)
-        looked = open_.join(per_state, [*PLACE, "arrival"], "left").withColumn("looked", F.coalesce("looked", F.lit(0)))
-        spent = looked.groupBy("trace_id").agg((F.max("used") + F.sum("looked")).alias("total"))
-        crossing = spent.filter(F.col("total") >= max_events).select("trace_id")
-        if crossing.limit(1).count():
-            # A trace gets here with fewer than max_events events seen, and each of
-            # its states is one of them, so this window holds at most that many rows.
-            queue = Window.partitionBy("trace_id").orderBy("branch_key").rowsBetween(Window.unboundedPreceding, -1)
-            queued = looked.join(crossing, "trace_id", "left_semi").withColumn(
-                "_before", F.col("used") + F.coalesce(F.sum("looked").over(queue), F.lit(0))
-            )
-            late = cut(queued.filter(F.col("_before") >= max_events).select("trace_id", "arrival"))
-            endings.append(
-                _ending(open_.join(late, ["trace_id", "arrival"], "left_semi"), hop, "boundary", "event_limit", "unresolved")
-            )
-            open_ = open_.join(late, ["trace_id", "arrival"], "left_anti")
-            live = cut(open_.filter("service IS NULL"))
-            touch = cut(_touched(live, edges, cutoff))
-            per_state, per_event = _analyse(live, touch, small, untimed)
-            per_state = cut(per_state)
-            spent = (
-                open_.join(per_state, [*PLACE, "arrival"], "left")
-                .groupBy("trace_id")
-                .agg((F.max("used") + F.coalesce(F.sum("looked"), F.lit(0))).alias("total"))
-            )
-        used.append(spent)
-
+        states = cut(_budgeted(states, max_events))
+        is_live = ~F.col("late") & F.col("service").isNull()
+        size = F.octet_length("address") + F.octet_length("trace_id") + 64
+        count, going, looks, held = states.agg(
+            F.count(F.lit(1)), F.sum(is_live.cast("long")), F.sum(F.when(is_live, F.col("_looks"))), F.sum(F.when(is_live, size))
+        ).first()
+        if count == 0:
+            # Without any state to start from the table of endings is empty.
+            endings = endings or [_ending(states, hop, "boundary", None, "unresolved")]
+            break
+        used.append(states.groupBy("trace_id").agg(F.max("total").alias("total")))
+        endings.append(_ending(states.filter("late"), hop, "boundary", "event_limit", "unresolved"))
+        open_ = states.filter("NOT late")
         endings.append(_ending(open_.filter("service IS NOT NULL"), hop, "known_service", "service_boundary", "supported", "service"))
-        endings.append(_ending(live.filter("candidate IS NOT NULL"), hop, "deposit_candidate", None, "candidate", "candidate"))
         limits.append(
             open_.filter("conflict").select("trace_id", F.lit("conflicting_service_labels").alias("code"), "address",
                                             F.lit(None).cast("string").alias("event_reference"))
         )
-        limits.append(
-            touch.filter("unverified").select("trace_id", F.lit("execution_or_finality_unverified").alias("code"), "address", "event_reference")
-        )
-        same = live.groupBy(*PLACE, F.col("at").alias("block_time")).agg(F.max("at_seq").alias("last_seq"))
-        tied = touch.filter("spendable AND unordered AND block_time IS NOT NULL").join(same, [*PLACE, "block_time"])
-        limits.append(
-            tied.filter("seq <= last_seq").select("trace_id", F.lit("ambiguous_ordering").alias("code"), "address", "event_reference")
-        )
+        if not going:
+            break
+        live = open_.filter("service IS NULL")
+        endings.append(_ending(live.filter("candidate IS NOT NULL"), hop, "deposit_candidate", None, "candidate", "candidate"))
 
-        fresh = touch.filter("spendable").join(per_event, [*PLACE, "event_reference"])
-        for earlier in observed:
-            fresh = fresh.join(earlier, ["trace_id", "event_reference"], "left_anti")
-        fresh = cut(
-            fresh.withColumn("branch_key", F.concat("parent", _step())).withColumn("hop_depth", F.lit(hop + 1).cast("long"))
-        )
+        # What the states look at is an upper bound of the departures they touch.
+        touch = _touched(live, edges, cutoff, going <= scale.BROADCAST_ROWS and held <= scale.BROADCAST_BYTES)
+        walked = _continued(live, touch, looks + count <= scale.HOT_ROWS, untimed)
+        fresh = F.col("spendable") & F.col("parent").isNotNull()
+        walked = _marked_taken(walked, claimed).withColumn("fresh", fresh & ~F.col("taken")).drop("taken")
+        walked = cut(walked.filter("fresh OR unverified OR tied").withColumn("hop_depth", F.lit(hop + 1).cast("long")))
+        claimed = _claimed(live, claimed)
+        for flag, code in (("unverified", "execution_or_finality_unverified"), ("tied", "ambiguous_ordering")):
+            limits.append(walked.filter(flag).select("trace_id", F.lit(code).alias("code"), "address", "event_reference"))
+
+        fresh = walked.filter("fresh").withColumn("branch_key", F.concat("parent.branch_key", _step()))
         observed.append(fresh)
-        won = fresh.filter("to_address IS NOT NULL").groupBy("trace_id", F.col("parent").alias("branch_key")).agg(F.count(F.lit(1)).alias("won"))
-        outcome = live.join(per_state, [*PLACE, "arrival"], "left").join(won, ["trace_id", "branch_key"], "left")
-        quiet = outcome.filter("won IS NULL")
-        endings.append(_ending(quiet.filter("follow > 0"), hop, "unresolved", None, "unresolved"))
-        endings.append(_ending(quiet.filter("coalesce(follow, 0) = 0"), hop, "unresolved", "no_outgoing_activity", "unresolved"))
-        states = fresh.filter("to_address IS NOT NULL").join(spent, "trace_id").select(
+        states = fresh.filter("to_address IS NOT NULL").select(
             "trace_id", "network_key", "token_contract", F.col("to_address").alias("address"),
             F.col("block_time").alias("at"), F.col("seq").alias("at_seq"),
             F.col("event_reference").alias("arrival"), F.col("tx_hash").alias("arrival_tx"), F.col("amount_base_units").alias("amount"),
-            "branch_key", F.col("total").alias("used"),
+            "branch_key", F.col("parent.total").alias("used"), "looked", "follow", "service", "conflict", "candidate",
         )
+        won = fresh.filter("to_address IS NOT NULL").select("trace_id", F.col("parent.branch_key").alias("branch_key")).distinct()
+        quiet = live.join(won, ["trace_id", "branch_key"], "left_anti")
+        endings.append(_ending(quiet.filter("follow > 0"), hop, "unresolved", None, "unresolved"))
+        endings.append(_ending(quiet.filter("coalesce(follow, 0) = 0"), hop, "unresolved", "no_outgoing_activity", "unresolved"))
 
     return _assemble(located, observed, endings, limits, used)
 
@@ -335,7 +405,7 @@ def _assemble(located, observed, endings, limits, used) -> Trace:
     ]
     all_obs = union([seed_rows.select(*obs_cols), *[w.select(*obs_cols) for w in walked]])
     all_lim = union([rejected, *limits]).distinct()
-    all_end = union(endings) if endings else _ending(_start(located).limit(0), 0, "boundary", None, "unresolved")
+    all_end = union(endings)
     stops = all_end.groupBy("trace_id").agg(
         F.max(F.coalesce(F.col("boundary_reason").isin("hop_limit", "event_limit"), F.lit(False)).cast("int")).alias("budget")
     )

@@ -10,7 +10,7 @@ from rivermark.operators.patterns import pattern_id, recommendations
 from rivermark.operators.transfers import verified_events
 from rivermark.plans.base import LABELS, LEDGER, SPARSE, SPENT, sql
 from rivermark.plans.patterns import spent, thin
-from rivermark.plans.traces import _LIMITS, ENDINGS, saved
+from rivermark.plans.traces import _COVERED, _LIMITS, ENDINGS, saved
 from rivermark.registry import query
 from rivermark.sources import tables as src
 
@@ -86,15 +86,11 @@ def _(spark, sf):
     return found.withColumn("pattern_id", pattern_id(F.lit("protocol_boundary"), F.col("address")))
 
 
-_COVER = f"""cover AS (SELECT s.trace_id, CASE WHEN EXISTS (SELECT 1 FROM endings e WHERE e.trace_id = s.trace_id AND boundary_reason='hop_limit')
- OR EXISTS (SELECT 1 FROM lim WHERE lim.trace_id = s.trace_id AND code <> 'conflicting_service_labels') THEN 'partial' ELSE 'complete_within_scope' END AS coverage_status FROM seed s)"""
-
-
-@query("recommendations", sql(*SERV, _LIMITS, _COVER, body="""
+@query("recommendations", sql(*SERV, _LIMITS, _COVERED, body="""
 SELECT trace_id, boundaries, concat_ws(',', 'preserve_evidence', 'review_scope', CASE WHEN boundaries > 0 THEN 'review_vasp_request' END,
  CASE WHEN limited THEN 'resolve_data_gaps' END) AS actions
 FROM (SELECT c.trace_id, count(serv.r) AS boundaries, bool_or(c.coverage_status <> 'complete_within_scope') AS limited
- FROM cover c LEFT JOIN serv USING (trace_id) GROUP BY 1)"""))
+ FROM covered c LEFT JOIN serv USING (trace_id) GROUP BY 1)"""))
 def _(spark, sf):
     t = saved(spark, sf)
     n = att.service_boundaries(t.endings, t.observed, t.header).groupBy("trace_id").agg(F.count(F.lit(1)).alias("boundaries"))

@@ -1,18 +1,19 @@
-"""Forward traces from one reported transfer per desk, and what is read from them."""
+"""Forward traces from one reported transfer per desk of customers, and what is read from them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivermark.operators.trace import Trace, locate_seeds, prepare, trace
+from rivermark.operators.trace import MAX_EVENTS, MAX_HOPS, Trace, locate_seeds, prepare, trace
 from rivermark.plans.base import LABELS, LEDGER, SPENDABLE, SPENT, sql
 from rivermark.registry import query
 from rivermark.scale import cut
 from rivermark.sources import tables as src
 
-HOPS = 3
-#: Large enough not to bind, so the result does not depend on queue order.
-EVENTS = 1_000_000
+#: The walk's own defaults; the event budget binds in most traces of the given ledger.
+HOPS, EVENTS = MAX_HOPS, MAX_EVENTS
+#: An event budget that cannot bind.
+FREE = 1 << 60
 
 
 def traces(spark, sf, hops: int = HOPS, events: int = EVENTS):
@@ -37,36 +38,70 @@ def saved(spark, sf):
     return _SAVED[key]
 
 
-#: A wallet's agreed accepted claim at the arrival time of each spendable event.
-_STOP = """ac AS (SELECT x.event_reference, count(DISTINCT (lower(trim(l.entity_name)), l.entity_type, l.address_role)) AS k,
+#: The first transfer each desk reported, then what a trace starts from: a followed event or, for discovery, an address.
+_SEED = f"""seed AS (SELECT 't' || (sender_key // {src.DESK}) AS trace_id, arg_min(event_reference, (t, event_reference)) AS r FROM spent GROUP BY 1)"""
+_BEGIN = "begin_at AS (SELECT trace_id, r FROM seed)"
+
+#: Events and starting points with the wallet's agreed accepted claim, and how many departures follow each.
+_STOP = f"""arr AS (SELECT event_reference, network_key, to_address, t, coalesce(seq, '') AS q FROM spent
+ UNION ALL SELECT 'd:' || a, 'n0', a, 0, '' FROM (SELECT DISTINCT from_address AS a FROM ledger)),
+ac AS (SELECT x.event_reference, count(DISTINCT (lower(trim(l.entity_name)), l.entity_type, l.address_role)) AS k,
   arg_min(l.entity_name, l.row_no) AS entity_name, arg_min(l.entity_type, l.row_no) AS entity_type,
   arg_min(l.address_role, l.row_no) AS address_role, arg_min(l.source_reference, l.row_no) AS source_reference
- FROM spent x JOIN labels_in l ON l.network_key=x.network_key AND l.address=x.to_address
+ FROM arr x JOIN labels_in l ON l.network_key=x.network_key AND l.address=x.to_address
  WHERE l.assertion_type='service_control' AND l.review_state='accepted'
   AND (l.valid_from IS NULL OR x.t>=l.valid_from) AND (l.valid_to IS NULL OR x.t<=l.valid_to) GROUP BY 1),
-cand AS (SELECT x.event_reference, min(l.source_reference) AS cand_source FROM spent x JOIN labels_in l ON l.network_key=x.network_key AND l.address=x.to_address
+cand AS (SELECT x.event_reference, min(l.source_reference) AS cand_source FROM arr x JOIN labels_in l ON l.network_key=x.network_key AND l.address=x.to_address
  WHERE l.assertion_type='deposit_candidate' AND l.review_state NOT IN ('rejected','quarantined')
   AND (l.valid_from IS NULL OR x.t>=l.valid_from) AND (l.valid_to IS NULL OR x.t<=l.valid_to) GROUP BY 1),
 ev AS (SELECT s.*, coalesce(s.seq,'') AS q, ac.k, ac.entity_name, ac.entity_type, ac.address_role, ac.source_reference, coalesce(ac.k = 1, false) AS stop, cand_source
  FROM spent s LEFT JOIN ac USING (event_reference) LEFT JOIN cand USING (event_reference)),
-seed AS (SELECT 't' || (sender_key % 25) AS trace_id, arg_min(event_reference, (t, event_reference)) AS r FROM spent GROUP BY 1)"""
-
-_WALK = f"""walk(trace_id, r, hop) AS (
- SELECT trace_id, r, 0 FROM seed UNION
- SELECT w.trace_id, b.event_reference, w.hop + 1 FROM walk w
- JOIN ev a ON a.event_reference = w.r JOIN ev b ON b.from_address = a.to_address AND (b.t, b.q) > (a.t, a.q)
- WHERE NOT a.stop AND w.hop < {HOPS}),
-lvl AS (SELECT trace_id, r, min(hop) AS hop FROM walk GROUP BY 1,2),
-obs_t AS (SELECT l.trace_id, l.hop, e.* FROM lvl l JOIN ev e ON e.event_reference = l.r)"""
-
-WALK = (LEDGER, SPENT, LABELS, _STOP, _WALK)
+looks AS (SELECT a.event_reference, count(b.event_reference) AS looked FROM arr a LEFT JOIN ledger b ON b.from_address = a.to_address AND b.t >= a.t AND b.t <= {src.CUTOFF} GROUP BY 1),
+follows AS (SELECT a.event_reference, count(b.event_reference) AS follow FROM arr a LEFT JOIN ev b ON b.from_address = a.to_address AND (b.t, b.q) > (a.t, a.q) GROUP BY 1),
+info AS MATERIALIZED (SELECT a.event_reference AS r, a.to_address AS address, a.t, a.q, ac.k, coalesce(ac.k = 1, false) AS stop, cand_source, entity_name, entity_type, address_role, source_reference, looked, follow
+ FROM arr a LEFT JOIN ac USING (event_reference) LEFT JOIN cand USING (event_reference) JOIN looks USING (event_reference) JOIN follows USING (event_reference))"""
 
-#: Direct successors; an event won by the earliest-queued arrival of the level before.
-_NEXT = """nx AS (SELECT a.trace_id, a.event_reference AS pr, b.event_reference AS cr, a.hop AS ph, b.hop AS ch FROM obs_t a JOIN obs_t b
-  ON a.trace_id = b.trace_id AND b.from_address = a.to_address AND (b.t, b.q) > (a.t, a.q) WHERE NOT a.stop)"""
 
+def _levels(hops: int, events: int) -> str:
+    """The walk level by level: queue places, the event budget, claimed events, endings.
 
-@query("trace_transfers", sql(*WALK, body="""
+    ``n`` is a state's place in the queue of its level and ``used`` what the trace had looked
+    at before the level. A departure belongs to the earliest-queued arrival before it.
+    """
+    out = ["sq0 AS MATERIALIZED (SELECT trace_id, r, 1 AS n, CASE WHEN r LIKE 'd:%' THEN '' ELSE r END AS path, 0::HUGEINT AS used, NULL AS parent FROM begin_at)"]
+    for h in range(hops):
+        claimed = " ".join(f"AND NOT EXISTS (SELECT 1 FROM sq{g} o WHERE o.trace_id = d.trace_id AND o.r = d.r)" for g in range(1, h + 1))
+        out.append(f"""aq{h} AS MATERIALIZED (SELECT *, before >= {events} AS late FROM (
+  SELECT s.*, i.* EXCLUDE (r), used + coalesce(sum(CASE WHEN i.stop THEN 0 ELSE looked END) OVER (PARTITION BY trace_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sq{h} s JOIN info i USING (r)))""")
+        out.append(f"""dq{h} AS MATERIALIZED (SELECT trace_id, r, n, t, q FROM (
+  SELECT trace_id, address, r, kind, t, q, min(n) OVER (PARTITION BY trace_id, address ORDER BY t, q, kind ROWS UNBOUNDED PRECEDING) AS n FROM (
+   SELECT trace_id, address, NULL AS r, 1 AS kind, t, q, n FROM aq{h} WHERE NOT late AND NOT stop
+   UNION ALL SELECT w.trace_id, w.address, e.event_reference, 0, e.t, e.q, NULL
+   FROM (SELECT DISTINCT trace_id, address FROM aq{h} WHERE NOT late AND NOT stop) w JOIN ev e ON e.from_address = w.address))
+  WHERE kind = 0 AND n IS NOT NULL)""")
+        out.append(f"""sq{h + 1} AS MATERIALIZED (SELECT d.trace_id, d.r, row_number() OVER (PARTITION BY d.trace_id ORDER BY d.n, d.t, d.q, d.r) AS n,
+  CASE WHEN p.path = '' THEN d.r ELSE p.path || '>' || d.r END AS path, u.used, d.n AS parent
+ FROM dq{h} d JOIN aq{h} p ON p.trace_id = d.trace_id AND p.n = d.n
+ JOIN (SELECT trace_id, max(used) + sum(CASE WHEN stop OR late THEN 0 ELSE looked END) AS used FROM aq{h} GROUP BY 1) u ON u.trace_id = d.trace_id WHERE true {claimed})""")
+    out.append(f"aq{hops} AS (SELECT s.*, i.* EXCLUDE (r), used AS before, true AS late FROM sq{hops} s JOIN info i USING (r))")
+    every = [f"SELECT {h} AS hop, * FROM aq{h}" for h in range(hops + 1)]
+    out.append("st AS MATERIALIZED (SELECT * FROM (" + " UNION ALL ".join(every) + "))")
+    out.append("obs_t AS MATERIALIZED (SELECT x.trace_id, x.hop, e.* FROM st x JOIN ev e ON e.event_reference = x.r)")
+    out.append("exam AS (SELECT trace_id, sum(CASE WHEN late OR stop THEN 0 ELSE looked END)::BIGINT AS events_examined FROM st GROUP BY 1)")
+    out.append(f"""endings AS MATERIALIZED (
+ SELECT trace_id, address, 'boundary' AS endpoint_class, CASE WHEN hop = {hops} THEN 'hop_limit' ELSE 'event_limit' END AS boundary_reason, hop, path, r, NULL AS source_reference FROM st WHERE late
+ UNION ALL SELECT trace_id, address, 'known_service', 'service_boundary', hop, path, r, source_reference FROM st WHERE NOT late AND stop
+ UNION ALL SELECT trace_id, address, 'deposit_candidate', NULL, hop, path, r, cand_source FROM st WHERE NOT late AND NOT stop AND cand_source IS NOT NULL
+ UNION ALL SELECT trace_id, address, 'unresolved', CASE WHEN follow = 0 THEN 'no_outgoing_activity' END, hop, path, r, NULL
+  FROM st WHERE NOT late AND NOT stop AND NOT EXISTS (SELECT 1 FROM st c WHERE c.trace_id = st.trace_id AND c.hop = st.hop + 1 AND c.parent = st.n))""")
+    return ",\n".join(out)
+
+
+ENDINGS = (LEDGER, SPENT, LABELS, _SEED, _BEGIN, _STOP, _levels(HOPS, EVENTS))
+
+
+@query("trace_transfers", sql(*ENDINGS, body="""
 SELECT trace_id, event_reference, from_address, to_address, CAST(amount AS VARCHAR) AS amount_base_units,
  CAST(hop AS BIGINT) AS hop_depth FROM obs_t"""))
 def _(spark, sf):
@@ -75,34 +110,6 @@ def _(spark, sf):
     )
 
 
-_QUEUE = f"""q(trace_id, r, hop, key) AS (
- SELECT trace_id, r, 0, [(SELECT printf('%012d', t) || ' ' || q || ' ' || event_reference FROM ev WHERE event_reference = seed.r)] FROM seed),
-k1 AS (SELECT c.trace_id, c.event_reference AS r, c.hop, min(list_append(p.key, printf('%012d', c.t) || ' ' || c.q || ' ' || c.event_reference)) AS key
- FROM obs_t c JOIN q p ON p.trace_id = c.trace_id JOIN ev pe ON pe.event_reference = p.r
- WHERE c.hop = 1 AND NOT pe.stop AND c.from_address = pe.to_address AND (c.t, c.q) > (pe.t, pe.q) GROUP BY 1,2,3),
-k2 AS (SELECT c.trace_id, c.event_reference AS r, c.hop, min(list_append(p.key, printf('%012d', c.t) || ' ' || c.q || ' ' || c.event_reference)) AS key
- FROM obs_t c JOIN k1 p ON p.trace_id = c.trace_id JOIN ev pe ON pe.event_reference = p.r
- WHERE c.hop = 2 AND NOT pe.stop AND c.from_address = pe.to_address AND (c.t, c.q) > (pe.t, pe.q) GROUP BY 1,2,3),
-k3 AS (SELECT c.trace_id, c.event_reference AS r, c.hop, min(list_append(p.key, printf('%012d', c.t) || ' ' || c.q || ' ' || c.event_reference)) AS key
- FROM obs_t c JOIN k2 p ON p.trace_id = c.trace_id JOIN ev pe ON pe.event_reference = p.r
- WHERE c.hop = 3 AND NOT pe.stop AND c.from_address = pe.to_address AND (c.t, c.q) > (pe.t, pe.q) GROUP BY 1,2,3),
-ks AS (SELECT * FROM q UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3),
-st AS (SELECT ks.trace_id, ks.r, ks.hop, array_to_string(list_transform(key, lambda x: split_part(x, ' ', 3)), '>') AS path, e.to_address AS address,
-  e.stop, e.cand_source, e.k, e.entity_name, e.entity_type, e.address_role, e.source_reference, e.amount, e.t, ks.key FROM ks JOIN ev e ON e.event_reference = ks.r),
-wins AS (SELECT trace_id, list_extract(key, -2) AS p, count(*) AS won FROM ks WHERE hop > 0 GROUP BY 1,2),
-foll AS (SELECT s.trace_id, s.r, count(b.event_reference) AS follow FROM st s JOIN ev e ON e.event_reference = s.r
-  LEFT JOIN ev b ON b.from_address = e.to_address AND (b.t, b.q) > (e.t, e.q) WHERE NOT s.stop GROUP BY 1,2),
-endings AS (
- SELECT trace_id, address, 'boundary' AS endpoint_class, 'hop_limit' AS boundary_reason, hop, path, r, NULL AS source_reference FROM st WHERE hop = {HOPS}
- UNION ALL SELECT trace_id, address, 'known_service', 'service_boundary', hop, path, r, source_reference FROM st WHERE hop < {HOPS} AND stop
- UNION ALL SELECT trace_id, address, 'deposit_candidate', NULL, hop, path, r, cand_source FROM st WHERE hop < {HOPS} AND NOT stop AND cand_source IS NOT NULL
- UNION ALL SELECT s.trace_id, s.address, 'unresolved', CASE WHEN follow = 0 THEN 'no_outgoing_activity' END, s.hop, s.path, s.r, NULL
-  FROM st s JOIN foll f USING (trace_id, r) LEFT JOIN wins w ON w.trace_id = s.trace_id AND w.p = list_extract(s.key, -1)
-  WHERE s.hop < {HOPS} AND NOT s.stop AND w.won IS NULL)"""
-
-ENDINGS = (*WALK, _QUEUE)
-
-
 @query("trace_endings", sql(*ENDINGS, body="""
 SELECT trace_id, address, endpoint_class, boundary_reason, CAST(hop AS BIGINT) AS hop_depth, path AS branch_path,
  r AS arrival_event_reference, source_reference FROM endings"""))
@@ -113,34 +120,68 @@ def _(spark, sf):
     )
 
 
-_LIMITS = f"""lim AS (
- SELECT DISTINCT s.trace_id, 'conflicting_service_labels' AS code, s.address, NULL AS event_reference FROM st s WHERE hop < {HOPS} AND k > 1
+_LIMITS = f"""lim AS MATERIALIZED (
+ SELECT DISTINCT s.trace_id, 'conflicting_service_labels' AS code, s.address, NULL AS event_reference FROM st s WHERE NOT late AND k > 1
  UNION SELECT DISTINCT s.trace_id, 'execution_or_finality_unverified', s.address, b.event_reference
   FROM st s JOIN ledger b ON b.from_address = s.address AND b.t >= s.t AND b.t <= {src.CUTOFF}
-  WHERE s.hop < {HOPS} AND NOT s.stop AND b.event_kind='transfer' AND b.amount>0 AND b.confirmation_state<>'removed'
+  WHERE NOT s.late AND NOT s.stop AND b.event_kind='transfer' AND b.amount>0 AND b.confirmation_state<>'removed'
    AND NOT (b.execution_status='success' AND b.confirmation_state='confirmed')
  UNION SELECT DISTINCT s.trace_id, 'ambiguous_ordering', s.address, b.event_reference
-  FROM st s JOIN ev e ON e.event_reference = s.r JOIN ev b ON b.from_address = s.address AND b.t = s.t AND b.q <= e.q
-  WHERE s.hop < {HOPS} AND NOT s.stop AND (b.ordering_ambiguous OR b.seq IS NULL))"""
+  FROM st s JOIN ev b ON b.from_address = s.address AND b.t = s.t AND b.q <= s.q
+  WHERE NOT s.late AND NOT s.stop AND (b.ordering_ambiguous OR b.seq IS NULL))"""
+#: Whether budgets or doubts leave a trace partial, and how far it went.
+_COVERED = """covered AS (SELECT s.trace_id, CASE WHEN EXISTS (SELECT 1 FROM endings e WHERE e.trace_id = s.trace_id AND boundary_reason IN ('hop_limit','event_limit'))
+  OR EXISTS (SELECT 1 FROM lim WHERE lim.trace_id = s.trace_id AND code <> 'conflicting_service_labels') THEN 'partial' ELSE 'complete_within_scope' END AS coverage_status,
+ (SELECT CAST(max(hop) AS BIGINT) FROM endings e WHERE e.trace_id = s.trace_id) AS hops_used FROM begin_at s)"""
 
 
 @query("trace_limitations", sql(*ENDINGS, _LIMITS, body="SELECT * FROM lim"))
 def _(spark, sf):
-    return traces(spark, sf).limitations
+    return saved(spark, sf).limitations
 
 
-@query("trace_headers", sql(*ENDINGS, _LIMITS, body=f"""
-SELECT s.trace_id, s.r AS seed_event_reference, 'followed' AS state, 'established' AS case_flow_linkage, CASE WHEN EXISTS (SELECT 1 FROM endings e WHERE e.trace_id = s.trace_id AND boundary_reason='hop_limit')
-  OR EXISTS (SELECT 1 FROM lim WHERE lim.trace_id = s.trace_id AND code <> 'conflicting_service_labels') THEN 'partial' ELSE 'complete_within_scope' END AS coverage_status,
- (SELECT CAST(max(hop) AS BIGINT) FROM endings e WHERE e.trace_id = s.trace_id) AS hops_used,
- (SELECT count(*) FROM st x JOIN ledger b ON b.from_address = x.address AND b.t >= x.t AND b.t <= {src.CUTOFF}
-   WHERE x.trace_id = s.trace_id AND x.hop < {HOPS} AND NOT x.stop) AS events_examined FROM seed s"""))
+@query("trace_headers", sql(*ENDINGS, _LIMITS, _COVERED, body="""
+SELECT s.trace_id, s.r AS seed_event_reference, 'followed' AS state, 'established' AS case_flow_linkage, coverage_status, hops_used, events_examined
+FROM seed s JOIN covered USING (trace_id) JOIN exam USING (trace_id)"""))
 def _(spark, sf):
-    return traces(spark, sf).header.select(
+    return saved(spark, sf).header.select(
         "trace_id", "seed_event_reference", "state", "case_flow_linkage", "coverage_status", "hops_used", "events_examined"
     )
 
 
+@query("trace_hop_limit", sql(LEDGER, SPENT, LABELS, _SEED, _BEGIN, _STOP, _levels(2, FREE), body="""
+SELECT trace_id, address, endpoint_class, boundary_reason, CAST(hop AS BIGINT) AS hop_depth, path AS branch_path FROM endings"""))
+def _(spark, sf):
+    """Two hops without an event budget: every branch that goes on ends at the hop limit."""
+    return traces(spark, sf, 2, FREE).endings.select(
+        "trace_id", "address", "endpoint_class", "boundary_reason", "hop_depth", F.array_join("branch_path", ">").alias("branch_path")
+    )
+
+
+_KINDS = f"""spend AS (SELECT event_reference, {SPENDABLE} AS ok FROM ledger),
+first_any AS (SELECT sender_key // {src.DESK} AS desk, arg_min(event_reference, (t, event_reference)) AS r, arg_min(from_address, (t, event_reference)) AS address
+ FROM ledger WHERE event_kind = 'transfer' AND NOT ({SPENDABLE}) GROUP BY 1),
+first_sent AS (SELECT sender_key // {src.DESK} AS desk, arg_min(from_address, (t, event_reference)) AS address FROM spent GROUP BY 1),
+begin_at AS (SELECT 'd' || desk AS trace_id, 'd:' || address AS r FROM first_sent)"""
+
+
+@query("trace_seed_gate", sql(LEDGER, SPENT, LABELS, _KINDS, _STOP, _levels(HOPS, EVENTS), _LIMITS, _COVERED, body="""
+SELECT 'r' || desk AS trace_id, 'rejected' AS state, 'not_established' AS case_flow_linkage, 'partial' AS coverage_status, 0::BIGINT AS hops_used, 0::BIGINT AS events_examined,
+ 0::BIGINT AS observed, 0::BIGINT AS endings, 1::BIGINT AS limitations FROM first_any
+UNION ALL SELECT trace_id, 'discovery', 'not_established', coverage_status, hops_used, events_examined,
+ (SELECT count(*) FROM obs_t o WHERE o.trace_id = c.trace_id), (SELECT count(*) FROM endings e WHERE e.trace_id = c.trace_id), (SELECT count(*) FROM lim l WHERE l.trace_id = c.trace_id)
+FROM covered c JOIN exam USING (trace_id)"""))
+def _(spark, sf):
+    """Walks from a seed that is not verified and from an address alone, one of each for every desk."""
+    ledger = src.ledger(spark, sf)
+    t = trace(src.doubtful_seeds(ledger), ledger, src.labels(spark, sf), F.timestamp_seconds(F.lit(src.CUTOFF)), HOPS, EVENTS)
+    out = t.header.select("trace_id", "state", "case_flow_linkage", "coverage_status", "hops_used", "events_examined")
+    for name, part in (("observed", t.observed), ("endings", t.endings), ("limitations", t.limitations)):
+        n = part.groupBy("trace_id").agg(F.count(F.lit(1)).alias(name))
+        out = out.join(n, "trace_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return out
+
+
 @query("seed_states", sql(LEDGER, body=f"""
 SELECT DISTINCT 'q:' || event_reference AS trace_id, CASE WHEN order_key % 5 = 4 THEN 'discovery' WHEN order_key % 5 = 1 AND to_address <> from_address THEN 'unavailable'
  WHEN t > {src.EPOCH + 300000} OR (order_key % 5 = 2 AND t < {src.EPOCH + 100000}) THEN 'unavailable' WHEN {SPENDABLE} THEN 'followed' ELSE 'rejected' END AS state FROM ledger"""))

@@ -8,6 +8,7 @@ along. Each has one answer here.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 #: At most this many keys can be called hot, whatever the table size.
 MAX_HOT_KEYS = 10_000
-#: Largest dimension that is broadcast; above it the salted join is used.
-BROADCAST_ROWS = 200_000
+#: Largest dimension that is broadcast, in rows and bytes; above it the salted join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 SALTS = 32
 
 
@@ -49,22 +50,79 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fits(dim: DataFrame) -> bool:
+    """Whether a frame is small enough to broadcast, by its rows and the bytes of its values."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns]))))
+    rows, held = dim.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES
+
+
 def dim_join(
-    fact: DataFrame, dim: DataFrame, keys: list[str], how: str, spread: list[str]
+    fact: DataFrame, dim: DataFrame, keys: list[str], how: str, spread: list[str], small: bool | None = None
 ) -> DataFrame:
     """Join a fact to a dimension that may have hot keys on the fact side.
 
-    The dimension is counted. Small ones are broadcast, so the fact is not
-    shuffled at all. Larger ones are copied once per salt and the fact rows of
-    one key are spread over the salts by a hash of ``spread``.
+    The dimension is measured unless ``small`` says what was found before. Small ones are
+    broadcast, so the fact is not shuffled at all. Larger ones are copied once per salt and
+    the fact rows of one key are spread over the salts by a hash of ``spread``.
     """
-    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(dim) if small is None else small:
         return fact.join(F.broadcast(dim), keys, how)
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS).cast("long")))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+class Laid:
+    """A table written once in buckets of some keys, sorted inside them, for many joins.
+
+    A key with more than ``HOT_ROWS`` rows is dealt over several buckets by a hash of
+    ``spread``; at most ``MAX_HOT_KEYS`` keys can be that large. ``join`` brings only the other
+    side to the buckets, so the table itself is shuffled once, when it is written.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], spread: str, rows: int | None = None):
+        """``rows`` spares counting the keys where the caller knows that the table is small."""
+        spark = df.sparkSession
+        _checkpoint_ready(spark)
+        self.spark, self.keys, self.name = spark, keys, f"rivermark_{uuid.uuid4().hex}"
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{self.name}"
+        self.any_hot = False
+        if rows is None or rows > HOT_ROWS:
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            # A floor that grows with the table keeps the number of hot keys below MAX_HOT_KEYS.
+            floor = df.agg(F.count(F.lit(1)) / F.lit(MAX_HOT_KEYS)).scalar()
+            hot = counts.filter(F.col("_n") > F.greatest(F.lit(HOT_ROWS).cast("double"), floor))
+            self.hot = cut(hot.select(*keys, F.ceil(F.col("_n") / F.lit(HOT_ROWS)).cast("int").alias("_deals")))
+            self.any_hot = not self.hot.isEmpty()
+        deal = F.lit(0)
+        if self.any_hot:
+            df = df.join(F.broadcast(self.hot), keys, "left")
+            deal = F.pmod(F.xxhash64(spread), F.coalesce("_deals", F.lit(1)).cast("long")).cast("int")
+        df = df.withColumn("_deal", deal).drop("_deals")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # One file per bucket: the rows are dealt to tasks as they are dealt to buckets.
+        df.repartition(n, *keys, "_deal").write.bucketBy(n, *keys, "_deal").sortBy(*keys, *order).option("path", self.path).saveAsTable(self.name)
+        self.df = spark.table(self.name).drop("_deal")
+
+    def join(self, other: DataFrame, small: bool | None = None) -> DataFrame:
+        """Inner join on the keys; a small side is broadcast, a larger one goes to the buckets."""
+        if fits(other) if small is None else small:
+            return self.df.join(F.broadcast(other), self.keys)
+        deals = F.array(F.lit(0))
+        if self.any_hot:
+            other = other.join(F.broadcast(self.hot), self.keys, "left")
+            deals = F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1)
+        dealt = other.withColumn("_deal", F.explode(deals)).drop("_deals")
+        return self.spark.table(self.name).join(dealt, [*self.keys, "_deal"]).drop("_deal")
+
+    def drop(self) -> None:
+        """Remove the table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def with_cells(
     df: DataFrame, keys: list[str], position: Column, width: int, hot_rows: int | None = None
 ) -> DataFrame:

@@ -16,6 +16,8 @@ EPOCH = 1767225600
 #: 1995-01-01T00:00:00Z, the first order date.
 FIRST_DATE = 788918400
 CUTOFF = EPOCH + 500_000
+#: Customers that one desk looks after.
+DESK = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,10 +115,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(events: DataFrame) -> DataFrame:
-    """One reported transfer per customer group: the earliest spendable one.
+    """One reported transfer per desk: the earliest spendable one.
 
-    Groups are the sender key modulo 25, as the customers of one desk; every
-    event takes part in the choice.
+    A desk has ``DESK`` customers, so seeds grow with the ledger; every event takes
+    part in the choice.
     """
     from rivermark.functions.predicates import spendable
 
@@ -126,7 +128,7 @@ def seeds(events: DataFrame) -> DataFrame:
     )
     return (
         events.filter(spendable())
-        .groupBy(F.expr("sender_key % 25").alias("desk"))
+        .groupBy(F.expr(f"sender_key div {DESK}").alias("desk"))
         .agg(first.alias("s"))
         .select(F.concat(F.lit("t"), "desk").alias("trace_id"), "s.*")
         .withColumnRenamed("event_reference", "seed_event_reference")
@@ -134,6 +136,23 @@ def seeds(events: DataFrame) -> DataFrame:
     )
 
 
+def doubtful_seeds(events: DataFrame) -> DataFrame:
+    """Two seeds per desk: its earliest transfer that is not verified, and a sender's address alone."""
+    from rivermark.functions.predicates import spendable
+
+    at = F.struct("block_time", "event_reference")
+    desk = F.expr(f"sender_key div {DESK}").alias("desk")
+    reported = events.filter((F.col("event_kind") == "transfer") & ~spendable()).groupBy(desk).agg(
+        F.min_by(F.struct("event_reference", "network_key", "token_contract", "from_address"), at).alias("s")
+    ).select(F.concat(F.lit("r"), "desk").alias("trace_id"), "s.*")
+    address = events.filter(spendable()).groupBy(desk).agg(
+        F.min_by(F.struct("network_key", "token_contract", "from_address"), at).alias("s")
+    ).select(F.concat(F.lit("d"), "desk").alias("trace_id"), F.lit(None).cast("string").alias("event_reference"), "s.*")
+    return reported.unionByName(address).withColumnRenamed("event_reference", "seed_event_reference").withColumnRenamed(
+        "from_address", "seed_address"
+    )
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events as per-wallet evidence rows (incoming or outgoing)."""
     e = table(spark, sf_dir, "events")

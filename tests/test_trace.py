@@ -83,6 +83,14 @@ def test_what_does_not_carry_value(spark):
     assert codes(t) == {("execution_or_finality_unverified", "unk")}
 
 
+def test_events_without_time_go_by_sequence(spark):
+    t = run(spark, [
+        ev("s", "A", "B", 10, "010"), ev("e0", "B", "D", None, "005"), ev("e1", "B", "C", None, "020"), ev("e2", "C", "E", 50, "050"),
+        ev("e3", "C", "F", 5, "015"), ev("e4", "E", "B", 60, "060"), ev("e5", "B", "G", None, "070"),
+    ])
+    assert refs(t) == {"s": 0, "e1": 1, "e2": 2, "e4": 3, "e5": 1}
+
+
 def test_labels(spark):
     rows = [ev("s", "A", "B", 1), ev("x", "B", "C", 2), ev("y", "C", "D", 3), ev("z", "D", "E", 4)]
     assert ("C", "known_service", "service_boundary", "s>x") in ends(run(spark, rows, [label("C")]))
@@ -147,19 +155,55 @@ def queue_walk(rows, seed, hops, budget, stops):
     return seen, endings
 
 
-@pytest.mark.parametrize("case,budget", [(0, 5000), (1, 5000), (2, 25), (3, 12), (4, 40), (5, 1)])
-def test_equals_a_queue_walk(spark, case, budget):
+@pytest.mark.parametrize("case,budget,hops", [(1, 5000, 8), (2, 25, 4), (4, 40, 8), (5, 1, 4)])
+def test_equals_a_queue_walk(spark, case, budget, hops):
+    same_as_queue_walk(spark, case, budget, hops)
+
+
+def same_as_queue_walk(spark, case, budget, hops):
     r = random.Random(case)
     rows = [ev("s", "w0", "w1", 0, "0")]
     for i in range(140):
         rows.append(ev(f"e{i:03d}", f"w{r.randrange(14)}", f"w{r.randrange(14)}", r.randrange(60), r.choice(["", None, f"{r.randrange(50):03d}"])))
     stops = {"w5", "w9"}
-    seen, endings = queue_walk(rows, "s", 4, budget, stops)
-    t = run(spark, rows, [label(a, n=i) for i, a in enumerate(stops)], hops=4, budget=budget, address="w0")
+    seen, endings = queue_walk(rows, "s", hops, budget, stops)
+    t = run(spark, rows, [label(a, n=i) for i, a in enumerate(stops)], hops=hops, budget=budget, address="w0")
     assert refs(t) == seen
     assert {(r.address, r.boundary_reason, tuple(r.branch_path)) for r in t.endings.collect()} == endings
 
 
+@pytest.mark.parametrize("case,budget,hops", [(7, 60, 8)])
+def test_equals_a_queue_walk_through_buckets(spark, monkeypatch, case, budget, hops):
+    """Nothing fits a broadcast and every wallet is hot."""
+    from rivermark import scale
+
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scale, "HOT_ROWS", 3)
+    same_as_queue_walk(spark, case, budget, hops)
+
+
+def test_the_ledger_is_written_once_and_not_shuffled_again(spark, monkeypatch):
+    from rivermark import scale
+
+    rows = spark.range(2000).selectExpr("id % 40 AS w", "id AS t", "concat('e', id) AS ref", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 40 END AS h")
+    rows = rows.selectExpr("h AS w", "t", "ref")
+    other = spark.range(20).selectExpr("id AS w", "id * 3 AS x")
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scale, "HOT_ROWS", 100)
+    laid = scale.Laid(rows, ["w"], ["t"], "ref")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = laid.join(other)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert laid.any_hot and "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(joined.collect()) == sorted(rows.join(other, "w").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    deals = spark.table(laid.name).filter("w = 7").select("_deal").distinct().count()
+    assert deals == laid.hot.filter("w = 7").first()._deals > 4
+    laid.drop()
+    assert not spark.catalog.tableExists(laid.name)
+
+
 def test_many_traces_and_hot_cells_agree(spark, monkeypatch):
     from rivermark import scale
     from rivermark.plans.traces import traces
