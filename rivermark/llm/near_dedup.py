@@ -21,6 +21,8 @@ What happens with the documents that meet:
   many, until each bucket is one component or all its nodes have been pivots. Pairs
   inside a component need no comparison, and as components grow from round to round
   little is left for the large rounds; but nothing that could join two is left out.
+* Nodes and sets of a large bucket are dealt over blocks of bounded size and sent once per
+  pair of blocks. Pairs exist as rows only after the sketch let them pass, each pair once.
 * Before the second comparison the shingles that only one unfinished node has are counted.
   They can be in no intersection, which bounds the similarity of every pair from above;
   nodes that cannot reach the limit with any other are finished.
@@ -49,13 +51,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermark.llm.common import staged, table, text_of
+from rivermark.llm.common import Copies, table, text_of
 from rivermark.registry import query
 
 SHINGLE, PERCENT = 4, 80
 PERMUTATIONS, ROWS, SKETCH = 64, 4, 1024
 #: Pivots per unfinished bucket after the first, and their growth from round to round.
 PIVOTS, GROWTH = 8, 64
+#: Nodes of a bucket that are compared in one block, and shingles of the sets in one block.
+BLOCK, SHINGLES = 2048, 500_000
 #: Bytes of text that are hashed at one time.
 CHUNK = 4_000_000
 
@@ -76,7 +80,7 @@ _BYTE = _numbers(1, 256)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _BAND = _numbers(2, 1)[0], _numbers(3, 64)
+_BAND = _numbers(3, 64)
 _SLOPES, _SHIFTS = _numbers(4, PERMUTATIONS)[:, None], _numbers(5, PERMUTATIONS)[:, None]
 _MORE_SLOPES, _MORE_SHIFTS = _numbers(9, SKETCH)[:, None], _numbers(10, SKETCH)[:, None]
 
@@ -89,8 +93,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), begins
     spans = np.diff(np.append(begins, len(data)))
     place = np.arange(begins[0], len(data)) - np.repeat(begins, spans)
-    powers = np.cumprod(np.full(int(spans.max()), _BASE, np.uint64))
-    parts = _BYTE[data[begins[0] :]] * powers[place]
+    parts = _BYTE[data[begins[0] :]] * _numbers(2, int(spans.max()))[place]
     parts[space[begins[0] :]] = 0
     return _mix(np.add.reduceat(parts, begins - begins[0])), begins
 
@@ -206,58 +209,188 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """node and the 64-bit numbers s0, s1, ... that hold the sketch's bits."""
+    """node and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for elements in batch.column("shingles"):
-                rows.append(np.packbits(_sketch(elements.values.to_numpy().view(np.uint64))).view(np.int64))
-            columns = np.stack(rows).T if rows else np.empty((SKETCH // 32, 0), np.int64)
-            arrays = [batch.column("node"), *[pa.array(np.ascontiguousarray(c)) for c in columns]]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", *_SKETCH_COLUMNS])
-
-    return sets.select("node", "shingles").mapInArrow(run, "node binary, " + ", ".join(f"{c} long" for c in _SKETCH_COLUMNS))
-
-
-_SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH // 32)]
+            rows = [np.packbits(_sketch(e.values.to_numpy().view(np.uint64))).tobytes() for e in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.binary())], ["node", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node binary, sketch binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal ``keys`` of a partition that is sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if not len(columns[0]):
+            continue
+        new = np.zeros(len(columns[0]), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        new[0] = last is not None and first != last
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for k, (begin, end) in enumerate(zip(cuts, cuts[1:])):
+            if k and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if end > begin:
+                held.append(batch.slice(begin, end - begin))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """A binary column whose values have equal length, as a matrix."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
+def _candidates(open_: DataFrame, chosen: Column, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs of members and pivots of a bucket that may be similar, each pair once.
+
+    ``open_`` has bucket, total, node, root, n, r, lower (its bands below the bucket's own) and
+    sketch; ``chosen`` tells the pivots. Members and pivots of a large bucket are dealt over
+    blocks, and every block of members meets every block of pivots, so a row travels once
+    per block of the other side and pairs exist only where they are compared. A pair that
+    shares several buckets is taken in the one with the lowest band: while their roots differ
+    that one is unfinished too, or has compared all its nodes.
+    """
+    deals = F.ceil(F.col("total") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), deals.cast("long")).cast("int")
+    rows = open_.withColumn("pivot", chosen).withColumn("_own", own).withColumn("_deals", deals)
+    every = F.sequence(F.lit(0), F.col("_deals") - 1)
+    sides = F.array(
+        F.struct(F.lit(False).alias("met"), every.alias("others")),
+        F.struct(F.lit(True).alias("met"), F.when(F.col("pivot"), every).otherwise(F.array().cast("array<int>")).alias("others")),
+    )
+    facts = ["node", "root", "n", "r", "lower", "sketch", "pivot"]
+    sent = rows.withColumn("_side", F.explode(sides)).withColumn("_other", F.explode("_side.others")).select(
+        "bucket", "band", F.when(F.col("_side.met"), F.col("_other")).otherwise(F.col("_own")).alias("mine"),
+        F.when(F.col("_side.met"), F.col("_own")).otherwise(F.col("_other")).alias("theirs"), F.col("_side.met").alias("met"), *facts,
+    )
+    limit, keys = _unlike(percent), ["bucket", "band", "mine", "theirs"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            met = group.column("met").to_numpy(zero_copy_only=False).astype(bool)
+            if met.all() or not met.any():
+                continue
+            node = group.column("node").to_numpy(zero_copy_only=False)
+            root = np.unique(group.column("root").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            n, r = (group.column(c).to_numpy() for c in ("n", "r"))
+            sketch, pivot = _bytes(group.column("sketch"), np.uint64), group.column("pivot").to_numpy(zero_copy_only=False).astype(bool)
+            lower = _bytes(group.column("lower"), np.uint8).view(np.int64) if len(group.column("lower")[0].as_py()) else np.zeros((len(n), 0), np.int64)
+            left, right = np.flatnonzero(~met), np.flatnonzero(met)
+            step = max(1, 2_000_000 // (len(right) * sketch.shape[1]))
+            for at in range(0, len(left), step):
+                mine = left[at : at + step]
+                most = np.minimum(r[mine][:, None], r[right][None])
+                ok = (root[mine][:, None] != root[right][None]) & (100 * most >= percent * (n[mine][:, None] + n[right][None] - most))
+                i, j = np.nonzero(ok)
+                i, j = mine[i], right[j]
+                for cut in range(0, len(i), 100_000):
+                    a, b = i[cut : cut + 100_000], j[cut : cut + 100_000]
+                    near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= limit
+                    a, b = a[near], b[near]
+                    # Two pivots meet twice, and pairs that share a lower band met there.
+                    once = ~(lower[a] == lower[b]).any(1) & (~pivot[a] | np.array([node[x] < node[y] for x, y in zip(a, b)], bool))
+                    a, b = a[once], b[once]
+                    if len(a):
+                        x = [min(node[p], node[q]) for p, q in zip(a, b)]
+                        y = [max(node[p], node[q]) for p, q in zip(a, b)]
+                        yield pa.RecordBatch.from_arrays(
+                            [group.column("bucket").combine_chunks().take(pa.array(a)), pa.array(x, pa.binary()), pa.array(y, pa.binary())],
+                            ["bucket", "a", "b"])
+
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "bucket long, a binary, b binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int = SHINGLES) -> DataFrame:
+    """The pairs (bucket, a, b) whose full sets are similar enough.
+
+    The sets of a bucket are dealt over blocks of about ``block`` shingles and travel once
+    for every pair of blocks that has a pair of documents, not once for every pair.
+    """
+    size = sets.select("node", F.size("shingles").alias("n"))
+    ends = pairs.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
+    deals = ends.join(size, "node").groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(block)).alias("deals"))
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("inter", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("inter")
-    return both.filter(100 * F.col("inter") >= percent * union).select("a", "b")
+    def dealt(node: str) -> Column:
+        return F.pmod(F.xxhash64(node, F.lit(6)), F.col("deals")).cast("int")
 
+    placed = pairs.join(deals, "bucket").select("bucket", dealt("a").alias("i"), dealt("b").alias("j"), "a", "b")
+    keys = ["bucket", "i", "j"]
+    wanted = placed.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
+    none = F.lit(None)
+    first = wanted.join(sets, "node").select(*keys, F.col("node").alias("a"), none.cast("binary").alias("b"), "shingles")
+    rows = first.unionByName(placed.select(*keys, "a", "b", none.cast("array<long>").alias("shingles")))
 
-def components(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            held, found = {}, []
+            for a, b, shingles in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), group.column("shingles")):
+                if b is None:
+                    held[a] = shingles.values.to_numpy()
+                    continue
+                x, y = held[a], held[b]
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+
+    # Within a group the sets come before the pairs.
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first()).mapInArrow(run, "a binary, b binary")
+
+
+def components(links: DataFrame, copies: Copies | None = None) -> DataFrame:
     """node and root (the component's smallest node) for all nodes with a link.
 
     Alternating large-star and small-star steps: every node is hung below the smallest
     node it knows, first its larger neighbours, then its smaller ones. Rounds grow with
     the logarithm of a component's size, and a hub's neighbours are folded before they
-    meet.
+    meet. The result reads the copy ``edges``.
     """
     def known(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    copies = copies or Copies(links.sparkSession)
+    edges = copies.write("edges", links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, known(edges)
     while now != before:
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        below = staged(large.filter("a <> b").distinct())
-        least = staged(below.groupBy("a").agg(F.min("b").alias("m")))
+        below = copies.write("below", large.filter("a <> b").distinct())
+        least = below.groupBy("a").agg(F.min("b").alias("m"))
         met = below.join(least, "a")
         small = met.select("a", F.col("m").alias("b")).union(met.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = staged(small.filter("a <> b").distinct())
+        edges = copies.write("edges", small.filter("a <> b").distinct())
+        copies.drop("below")
+        copies.drop("edges", keep=1)
         before, now = now, known(edges)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _merged(roots: DataFrame, found: DataFrame, copies: Copies) -> DataFrame:
+    """``roots`` after more links: only links between different components are followed."""
+    at = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
+    between = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
+    )
+    higher = components(between, copies)
+    moved = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root")
+    )
+    return moved.unionByName(higher.join(roots.select("node"), "node", "left_anti"))
+
+
 def _unlike(percent: int) -> int:
     """Places in which the sketches of a pair at the limit differ at most, but for one pair in 1e9.
 
@@ -279,85 +412,83 @@ def _unlike(percent: int) -> int:
     return k
 
 
-def links_of(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS):
+def links_of(docs: DataFrame, signed: DataFrame, copies: Copies, size: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS, block: int = BLOCK):
     """``nodes`` (one row per different set) and ``roots`` (components over nodes)."""
-    nodes = staged(
+    nodes = copies.write("nodes",
         signed.filter("n_shingles > 0").groupBy("node").agg(
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"),
         ).select("node", "first.doc_id", "first.mark", "n", "bands")
     )
-    # r: the shingles that another node may have; all of them until they are counted.
-    facts = ["n", "r"]
-    entries = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = staged(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
-    members = staged(entries.join(shared, "bucket", "left_semi").join(nodes.withColumn("r", F.col("n")).select("node", *facts), "node"))
+    entries = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n")
+    shared = copies.write("shared", entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
+    members = copies.write("members", entries.join(shared, "bucket", "left_semi"))
     wanted = nodes.select("node", "doc_id", "mark").join(members.select("node").distinct(), "node", "left_semi")
-    sets = staged(_sets(docs, wanted, size))
-
-    def alike(a: str, b: str) -> Column:
-        """What two nodes satisfy if they are similar: by what they may share, and by sketch."""
-        most = F.least(F.col(f"{a}r"), F.col(f"{b}r"))
-        near = 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
-        sketched = [c for c in facts if c in _SKETCH_COLUMNS]
-        if not sketched:
-            return near
-        return near & (sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in sketched) <= _unlike(percent))
-
-    def named(df: DataFrame, *more: str) -> DataFrame:
-        """A frame of pivots, its columns told from the members'."""
-        return df.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", *facts, *more)])
-
-    least = staged(members.groupBy("bucket").agg(F.min(F.struct("node", *facts)).alias("p")).select("bucket", "p.*"))
-    star = members.join(named(least), "bucket").filter((F.col("node") != F.col("p_node")) & alike("", "p_"))
-    links = staged(_confirmed(star.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
-    roots, turn = staged(components(links)), 0
+    sets = copies.write("sets", _sets(docs, wanted, size))
+    copies.drop("shared")
+
+    # Every node against the smallest node of its bucket; sets that differ too much in size cannot be similar.
+    least = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
+    most = F.least("n", "p.n")
+    star = members.join(least, "bucket").filter((F.col("node") != F.col("p.node")) & (100 * most >= percent * F.greatest("n", "p.n")))
+    pairs = copies.write("pairs", star.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.min("bucket").alias("bucket")))
+    found = copies.write("found", _confirmed(pairs, sets, percent))
+    copies.drop("pairs")
+    roots, turn = copies.write("roots", components(found, copies)), 0
+    copies.drop("edges")
     while True:
         turn += 1
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        several = staged(sizes.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"))
-        open_ = staged(placed.join(several, "bucket"))
-        if open_.isEmpty():
+        several = copies.write("several", sizes.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"))
+        members = copies.write("members", placed.join(several, "bucket").select("bucket", "band", "node", "n", "root", "total"))
+        copies.drop("members", keep=1)
+        copies.drop("several")
+        if members.isEmpty():
+            for name in ("members", "sets", "found", "facts"):
+                copies.drop(name)
             return nodes, roots
         if turn == 1:
-            own = sets.join(open_.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("g"))
-            alone = own.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1")
-            counted = staged(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
-            open_ = open_.join(counted, "node", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            open_ = staged(open_.filter(100 * F.col("r") >= percent * F.col("n")))
-            wide = staged(_sketches(sets.join(open_.select("node").distinct(), "node", "left_semi")))
-            open_ = staged(open_.join(wide, "node").join(nodes.select("node", "bands"), "node"))
-            facts = [*facts, "bands", *_SKETCH_COLUMNS]
+            # The shingles that only one unfinished node has are in no intersection.
+            own = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+            alone = own.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+            hopeful = members.select("node", "n").distinct().join(alone, "node", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
+            hopeful = hopeful.filter(100 * F.col("r") >= percent * F.col("n")).select("node", "r")
+            facts = _sketches(sets.join(hopeful.select("node"), "node", "left_semi")).join(hopeful, "node").join(nodes.select("node", "bands"), "node")
+            facts = copies.write("facts", facts)
+            members = copies.write("members", members.join(facts.select("node"), "node", "left_semi"))
+            copies.drop("members", keep=1)
+        # The bands below the bucket's own, as bytes.
+        lower = F.to_binary(F.array_join(F.transform(F.slice("bands", F.lit(1), F.col("band")), lambda x: F.lpad(F.hex(x), 16, "0")), ""), F.lit("hex"))
+        open_ = members.join(facts, "node").withColumn("lower", lower).drop("bands")
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = named(open_.filter(chance * F.col("total") < pivots), "root")
-        # A pair that shares several buckets is taken in the smallest of them only. While its
-        # roots differ that one is unfinished too, or has compared all its nodes.
-        met = open_.join(chosen, "bucket").filter(
-            (F.col("root") != F.col("p_root")) & alike("", "p_") & (F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket"))
-        )
-        pairs = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        found = staged(_confirmed(pairs, sets, percent))
+        pairs = copies.write("pairs", _candidates(open_, chance * F.col("total") < pivots, percent, block))
+        found = copies.write("found", _confirmed(pairs, sets, percent))
+        copies.drop("pairs")
+        copies.drop("found", keep=1)
         # Where all nodes were pivots, all pairs have been compared.
-        members = open_.filter(F.col("total") > pivots).select("bucket", "node", *facts)
+        members = members.filter(F.col("total") > pivots).drop("root", "total")
         if not found.isEmpty():
-            links = links.union(found)
-            roots = staged(components(links))
+            roots = copies.write("roots", _merged(roots, found, copies))
+            copies.drop("roots", keep=1)
+            copies.drop("edges")
         pivots *= GROWTH
 
 
 def decisions(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
     """One row per input row: doc_id, mark, n_shingles, component_id, kept."""
-    signed = staged(signatures(docs, size))
-    nodes, roots = links_of(docs, signed, size, percent, pivots)
+    copies = Copies(docs.sparkSession)
+    signed = copies.write("signed", signatures(docs, size))
+    nodes, roots = links_of(docs, signed, copies, size, percent, pivots)
     placed = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(placed.join(smallest, "root").select("node", "component_id"))
+    named = placed.join(smallest, "root").select("node", "component_id")
     joined = signed.drop("bands").join(named, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "mark", "n_shingles", own.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    done = copies.write("decisions", joined.select("doc_id", "mark", "n_shingles", own.alias("component_id")))
+    for name in ("signed", "nodes", "roots"):
+        copies.drop(name)
+    return done.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivermark.llm import exact_dedup, near_dedup
+from rivermark.llm.common import Copies
 from tests.llm.conftest import ODD
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -109,12 +110,14 @@ def small_pairs(n):
     return out
 
 
-def test_near_small_sets_in_one_bucket(spark, rows_of):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 40])
+def test_near_small_sets_in_one_bucket(spark, rows_of, block):
     """Pairs that only the rounds after the first can join, as the bucket's smallest node is in one pair only."""
     texts = small_pairs(240)
     docs = rows_of(list(enumerate(texts)))
-    signed = near_dedup.staged(near_dedup.signatures(docs).withColumn("bands", F.array(F.lit(1).cast("long"))))
-    nodes, roots = near_dedup.links_of(docs, signed)
+    copies = Copies(spark)
+    signed = copies.write("signed", near_dedup.signatures(docs).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    nodes, roots = near_dedup.links_of(docs, signed, copies, block=block)
     placed = nodes.select("node", "doc_id").join(roots, "node", "left")
     root = {r.doc_id: r.root for r in placed.collect()}
     assert [k for k in range(0, len(texts), 2) if root[k] is None or root[k] != root[k + 1]] == []
