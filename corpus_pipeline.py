@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivermark.llm.common import staged, table
+from rivermark.llm.common import Copies, table
 from rivermark.llm.exact_dedup import drop_copies
 from rivermark.llm.mixing import ADDED, mixed
 from rivermark.llm.near_dedup import drop_near_copies
@@ -18,6 +18,10 @@ from rivermark.llm.quality import good_documents
 from rivermark.registry import query
 
 
+#: The near-copy stage compares shingles of five words; four belong to the contract of its query.
+SHINGLE_WORDS = 5
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_documents(docs)
 
@@ -27,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, SHINGLE_WORDS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, copies = table(spark, sf_dir, "documents"), Copies(spark)
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        docs = copies.write("stage", stage(spark, docs, sf_dir))
+        copies.drop("stage", keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
