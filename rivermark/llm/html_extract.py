@@ -2,8 +2,8 @@
 
 A page becomes a tree: block elements are inner nodes, runs of text inside a block are
 leaves. Every node has a hidden state, content or not. A node's own evidence (element,
-names of its class and id, amount of text, share of link text, punctuation) gives its
-unary potential, and a potential joins each child to its parent. Sum-product messages,
+names of its class and id, the section it is in, amount of text, share of link text,
+punctuation, length of the texts around it) gives its unary potential, and a potential joins each child to its parent. Sum-product messages,
 once upward and once downward, give the exact marginal of every node; leaves that are
 more likely content than not are the text. The weights are trained on labelled pages
 (``html_pages``) by the gradient of the exact likelihood, which needs the same messages.
@@ -39,8 +39,10 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins-inline kbd label link mark meta nobr q rp rt ruby s samp "
     "small source span strike strong sub sup time track tt u var wbr".split()
 )
-SKIPPED = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math".split())
+SKIPPED = frozenset("script style title textarea iframe xmp noembed noframes template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that say what is below them, as far as the next of them.
+SECTIONS = frozenset("article main nav aside footer header form menu dialog noscript figure blockquote table".split())
 #: Elements that an opening tag closes first, up to the listed borders.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -78,7 +80,8 @@ def _named(attributes: str) -> str:
 def parse(source: str) -> Page:
     page, stack = Page(), [0]
     pieces: list[str] = []
-    at, links, in_link, begin = 0, 0, False, 0
+    # The number of open blocks where the open link began; 0 outside of links.
+    at, links, in_link, begin = 0, 0, 0, 0
     tags, names, parents, leaves = page.tags, page.names, page.parents, page.leaves
 
     def flush() -> None:
@@ -116,7 +119,7 @@ def parse(source: str) -> Page:
         name = name.lower()
         if m[1]:
             if name in INLINE:
-                in_link = in_link and name != "a"
+                in_link = in_link if name != "a" else 0
                 continue
             flush()
             if name in SKIPPED:
@@ -125,7 +128,8 @@ def parse(source: str) -> Page:
                 if tags[stack[k]] == name:
                     del stack[k:]
                     break
-            in_link = False
+            # A link ends with the block it began in, if nothing closed it.
+            in_link = in_link if in_link <= len(stack) else 0
             continue
         if name in SKIPPED:
             if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
@@ -134,12 +138,11 @@ def parse(source: str) -> Page:
             continue
         if name in INLINE:
             if name == "a":
-                in_link = True
+                in_link = len(stack)
             elif name == "br" and pieces:
                 pieces.append(" ")
             continue
         flush()
-        in_link = False
         if name in VOID:
             continue
         if name in CLOSES:
@@ -175,26 +178,35 @@ def _keys(page: Page) -> list[tuple]:
             words[p] += words[v]
             chars[p] += chars[v]
             linked[p] += linked[v]
+    # What each node is inside of, and the length of the texts that stand beside a text.
+    inside, beside = [""] * n, [0] * n
+    for v in range(1, n):
+        p = page.parents[v]
+        inside[v] = page.tags[p] + "*" * bool(page.names[p]) if page.tags[p] in SECTIONS else inside[p]
+        if page.leaves[v] >= 0 or page.tags[v] not in SECTIONS:
+            beside[p] = max(beside[p], words[v])
     keys = []
     for v in range(n):
         p = page.parents[v]
         leaf = page.leaves[v]
         share = linked[v] / chars[v] if chars[v] else 0.0
+        around = page.parents[p] if leaf >= 0 and p > 0 else p
         keys.append((
             page.tags[v], page.names[v], page.tags[p] if p >= 0 else "", min(words[v].bit_length(), 8),
             0 if share < 0.1 else 1 if share < 0.4 else 2 if share < 0.8 else 3,
             leaf >= 0 and page.texts[leaf].endswith(_END), leaf >= 0 and "©" in page.texts[leaf],
+            inside[v], min(beside[around].bit_length(), 6) if around >= 0 else 0,
         ))
     return keys
 
 
 def _features(key: tuple) -> list[str]:
-    tag, names, parent, size, share, ends, mark = key
+    tag, names, parent, size, share, ends, mark, inside, beside = key
     kind = "leaf" if tag == "#text" else "inner"
     return [
-        f"{kind}", f"tag {tag}", f"in {tag} {parent}", f"{kind} size {size}", f"{kind} links {share}",
-        *([f"{kind} ends {ends}", f"size {size} ends {ends}"] if kind == "leaf" else []), *(["mark"] if mark else []),
-        *[f"name {w}" for w in names.split()],
+        f"{kind}", f"tag {tag}", f"tag {tag} named {names != ''}", f"in {tag} {parent}", f"{kind} size {size}", f"{kind} links {share}", f"{kind} inside {inside}",
+        *([f"{kind} ends {ends}", f"size {size} ends {ends}", f"{parent} links {share}", f"{parent} beside {beside}", f"inside {inside} links {share}"] if kind == "leaf" else []),
+        *(["mark"] if mark else []), *[f"name {w}" for w in names.split()],
     ]
 
 
@@ -240,7 +252,7 @@ def _chance(odds: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
-def train(pages: list[list[tuple[str, bool]]] | None = None, rounds: int = 12, rate: float = 0.4) -> Model:
+def train(pages: list[list[tuple[str, bool]]] | None = None, rounds: int = 20, rate: float = 0.5) -> Model:
     """Gradient steps on the likelihood of the labelled pages, with shrinking steps per weight."""
     examples = []
     for runs in labelled_pages() if pages is None else pages:

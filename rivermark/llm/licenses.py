@@ -1,28 +1,35 @@
 """License scans: Dice coefficient over word bigrams against license templates.
 
 Texts and templates are normalised alike: lower case, everything but letters and digits
-becomes one space. The units compared are whole documents, paragraphs (between empty
-lines) and single lines. A unit with ``w`` words has ``w - 1`` bigrams, a template ``t``
-different ones, and Dice is ``2 * common / (w - 1 + t)`` with the different bigrams they
-share as ``common``; a text that repeats bigrams stays a little below 1 against itself. As
-``common`` is at most both sizes, a value of ``least`` needs
-``least / (2 - least) <= (w - 1) / t <= (2 - least) / least``: units outside these bounds of
-every template fall before any bigram is built, and the others meet only the templates
-whose size fits.
+parts words. A template of ``w`` words is compared with every window of ``w`` words that
+begins at a bigram of the template (windows end with the text), so a notice is found in
+the middle of a line, a paragraph or a program as well as alone. Dice is
+``2 * common / (window + template)`` over the different bigrams of both, so a text scores 1
+against itself. For each license that reaches ``least`` somewhere, the best window is
+reported, the first of equal ones.
+
+What prunes: as ``common`` is at most both sizes, ``least`` needs at least
+``least / (2 - least)`` of the template's bigrams. Of any set with all but that many and one of
+them, a text must hold one, so a few words stand for a template: a text with none of
+them is done after plain substring searches, before it is cut into words. Of what is left only
+templates with enough bigrams in the whole text are compared window by window.
 
 Only DataFrame functions run here. Templates are a parameter; they are a small list that
-becomes part of the plan. Each unit is matched on its own row, so nothing is joined or
+becomes part of the plan. Each text is matched on its own row, so nothing is joined or
 shuffled.
 
-Defined results: null and empty texts and units with less than two words match nothing;
-ties between templates go to the smaller name; repeated rows give repeated results; a
-null id is kept; an empty table and an empty list of templates give no rows. Only ``doc_id`` and ``text`` are read.
+Defined results: null and empty texts and texts with less than two words match nothing;
+several licenses of one text are several rows; repeated rows give repeated results; a null
+id is kept; an empty table and an empty list of templates give no rows. Only ``doc_id`` and
+``text`` are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +72,27 @@ TEMPLATES = {
         "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
         "and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+        "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        '"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
@@ -82,71 +110,92 @@ def _bigrams_py(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
+def _needed(grams: list[str], least: float) -> int:
+    """How many of a template's bigrams any matching window holds."""
+    return max(1, math.ceil(least / (2 - least) * len(grams) - 1e-9))
+
+
+def needles(templates: dict[str, list[str]], least: float) -> tuple[list[str], list[str]]:
+    """Words and bigrams one of which is in every text that matches a template.
+
+    For each template they are taken until the bigrams without any of them are fewer than a
+    match needs: words of six letters or more first, which can be searched for as
+    they are, then whole bigrams. What was taken for smaller templates counts.
+    """
+    words: set[str] = set()
+    pairs: set[str] = set()
+    for grams in sorted(templates.values(), key=len):
+        left = [g.split(" ") for g in grams if g not in pairs and not any(w in g for w in words)]
+        while len(left) >= _needed(grams, least):
+            counts = Counter(w for g in left for w in g if len(w) >= 6)
+            if counts:
+                best = max(counts, key=lambda w: (counts[w], len(w), w))
+                words.add(best)
+                left = [g for g in left if not any(best in w for w in g)]
+            else:
+                best = max(left, key=lambda g: (len(g[0] + g[1]), g))
+                pairs.add(" ".join(best))
+                left.remove(best)
+    return sorted(w for w in words if not any(v != w and v in w for v in words)), sorted(pairs)
 
 
-def units(docs: DataFrame, most_words: int) -> DataFrame:
-    """doc_id, scope, position and words of the units with 2 to ``most_words`` words."""
-    def parts(scope: str, split: str) -> Column:
-        return F.transform(
-            F.split("text", split, -1), lambda x, i: F.struct(F.lit(scope).alias("scope"), i.alias("position"), x.alias("part"))
-        )
+def _likely(text: Column, grams: dict[str, list[str]], least: float) -> Column:
+    words, pairs = needles(grams, least)
+    tests = [F.contains(text, F.lit(w)) for w in words]
+    if pairs:
+        tests.append(text.rlike("|".join(r"[^\p{L}\p{N}]+".join(re.escape(w) for w in p.split(" ")) for p in pairs)))
+    return reduce(lambda a, b: a | b, tests)
 
-    whole = F.array(F.struct(F.lit("document").alias("scope"), F.lit(0).alias("position"), F.col("text").alias("part")))
-    every = F.concat(whole, parts("paragraph", r"\n[\x20\x09\x0D]*\n"), parts("line", r"\n"))
-    # Splitting at words stops as soon as there are too many.
-    few = F.filter(every, lambda u: F.size(F.split(u["part"], r"[\p{L}\p{N}]+", most_words + 2)) <= most_words + 1)
-    cut = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.explode(few).alias("u"))
-    return cut.select("doc_id", "u.scope", "u.position", _words(F.col("u.part")).alias("words")).filter(F.size("words") >= 2)
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
 
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, scope, position, license and dice of every unit that matches a template."""
+    """doc_id, license, position (of the window's first word, from 0) and dice."""
     grams = {name: g for name, text in sorted(templates.items()) if (g := _bigrams_py(text))}
     if not grams:
-        return docs.limit(0).select("doc_id", F.lit("").alias("scope"), F.lit(0).alias("position"), F.lit("").alias("license"), F.lit(0.0).alias("dice"))
-    low, high = least / (2 - least), (2 - least) / least
-    bounds = {name: (math.ceil(low * len(g)), math.floor(high * len(g))) for name, g in grams.items()}
-    pairs = F.expr("array_distinct(transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])))")
-    n = F.size("words") - 1
-    fits = F.array(*[F.when(n.between(*bounds[name]), F.lit(name)) for name in grams])
-    sized = units(docs, max((b for _, b in bounds.values()), default=0) + 1).withColumn("fits", F.array_compact(fits))
-    built = sized.filter(F.size("fits") > 0).withColumn("grams", pairs)
-    scores = F.array_compact(F.array(*[
-        F.when(F.array_contains("fits", name), F.struct(
-            (2.0 * F.size(F.array_intersect("grams", F.lit(g))) / (n + len(g))).alias("dice"), F.lit(name).alias("license")
+        return docs.limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0).alias("position"), F.lit(0.0).alias("dice"))
+    lowered = docs.select("doc_id", F.lower(text_of()).alias("text"))
+    cut = lowered.filter(_likely(F.col("text"), grams, least)).select("doc_id", _words(F.col("text")).alias("words")).filter(F.size("words") >= 2)
+    # An array that is made by exploding it is made once, however often it is read below.
+    pairs = F.expr("transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1]))")
+    made = cut.select("doc_id", F.explode(F.array(pairs)).alias("grams"))
+    every = F.lit(sorted(set().union(*grams.values())))
+    known = made.select("doc_id", "grams", F.explode(F.array(F.array_intersect("grams", every))).alias("known")).filter(F.size("known") > 0)
+    fits = F.array_compact(F.array(*[
+        F.when(F.size(F.array_intersect("known", F.lit(g))) >= _needed(g, least), F.struct(
+            F.lit(name).alias("license"), F.lit(len(_words_py(templates[name]))).alias("w"), F.lit(g).alias("own")
         ))
         for name, g in grams.items()
     ]))
-    # In order of names, so that the first of equal values stays.
-    best = F.aggregate(
-        scores, F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("license")),
-        lambda a, s: F.when(s["dice"] > a["dice"], s).otherwise(a),
-    )
-    found = built.select("doc_id", "scope", "position", F.explode(F.array(best)).alias("best")).filter(F.col("best.dice") >= least)
-    return found.select("doc_id", "scope", "position", "best.license", "best.dice")
+    pair = known.select("doc_id", "grams", F.explode(fits).alias("t")).select("doc_id", "grams", "t.*")
+    begins = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("own", g), i)), lambda i: i.isNotNull())
+
+    def scored(i: Column) -> Column:
+        window = F.slice("grams", i + 1, F.col("w") - 1)
+        common = F.size(F.array_intersect(window, "own"))
+        return F.struct((2.0 * common / (F.size(F.array_distinct(window)) + F.size("own"))).alias("dice"), (-i).alias("back"))
+
+    best = pair.select("doc_id", "license", F.explode(F.array(F.array_max(F.transform(begins, scored)))).alias("best"))
+    return best.filter(F.col("best.dice") >= least).select("doc_id", "license", (-F.col("best.back")).alias("position"), "best.dice")
 
 
 def _sql(templates: dict[str, str], least: float) -> str:
-    rows = ", ".join(f"('{name}', [{', '.join(repr(g) for g in _bigrams_py(text))}])" for name, text in sorted(templates.items()))
+    rows = ", ".join(
+        f"('{name}', {len(_words_py(text))}, [{', '.join(repr(g) for g in _bigrams_py(text))}])" for name, text in sorted(templates.items())
+    )
     return rf"""
-WITH t(license, grams) AS (VALUES {rows}),
-u AS (
-  SELECT doc_id, 'document' AS scope, 0 AS position, coalesce(text, '') AS part FROM documents
-  UNION ALL SELECT doc_id, 'paragraph', i::INT - 1, p[i] FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '
-[ 	
-]*
-') AS p
-    FROM documents), unnest(range(1, len(p) + 1)) AS r(i)
-  UNION ALL SELECT doc_id, 'line', i::INT - 1, p[i] FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p
-    FROM documents), unnest(range(1, len(p) + 1)) AS r(i)),
-w AS (SELECT doc_id, scope, position, list_filter(string_split_regex(lower(part), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM u),
-g AS (SELECT doc_id, scope, position, len(ws) - 1 AS n,
-        list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams FROM w WHERE len(ws) BETWEEN 2 AND 400),
-s AS (SELECT doc_id, scope, position, license, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (n + len(t.grams)) AS dice FROM g, t)
-SELECT doc_id, scope, position, license, dice FROM s WHERE dice >= {least}
-QUALIFY row_number() OVER (PARTITION BY doc_id, scope, position ORDER BY dice DESC, license) = 1
+WITH t(license, w, own) AS (VALUES {rows}),
+tg AS (SELECT license, w, own, unnest(own) AS gram FROM t),
+d AS (SELECT row_number() OVER () AS doc, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc, doc_id, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS grams FROM d WHERE len(ws) >= 2),
+p AS (SELECT doc, i, grams[i + 1] AS gram FROM g, unnest(range(len(grams))) r(i)),
+h AS (SELECT p.doc, p.i, tg.license, tg.w, tg.own FROM p JOIN tg USING (gram)),
+s AS (SELECT g.doc, g.doc_id, h.license, h.i, 2.0::DOUBLE * len(list_intersect(grams[h.i + 1 : h.i + h.w - 1], own)) / (len(list_distinct(grams[h.i + 1 : h.i + h.w - 1])) + len(own)) AS dice
+  FROM h JOIN g USING (doc))
+SELECT doc_id, license, i::INTEGER AS position, dice FROM s WHERE dice >= {least}
+QUALIFY row_number() OVER (PARTITION BY doc, license ORDER BY dice DESC, i) = 1
 """
 
 

@@ -50,39 +50,59 @@ def test_rules_without_trigrams_scan_fully():
     assert secrets.trigram_query("[0-9a-f]{16,}") == [] and secrets.trigram_query("(abc|x)") == []
 
 
+def dice_by_hand(text, templates, least=licenses.LEAST):
+    """Every license of a text with its best window, by sets."""
+    words, found = licenses._words_py(text or ""), set()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for name, template in templates.items():
+        own, w = set(licenses._bigrams_py(template)), len(licenses._words_py(template))
+        scored = [(2 * len(own & set(x)) / (len(set(x)) + len(own)), -i) for i, g in enumerate(grams) if g in own for x in [grams[i : i + w - 1]]]
+        if scored and max(scored)[0] >= least:
+            found.add((name, -max(scored)[1], round(max(scored)[0], 9)))
+    return found
+
+
+def found(rows):
+    return sorted((str(r.doc_id), r.license, r.position, round(r.dice, 9)) for r in rows.collect())
+
+
 def test_licenses(spark, rows_of):
     mit = licenses.TEMPLATES["MIT-text"]
     wrapped = re.sub(r"(.{40,60}) ", r"\1\n", mit)
-    pairs = ODD + [(50, "Prose here.\nLicensed under  the APACHE license, version 2.0\nMore."), (51, f"Head line\n\n{wrapped}\n\nTail"), (52, "Licensed under the moon."), (53, mit)]
-    got = licenses.matches(rows_of(pairs)).collect()
-    found = {(r.doc_id, r.scope, r.license) for r in got}
-    assert {(50, "line", "Apache-2.0"), (51, "paragraph", "MIT-text"), (53, "document", "MIT-text")} <= found
-    assert {r.doc_id for r in got} == {50, 51, 53}
-    # A unit's repeated bigrams count in its size but are shared once.
-    words, grams = len(licenses._words_py(mit)), len(licenses._bigrams_py(mit))
-    assert all(abs(r.dice - 2 * grams / (words - 1 + grams)) < 1e-12 for r in got if r.doc_id == 53)
+    pairs = ODD + [
+        (50, "Prose here.\nLicensed under  the APACHE license, version 2.0\nMore."), (51, f"Head line\n\n{wrapped}\nint main() {{}}"), (52, "Licensed under the moon."),
+        (53, mit), (54, "This project is released under the MIT License."), (55, "Some prose here about it. Released under the MIT License. And more of it."),
+        (56, f"/* {licenses.TEMPLATES['BSD-2-Clause-text']} */ int x; /* {wrapped} */"),
+    ]
+    got = found(licenses.matches(rows_of(pairs)))
+    assert got == sorted((str(i), *m) for i, t in pairs for m in dice_by_hand(t, licenses.TEMPLATES))
+    names = {(i, name) for i, name, _, _ in got}
+    assert {("50", "Apache-2.0"), ("51", "MIT-text"), ("53", "MIT-text"), ("54", "MIT"), ("55", "MIT"), ("56", "BSD-2-Clause-text"), ("56", "MIT-text")} <= names
+    assert not {i for i, _ in names} & {"52", "1", "2", "9"} and (("53", "MIT-text", 0, 1.0)) in got
     assert licenses.matches(rows_of(pairs), {}).count() == 0 and licenses.matches(rows_of([])).count() == 0
 
 
-def test_size_bounds_lose_nothing(spark, rows_of):
-    """Against Dice of every unit with every template."""
+def test_pruning_loses_nothing(spark, rows_of):
+    """Against Dice of every window with every template."""
     r = random.Random(6)
     texts = []
-    for k in range(200):
+    for k in range(250):
         words = r.choice(list(licenses.TEMPLATES.values())).split()
         for _ in range(r.randint(0, 12)):
             words.insert(r.randrange(len(words) + 1), r.choice(("the", "license", "software", "x", "under")))
         for _ in range(r.randint(0, 6)):
             if len(words) > 3:
                 words.pop(r.randrange(len(words)))
-        texts.append((k, " ".join(words)))
-    want = set()
-    for k, t in texts:
-        words = licenses._words_py(t)
-        grams, n = set(licenses._bigrams_py(t)), len(words) - 1
-        scored = [(-2.0 * len(grams & set(g)) / (n + len(g)), name) for name, x in licenses.TEMPLATES.items() if (g := licenses._bigrams_py(x))]
-        value, name = min(scored)
-        if -value >= licenses.LEAST:
-            want.add((k, name, round(-value, 9)))
-    got = {(r.doc_id, r.license, round(r.dice, 9)) for r in licenses.matches(rows_of(texts)).filter("scope = 'document'").collect()}
-    assert got == want and len(want) > 40
+        around = [r.choice(("a", "prose", "word", "the", "license")) for _ in range(r.choice([0, 0, 30]))]
+        texts.append((k, " ".join([*around, *words, *around])))
+    texts.append((999, " ".join(licenses.TEMPLATES.values())))
+    want = sorted((str(i), *m) for i, t in texts for m in dice_by_hand(t, licenses.TEMPLATES))
+    assert found(licenses.matches(rows_of(texts))) == want and len(want) > 100
+
+
+def test_needles_are_in_every_match():
+    grams = {name: licenses._bigrams_py(text) for name, text in licenses.TEMPLATES.items()}
+    words, pairs = licenses.needles(grams, licenses.LEAST)
+    for own in grams.values():
+        without = [g for g in own if g not in pairs and not any(w in part for part in g.split(" ") for w in words)]
+        assert len(without) < licenses._needed(own, licenses.LEAST)
