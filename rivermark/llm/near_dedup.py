@@ -57,9 +57,9 @@ from rivermark.registry import query
 SHINGLE, PERCENT = 4, 80
 PERMUTATIONS, ROWS, SKETCH = 64, 4, 1024
 #: Pivots per unfinished bucket after the first, and their growth from round to round.
-PIVOTS, GROWTH = 8, 64
-#: Nodes of a bucket that are compared in one block, and shingles of the sets in one block.
-BLOCK, SHINGLES = 2048, 500_000
+PIVOTS, GROWTH = 64, 64
+#: Nodes of a bucket that are compared in one block; shingles and sets in one block of the confirmation.
+BLOCK, SHINGLES, SETS = 2048, 500_000, 512
 #: Bytes of text that are hashed at one time.
 CHUNK = 4_000_000
 
@@ -251,26 +251,26 @@ def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _candidates(open_: DataFrame, chosen: Column, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of members and pivots of a bucket that may be similar, each pair once.
+    """Pairs (bucket, deals, a, b) of members and pivots of a bucket that may be similar, each pair once.
 
-    ``open_`` has bucket, total, node, root, n, r, lower (its bands below the bucket's own) and
+    ``open_`` has bucket, band, total, deals, node, root, n, r, lower (its bands below the bucket's own) and
     sketch; ``chosen`` tells the pivots. Members and pivots of a large bucket are dealt over
     blocks, and every block of members meets every block of pivots, so a row travels once
     per block of the other side and pairs exist only where they are compared. A pair that
     shares several buckets is taken in the one with the lowest band: while their roots differ
     that one is unfinished too, or has compared all its nodes.
     """
-    deals = F.ceil(F.col("total") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(5)), deals.cast("long")).cast("int")
-    rows = open_.withColumn("pivot", chosen).withColumn("_own", own).withColumn("_deals", deals)
-    every = F.sequence(F.lit(0), F.col("_deals") - 1)
+    blocks = F.ceil(F.col("total") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), blocks.cast("long")).cast("int")
+    rows = open_.withColumn("pivot", chosen).withColumn("_own", own)
+    every = F.sequence(F.lit(0), blocks - 1)
     sides = F.array(
         F.struct(F.lit(False).alias("met"), every.alias("others")),
         F.struct(F.lit(True).alias("met"), F.when(F.col("pivot"), every).otherwise(F.array().cast("array<int>")).alias("others")),
     )
     facts = ["node", "root", "n", "r", "lower", "sketch", "pivot"]
     sent = rows.withColumn("_side", F.explode(sides)).withColumn("_other", F.explode("_side.others")).select(
-        "bucket", "band", F.when(F.col("_side.met"), F.col("_other")).otherwise(F.col("_own")).alias("mine"),
+        "bucket", "band", "deals", F.when(F.col("_side.met"), F.col("_other")).otherwise(F.col("_own")).alias("mine"),
         F.when(F.col("_side.met"), F.col("_own")).otherwise(F.col("_other")).alias("theirs"), F.col("_side.met").alias("met"), *facts,
     )
     limit, keys = _unlike(percent), ["bucket", "band", "mine", "theirs"]
@@ -304,26 +304,23 @@ def _candidates(open_: DataFrame, chosen: Column, percent: int, block: int = BLO
                         x = [min(node[p], node[q]) for p, q in zip(a, b)]
                         y = [max(node[p], node[q]) for p, q in zip(a, b)]
                         yield pa.RecordBatch.from_arrays(
-                            [group.column("bucket").combine_chunks().take(pa.array(a)), pa.array(x, pa.binary()), pa.array(y, pa.binary())],
-                            ["bucket", "a", "b"])
+                            [*[group.column(c).combine_chunks().take(pa.array(a)) for c in ("bucket", "deals")], pa.array(x, pa.binary()), pa.array(y, pa.binary())],
+                            ["bucket", "deals", "a", "b"])
 
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "bucket long, a binary, b binary")
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "bucket long, deals int, a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int = SHINGLES) -> DataFrame:
-    """The pairs (bucket, a, b) whose full sets are similar enough.
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (bucket, deals, a, b) whose full sets are similar enough.
 
-    The sets of a bucket are dealt over blocks of about ``block`` shingles and travel once
-    for every pair of blocks that has a pair of documents, not once for every pair.
+    The sets of a bucket are dealt over ``deals`` blocks and travel once for every pair of
+    blocks that has a pair of documents, not once for every pair.
     """
-    size = sets.select("node", F.size("shingles").alias("n"))
-    ends = pairs.select("bucket", F.explode(F.array("a", "b")).alias("node")).distinct()
-    deals = ends.join(size, "node").groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(block)).alias("deals"))
 
     def dealt(node: str) -> Column:
-        return F.pmod(F.xxhash64(node, F.lit(6)), F.col("deals")).cast("int")
+        return F.pmod(F.xxhash64(node, F.lit(6)), F.col("deals").cast("long")).cast("int")
 
-    placed = pairs.join(deals, "bucket").select("bucket", dealt("a").alias("i"), dealt("b").alias("j"), "a", "b")
+    placed = pairs.select("bucket", dealt("a").alias("i"), dealt("b").alias("j"), "a", "b")
     keys = ["bucket", "i", "j"]
     wanted = placed.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
     none = F.lit(None)
@@ -420,18 +417,18 @@ def links_of(docs: DataFrame, signed: DataFrame, copies: Copies, size: int = SHI
             F.first("bands").alias("bands"),
         ).select("node", "first.doc_id", "first.mark", "n", "bands")
     )
+    # Buckets with several nodes: their smallest node, which is the first pivot, and over how many blocks their sets are dealt.
     entries = nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n")
-    shared = copies.write("shared", entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"))
-    members = copies.write("members", entries.join(shared, "bucket", "left_semi"))
+    deals = F.ceil(F.greatest(F.sum("n") / F.lit(SHINGLES), F.count(F.lit(1)) / F.lit(SETS))).cast("int")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("total"), deals.alias("deals"), F.min(F.struct("node", "n")).alias("p")).filter("total > 1")
+    members = copies.write("members", entries.join(shared, "bucket"))
     wanted = nodes.select("node", "doc_id", "mark").join(members.select("node").distinct(), "node", "left_semi")
     sets = copies.write("sets", _sets(docs, wanted, size))
-    copies.drop("shared")
 
-    # Every node against the smallest node of its bucket; sets that differ too much in size cannot be similar.
-    least = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
-    most = F.least("n", "p.n")
-    star = members.join(least, "bucket").filter((F.col("node") != F.col("p.node")) & (100 * most >= percent * F.greatest("n", "p.n")))
-    pairs = copies.write("pairs", star.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.min("bucket").alias("bucket")))
+    # Every node against that pivot; sets that differ too much in size cannot be similar.
+    star = members.filter((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+    pairs = star.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.min(F.struct("bucket", "deals")).alias("t")).select("t.*", "a", "b")
+    pairs, members = copies.write("pairs", pairs), members.drop("p")
     found = copies.write("found", _confirmed(pairs, sets, percent))
     copies.drop("pairs")
     roots, turn = copies.write("roots", components(found, copies)), 0
@@ -440,10 +437,9 @@ def links_of(docs: DataFrame, signed: DataFrame, copies: Copies, size: int = SHI
         turn += 1
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        several = copies.write("several", sizes.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"))
-        members = copies.write("members", placed.join(several, "bucket").select("bucket", "band", "node", "n", "root", "total"))
+        several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
+        members = copies.write("members", placed.join(several, "bucket", "left_semi"))
         copies.drop("members", keep=1)
-        copies.drop("several")
         if members.isEmpty():
             for name in ("members", "sets", "found", "facts"):
                 copies.drop(name)
@@ -467,7 +463,7 @@ def links_of(docs: DataFrame, signed: DataFrame, copies: Copies, size: int = SHI
         copies.drop("pairs")
         copies.drop("found", keep=1)
         # Where all nodes were pivots, all pairs have been compared.
-        members = members.filter(F.col("total") > pivots).drop("root", "total")
+        members = members.filter(F.col("total") > pivots).drop("root")
         if not found.isEmpty():
             roots = copies.write("roots", _merged(roots, found, copies))
             copies.drop("roots", keep=1)
