@@ -322,7 +322,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     placed = pairs.select("bucket", dealt("a").alias("i"), dealt("b").alias("j"), "a", "b")
     keys = ["bucket", "i", "j"]
-    wanted = placed.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
+    side = lambda end: placed.select(*keys, F.col(end).alias("node")).distinct()
+    wanted = side("a").union(side("b")).distinct()
     none = F.lit(None)
     first = wanted.join(sets, "node").select(*keys, F.col("node").alias("a"), none.cast("binary").alias("b"), "shingles")
     rows = first.unionByName(placed.select(*keys, "a", "b", none.cast("array<long>").alias("shingles")))
