@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivermark.functions.predicates import _is, covers, first_reason, fund_flow
+from rivermark.functions.predicates import _is, covers, first_reason, fund_flow, positive
 from rivermark.operators.patterns import BOUNDARY_REASONS
+from rivermark.operators.transfers import verified_events
+from rivermark.scale import running_before, with_cells
 
+CELL_SECONDS = 3600
 # Label types that receive deposits, pooled roles.
 RECEIVING_TYPES = ("exchange", "custodial_service", "payment_processor")
 POOLED_ROLES = ("hot_wallet", "cold_reserve", "settlement")
@@ -24,7 +27,8 @@ def path_check(endings: DataFrame, observed: DataFrame, headers: DataFrame) -> D
     steps = ends.select(
         "trace_id", "endpoint_class", "address", "path", F.posexplode("branch_path").alias("pos", "event_reference")
     )
-    facts = observed.select("trace_id", "event_reference", "from_address", "to_address", "token_contract")
+    # Only verified events prove a step; an unverified or conflicting one leaves a gap.
+    facts = verified_events(observed, ["trace_id"]).select("trace_id", "event_reference", "from_address", "to_address", "token_contract")
     walked = steps.join(facts, ["trace_id", "event_reference"], "left")
     key = ["trace_id", "endpoint_class", "address", "path"]
     step = F.struct("pos", "event_reference", "from_address", "to_address", "token_contract")
@@ -93,10 +97,11 @@ def _receiving(endings: DataFrame, observed: DataFrame, headers: DataFrame) -> D
 def receiving_services(endings: DataFrame, observed: DataFrame, headers: DataFrame) -> DataFrame:
     """Receiving services with a proven path from the seed, once per address and path."""
     good = _receiving(endings, observed, headers).filter("path_problem IS NULL")
-    return good.dropDuplicates(["trace_id", "address", "path"]).select(
-        "trace_id", "network_key", "address", "entity_name", "entity_type", "address_role",
-        "arrival_event_reference", "path", F.size("branch_path").cast("long").alias("hops"),
-        (F.size("branch_path") == 1).alias("direct"),
+    # Of copies that differ the smallest stays, whatever the partitioning.
+    held = F.struct("network_key", "entity_name", "entity_type", "address_role", "arrival_event_reference", F.size("branch_path").cast("long").alias("hops"))
+    return good.groupBy("trace_id", "address", "path").agg(F.min(held).alias("s")).select(
+        "trace_id", "s.network_key", "address", "s.entity_name", "s.entity_type", "s.address_role",
+        "s.arrival_event_reference", "path", "s.hops", (F.col("s.hops") == 1).alias("direct"),
     )
 
 
@@ -225,6 +230,23 @@ def anchor_senders(events: DataFrame, anchors: DataFrame, cap: int) -> tuple[Dat
     return top.join(totals, "anchor_address"), outside
 
 
+def excluded_observations(events: DataFrame, network: str, contract: str, start: Column, end: Column) -> DataFrame:
+    """How many observations of a collection do not count, by their first reason."""
+    reason = first_reason(
+        ((F.col("network_key") != network) | (F.col("token_contract") != contract), "different_network_or_asset"),
+        (~F.coalesce((F.col("block_time") >= start) & (F.col("block_time") <= end), F.lit(False)), "outside_window"),
+        (~positive() | _is("confirmation_state", "removed"), "no_value_or_removed"),
+        (_is("execution_status", "failed", "reverted"), "failed_execution"),
+        (F.col("ordering_ambiguous") | F.col("event_index").isNull(), "order_unknown"),
+    )
+    rows = events.withColumn("reason", reason)
+    # Copies of a counted event are excluded too; the first of them is not.
+    copies = rows.filter("reason IS NULL").groupBy("network_key", "event_reference").agg((F.count(F.lit(1)) - 1).alias("n"))
+    repeated = copies.filter("n > 0").select(F.lit("repeated_event").alias("reason"), "n")
+    own = rows.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return own.unionByName(repeated).groupBy("reason").agg(F.sum("n").alias("excluded"))
+
+
 def neighbourhood(
     events: DataFrame, anchors: DataFrame, start: Column, end: Column, complete: Column
 ) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +258,9 @@ def neighbourhood(
     usable = (
         events.filter(ordered_observations(events).isNull())
         .filter((F.col("block_time") >= start) & (F.col("block_time") <= end))
-        .dropDuplicates(["network_key", "event_reference"])
+        .groupBy("network_key", "event_reference")
+        .agg(F.min(F.struct("from_address", "to_address", "amount_base_units", "block_time")).alias("e"))
+        .select("network_key", "event_reference", "e.*")
     )
     claim = anchors.select(
         "network_key", F.col("address").alias("to_address"), "entity_name", "valid_from", "valid_to"
@@ -262,16 +286,15 @@ def neighbourhood(
             sum_units(F.col("amount_base_units")).alias("units"),
         )
     )
-    # First time each sender paid each wallet: enough to know who came before.
-    inflow = usable.groupBy("network_key", F.col("to_address").alias("address"), F.col("from_address").alias("payer")).agg(
-        F.min("block_time").alias("first_paid")
-    )
-    feeders = (
-        sent.select(*key, "last_sent").join(inflow, ["network_key", "address"])
-        .filter("first_paid < last_sent")
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("distinct_senders"))
-    )
+    # First payments of a wallet and the moments its candidates sent last, in one order: the
+    # payments before a moment are a running count, and payers are never joined to anchors.
+    inflow = usable.groupBy("network_key", F.col("to_address").alias("address"), "from_address").agg(F.min("block_time").alias("at"))
+    paid = inflow.select("network_key", "address", "at", F.lit(1).alias("kind"), F.lit(1).cast("long").alias("new"))
+    asked = sent.select(*key, F.col("last_sent").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("new"))
+    rows = with_cells(paid.unionByName(asked, allowMissingColumns=True), ["network_key", "address"], F.unix_seconds("at"), CELL_SECONDS)
+    # A payment at the very moment sorts after it: only strictly earlier ones count.
+    feeders = running_before(rows, ["network_key", "address"], ["at", "kind"], {"distinct_senders": (F.sum, F.col("new"))}).filter("kind = 0")
+    feeders = feeders.select(*key, "distinct_senders")
     out = sent.join(feeders, key, "left").withColumn("distinct_senders", F.coalesce("distinct_senders", F.lit(0)))
     kind = (
         F.when(~complete, "unresolved_candidate_relationship")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivermark.functions.predicates import first_reason, reasons
 from rivermark.operators.casework import latency_percentiles
-from rivermark.scale import position_in
+from rivermark.scale import cut, position_in
 
 # Definition versions, name parts that must not appear, the feature allow-list.
 FEATURE_VERSION = "v1-2026-09-20"
@@ -164,17 +164,28 @@ def materialize(registry: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     return kept, skipped
 
 
+#: Digests that are joined to one at each level of the snapshot tree.
+FAN = 256
+
+
 def snapshot_hash(rows: DataFrame) -> DataFrame:
-    """One digest of the row keys, built in two steps.
+    """One digest of the row keys, built as a tree of digests.
 
-    Keys are digested and grouped by the first three digits; each group is sorted
-    and digested, then the at most 4096 group digests are. No task sees all keys.
+    The digest of a key says where it belongs: two more hex digits at each level, with as
+    many levels as keep about ``FAN`` keys in a group. Every group is sorted and
+    digested, then ``FAN`` groups at a time, up to the root. The number of keys decides on the
+    levels, so partitioning does not matter, and no list grows with the table.
     """
     key = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in KEY]), 256)
-    part = rows.select(key.alias("k")).distinct().groupBy(F.substring("k", 1, 3).alias("p")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("k")), "|"), 256).alias("d")
-    )
-    return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "|"), 256).alias("snapshot_sha256"))
+    level = cut(rows.select(key.alias("d")).distinct())
+    n, depth = level.count(), 0
+    while n > FAN ** (depth + 1):
+        depth += 1
+    level = level.select("d", F.substring("d", 1, 2 * depth).alias("p"), F.col("d").alias("at"))
+    for k in range(depth, -1, -1):
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "|")
+        level = level.groupBy("p").agg(F.sha2(joined, 256).alias("d")).select("d", F.substring("p", 1, max(2 * k - 2, 0)).alias("p"), F.col("p").alias("at"))
+    return level.select(F.col("d").alias("snapshot_sha256")) if n else rows.groupBy().agg(F.sha2(F.lit(""), 256).alias("snapshot_sha256"))
 
 
 def readiness_units(rows: DataFrame, registry: DataFrame) -> DataFrame:

@@ -84,28 +84,48 @@ def watch_alerts(seen: DataFrame) -> DataFrame:
     )
 
 
-def alert_states(seen: DataFrame) -> DataFrame:
-    """State history: one row per poll that opened, changed or retracted an alert.
+def alert_history(seen: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Every observation that an alert takes in, with its ``change`` and the alert after it.
 
-    Rows of one watch and event are as many as polls saw it, which the overlap bounds.
+    ``before`` holds ``state``, ``execution_status`` and ``confirmation_state`` of alerts that
+    were opened earlier. Rows of one watch and event are as many as polls saw it, which
+    the overlap bounds.
     """
     key = ["watch_id", "event_reference"]
     w = Window.partitionBy(*key).orderBy("poll_time")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    s = seen.filter(F.col("reason").isNull() | F.col("reason").isin(*RETRACTING))
-    first = F.min(F.when(F.col("reason").isNull(), F.col("poll_time"))).over(Window.partitionBy(*key))
-    s = s.withColumn("_open", first).filter(F.col("poll_time") >= F.col("_open"))
-    back, conf, ex = F.col("reason").isNotNull(), F.col("confirmation_state"), F.col("execution_status")
-    s = s.withColumn("_gone", F.max(F.when(back, F.lit(1))).over(before))
-    turn = back & F.col("_gone").isNull()
-    held_conf = F.when(~back & (conf != "unknown") | turn & (conf == "removed"), conf)
-    held_ex = F.when(~back & (ex == "success") | turn & ex.isin("failed", "reverted"), ex)
-    s = s.withColumn("_conf", F.coalesce(F.last(held_conf, True).over(before), F.lit("unknown"))).withColumn(
-        "_ex", F.coalesce(F.last(held_ex, True).over(before), F.lit("unknown"))
+    earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    s = seen.filter(F.col("reason").isNull() | F.col("reason").isin(*RETRACTING)).select(
+        *key, "poll_time", "reason", F.col("execution_status").alias("ex"), F.col("confirmation_state").alias("conf")
     )
+    held = ["state", "execution_status", "confirmation_state"]
+    if before is None:
+        s = s.select("*", *[F.lit(None).cast("string").alias(f"_{c}") for c in held])
+    else:
+        s = s.join(before.select(*key, *[F.col(c).alias(f"_{c}") for c in held]), key, "left")
+    back, conf, ex = F.col("reason").isNotNull(), F.col("conf"), F.col("ex")
+    first = F.min(F.when(~back, F.col("poll_time"))).over(Window.partitionBy(*key))
+    known = F.col("_state").isNotNull()
+    s = s.withColumn("_open", F.when(~known, first)).filter(known | (F.col("poll_time") >= F.col("_open")))
+    s = s.withColumn("_gone", (F.coalesce(F.max(F.when(back, F.lit(1))).over(earlier), F.lit(0)) == 1) | F.coalesce(F.col("_state") == "retracted", F.lit(False)))
+    turn = back & ~F.col("_gone")
+    new_conf = F.when(~back & (conf != "unknown") | turn & (conf == "removed"), conf)
+    new_ex = F.when(~back & (ex == "success") | turn & ex.isin("failed", "reverted"), ex)
+
+    def at(value: Column, window, held: str) -> Column:
+        return F.coalesce(F.last(value, True).over(window), F.col(held), F.lit("unknown"))
+
+    s = s.withColumn("_conf", at(new_conf, earlier, "_confirmation_state")).withColumn("_ex", at(new_ex, earlier, "_execution_status"))
     moved = ((conf != "unknown") & (conf != F.col("_conf"))) | ((F.col("_ex") == "unknown") & (ex == "success"))
     kind = first_reason((F.col("poll_time") == F.col("_open"), "opened"), (turn, "retracted"), (~back & moved, "status_changed"))
-    return s.withColumn("change", kind).filter("change IS NOT NULL").select(*key, "poll_time", "change")
+    return s.select(
+        *key, "poll_time", kind.alias("change"), F.when(F.col("_gone") | back, "retracted").otherwise("active").alias("state"),
+        at(new_ex, upto, "_execution_status").alias("execution_status"), at(new_conf, upto, "_confirmation_state").alias("confirmation_state"),
+    )
+
+
+def alert_states(seen: DataFrame) -> DataFrame:
+    """State history: one row per poll that opened, changed or retracted an alert."""
+    return alert_history(seen).filter("change IS NOT NULL").select("watch_id", "event_reference", "poll_time", "change")
 
 
 def poll_windows(watches: DataFrame, runs: DataFrame, now: Column) -> DataFrame:

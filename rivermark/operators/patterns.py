@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rivermark.functions import amounts
 from rivermark.functions.predicates import reasons
-from rivermark.scale import cut, previous_row, with_cells
+from rivermark.operators.chains import peel
+from rivermark.scale import previous_row, with_cells
 
 HOUR = 3600
 # Points per rule and the bands of the triage score.
@@ -24,6 +25,7 @@ RULE_WEIGHTS = {
     "cyclic_topology": 5,
     "protocol_boundary": 10,
 }
+# Why a branch leaves what can be followed.
 BOUNDARY_REASONS = ("bridge", "privacy_mechanism", "opaque_contract", "unsupported_asset_change")
 
 
@@ -164,24 +166,11 @@ def cyclic_topology(events: DataFrame, scope: list[str]) -> DataFrame:
     """Whether each graph has a directed cycle.
 
     Wallets without incoming edges cannot lie on a cycle, nor can wallets without
-    outgoing ones. Both ends are peeled until nothing changes; edges that stay
-    are there because a cycle holds them.
+    outgoing ones. Both ends are peeled and chains contracted until nothing changes;
+    edges that stay are there because a cycle holds them.
     """
     graphs = events.select(*scope).distinct()
-    edges = cut(events.select(*scope, "from_address", "to_address").distinct())
-    left = edges.count()
-    while left:
-        heads = edges.select(*scope, F.col("to_address").alias("from_address")).distinct()
-        tails = edges.select(*scope, F.col("from_address").alias("to_address")).distinct()
-        edges = cut(
-            edges.join(heads, [*scope, "from_address"], "left_semi").join(
-                tails, [*scope, "to_address"], "left_semi"
-            )
-        )
-        now = edges.count()
-        if now == left:
-            break
-        left = now
+    edges, _ = peel(events.select(*scope, F.col("from_address").alias("a"), F.col("to_address").alias("b")).distinct(), scope)
     cyclic = edges.select(*scope).distinct().withColumn("has_directed_cycle", F.lit(True))
     return graphs.join(cyclic, scope, "left").withColumn(
         "has_directed_cycle", F.coalesce("has_directed_cycle", F.lit(False))
@@ -194,6 +183,43 @@ def pattern_id(rule: Column, address: Column, *refs: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", rule, address, joined), 256), 1, 16)
 
 
+def fan_references(events: DataFrame, scope: list[str], side: str, services: DataFrame | None = None) -> DataFrame:
+    """Every event of every fan, one row each."""
+    own = "to_address" if side == "in" else "from_address"
+    keys = [*scope, "address", "token_contract"]
+    rows = events.select(*scope, F.col(own).alias("address"), "token_contract", "event_reference")
+    return rows.join(fan(events, scope, side, services).select(*keys), keys, "left_semi")
+
+
+def repeated_references(pairs: DataFrame, scope: list[str]) -> DataFrame:
+    """Both events of every pair of every repeated forwarding, one row each."""
+    keys = [*scope, "address", "token_contract"]
+    rows = pairs.select(*keys, F.explode(F.array("in_reference", "out_reference")).alias("event_reference"))
+    return rows.join(repeated_forwarding(pairs, scope).select(*keys), keys, "left_semi")
+
+
+def digest_of(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One digest of the distinct values of each key, in two steps.
+
+    Values are dealt by the first three hex digits of their own digest; each part is sorted
+    and digested, then the at most 4096 part digests in order. A hot key's values are so
+    spread over many tasks, and the result does not depend on their order.
+    """
+    part = F.substring(F.sha2(value, 256), 1, 3).alias("_p")
+    parts = rows.select(*keys, value).distinct().groupBy(*keys, part).agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(value)), "|"), 256).alias("d")
+    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_p", "d"))), lambda x: x["d"])
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sha2(F.array_join(ordered, "|"), 256).alias("digest"))
+
+
+def wide_pattern_ids(references: DataFrame, scope: list[str]) -> DataFrame:
+    """Identity of findings that may have any number of references, from their digest."""
+    found = digest_of(references, [*scope, "rule", "address", "token_contract"], "event_reference")
+    ident = F.substring(F.sha2(F.concat_ws("|", "rule", "address", "digest"), 256), 1, 16)
+    return found.select(*scope, "rule", "address", "token_contract", F.col("n").alias("references_seen"), ident.alias("pattern_id"))
+
+
 def triage_score(findings: DataFrame, scope: list[str]) -> DataFrame:
     """Sum of rule weights, each rule once per graph, with its band."""
     weight = F.coalesce(*[F.when(F.col("rule") == r, F.lit(w)) for r, w in RULE_WEIGHTS.items()])

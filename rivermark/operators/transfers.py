@@ -12,7 +12,7 @@ from rivermark.functions.predicates import _is, first_reason, positive
 CONTENT = ("from_address", "to_address", "amount_base_units", "block_time", "token_contract", "tx_hash")
 
 
-def _row_reason() -> Column:
+def _row_reason(network: str | None = None) -> Column:
     """Reasons that one row alone decides, in the order they are tested."""
     blank = lambda n: F.coalesce(F.col(n) == "", F.lit(True))
     verified = _is("execution_status", "success") & _is("confirmation_state", "confirmed")
@@ -21,12 +21,14 @@ def _row_reason() -> Column:
         (~verified, "execution_or_finality_unverified"),
         (~positive(), "non_positive_or_inexact_amount"),
         (blank("from_address") | blank("to_address"), "missing_participant"),
+        # A set of one network leaves rows of others out; without one each network is its own.
+        *([(F.coalesce(F.col("network_key") != network, F.lit(False)), "different_network")] if network else []),
     )
 
 
-def _grouped(events: DataFrame, scope: list[str]) -> DataFrame:
+def _grouped(events: DataFrame, scope: list[str], network: str | None = None) -> DataFrame:
     """Per event identity: copies and how many different contents they have."""
-    usable = events.withColumn("_reason", _row_reason()).filter("_reason IS NULL")
+    usable = events.withColumn("_reason", _row_reason(network)).filter("_reason IS NULL").drop("_reason")
     content = F.struct(*CONTENT)
     return usable.groupBy(*scope, "event_reference").agg(
         F.count(F.lit(1)).alias("copies"),
@@ -36,24 +38,24 @@ def _grouped(events: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def verified_events(events: DataFrame, scope: list[str]) -> DataFrame:
+def verified_events(events: DataFrame, scope: list[str], network: str | None = None) -> DataFrame:
     """One row per event identity; identities with conflicting copies are dropped."""
-    return _grouped(events, scope).filter("agrees").select(*scope, "event_reference", "row.*")
+    return _grouped(events, scope, network).filter("agrees").select(*scope, "event_reference", "row.*")
 
 
-def excluded_event_counts(events: DataFrame, scope: list[str]) -> DataFrame:
+def excluded_event_counts(events: DataFrame, scope: list[str], network: str | None = None) -> DataFrame:
     """Number of rows left out, by reason. Conflicts count identities.
 
     Within a conflicting identity, copies equal to the smallest content count as
     duplicates of it, the rest as conflicts of one identity.
     """
     single = (
-        events.select(*scope, _row_reason().alias("reason"))
+        events.select(*scope, _row_reason(network).alias("reason"))
         .filter("reason IS NOT NULL")
         .groupBy(*scope, "reason")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    usable = events.withColumn("_reason", _row_reason()).filter("_reason IS NULL")
+    usable = events.withColumn("_reason", _row_reason(network)).filter("_reason IS NULL")
     same = usable.groupBy(*scope, "event_reference", F.struct(*CONTENT).alias("content")).agg(
         F.count(F.lit(1)).alias("copies")
     )

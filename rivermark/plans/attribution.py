@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rivermark.operators import attribution as att
 from rivermark.operators import flow
-from rivermark.operators.patterns import pattern_id, recommendations
+from rivermark.operators.patterns import digest_of, pattern_id, recommendations
 from rivermark.operators.transfers import verified_events
 from rivermark.plans.base import LABELS, LEDGER, SPARSE, SPENT, sql
 from rivermark.plans.patterns import spent, thin
@@ -26,10 +26,18 @@ def damaged(endings):
     )
 
 
-_SERV = """serv AS (SELECT e.trace_id, e.address, e.hop, e.path, e.r, e.source_reference, st.entity_name, st.entity_type, st.address_role,
+def doubted(observed):
+    """Saved events, some found unverified later."""
+    late = (F.length("event_reference") % 7 == 0) & (F.substring("event_reference", -1, 1) == "3")
+    return observed.withColumn("execution_status", F.when(late, "unknown").otherwise(F.col("execution_status")))
+
+
+_SERV = """doubt AS (SELECT DISTINCT event_reference FROM spent WHERE length(event_reference) % 7 = 0 AND right(event_reference, 1) = '3'),
+serv AS (SELECT e.trace_id, e.address, e.hop, e.path, e.r, e.source_reference, st.entity_name, st.entity_type, st.address_role,
  length(e.r) % 5 AS kind FROM endings e JOIN st USING (trace_id, r) WHERE e.endpoint_class = 'known_service'),
 dam AS (SELECT *, CASE WHEN kind = 0 AND hop > 0 THEN substring(path, strpos(path,'>')+1) WHEN kind = 1 THEN 'x' || path ELSE path END AS dpath,
- CASE WHEN kind = 1 THEN 'missing_or_unverified_deposit_path' WHEN kind = 0 AND hop > 0 THEN 'disconnected_path' END AS problem FROM serv)"""
+ CASE WHEN kind = 1 OR EXISTS (SELECT 1 FROM unnest(string_split(CASE WHEN kind = 0 AND hop > 0 THEN substring(path, strpos(path,'>')+1) ELSE path END, '>')) u(x) WHERE x IN (SELECT event_reference FROM doubt))
+  THEN 'missing_or_unverified_deposit_path' WHEN kind = 0 AND hop > 0 THEN 'disconnected_path' END AS problem FROM serv)"""
 SERV = (*ENDINGS, _SERV)
 
 
@@ -38,7 +46,7 @@ SELECT trace_id, address, entity_name, CAST(hop AS BIGINT) AS hop_depth, r AS ar
  address_role = 'deposit' AS deposit_role_verified FROM dam WHERE problem IS NULL OR problem = 'disconnected_path'"""))
 def _(spark, sf):
     t = saved(spark, sf)
-    return att.service_boundaries(damaged(t.endings), t.observed, t.header)
+    return att.service_boundaries(damaged(t.endings), doubted(t.observed), t.header)
 
 
 @query("receiving_services", sql(*SERV, body="""
@@ -46,14 +54,14 @@ SELECT trace_id, 'n0' AS network_key, address, entity_name, entity_type, address
  CAST(hop+1 AS BIGINT) AS hops, hop = 0 AS direct FROM dam WHERE problem IS NULL AND entity_type IN ('exchange','custodial_service')"""))
 def _(spark, sf):
     t = saved(spark, sf)
-    return att.receiving_services(damaged(t.endings), t.observed, t.header)
+    return att.receiving_services(damaged(t.endings), doubted(t.observed), t.header)
 
 
 @query("rejected_paths", sql(*SERV, body="""
 SELECT trace_id, address, dpath AS path, problem AS reason FROM dam WHERE problem IS NOT NULL AND entity_type IN ('exchange','custodial_service')"""))
 def _(spark, sf):
     t = saved(spark, sf)
-    return att.rejected_paths(damaged(t.endings), t.observed, t.header)
+    return att.rejected_paths(damaged(t.endings), doubted(t.observed), t.header)
 
 
 def _services(spark, sf):
@@ -87,21 +95,35 @@ def _(spark, sf):
 
 
 @query("recommendations", sql(*SERV, _LIMITS, _COVERED, body="""
-SELECT trace_id, boundaries, concat_ws(',', 'preserve_evidence', 'review_scope', CASE WHEN boundaries > 0 THEN 'review_vasp_request' END,
- CASE WHEN limited THEN 'resolve_data_gaps' END) AS actions
+, gone AS (SELECT trace_id, count(DISTINCT event_reference) AS excluded FROM lim WHERE code = 'execution_or_finality_unverified' GROUP BY 1)
+SELECT trace_id, boundaries, coalesce(excluded, 0) AS excluded, concat_ws(',', 'preserve_evidence', 'review_scope', CASE WHEN boundaries > 0 THEN 'review_vasp_request' END,
+ CASE WHEN limited OR coalesce(excluded, 0) > 0 THEN 'resolve_data_gaps' END) AS actions
 FROM (SELECT c.trace_id, count(serv.r) AS boundaries, bool_or(c.coverage_status <> 'complete_within_scope') AS limited
- FROM covered c LEFT JOIN serv USING (trace_id) GROUP BY 1)"""))
+ FROM covered c LEFT JOIN serv USING (trace_id) GROUP BY 1) LEFT JOIN gone USING (trace_id)""".lstrip()))
 def _(spark, sf):
     t = saved(spark, sf)
     n = att.service_boundaries(t.endings, t.observed, t.header).groupBy("trace_id").agg(F.count(F.lit(1)).alias("boundaries"))
-    # Observed steps that are not verified by their own statuses count as excluded.
-    unproven = t.observed.filter("NOT (execution_status = 'success' AND confirmation_state = 'confirmed')")
-    excluded = unproven.groupBy("trace_id").agg(F.count(F.lit(1)).alias("excluded"))
+    # Events at the trace's wallets that the verified set turned away.
+    turned = t.limitations.filter("code = 'execution_or_finality_unverified'")
+    excluded = turned.groupBy("trace_id").agg(F.countDistinct("event_reference").alias("excluded"))
     rows = t.header.select("trace_id", "coverage_status").join(n, "trace_id", "left").join(excluded, "trace_id", "left").select(
         "trace_id", F.coalesce("boundaries", F.lit(0)).cast("long").alias("boundaries"), F.coalesce("excluded", F.lit(0)).alias("excluded"),
         "coverage_status",
     )
-    return recommendations(rows).select("trace_id", "boundaries", "actions")
+    return recommendations(rows).select("trace_id", "boundaries", "excluded", "actions")
+
+
+@query("trace_digests", sql(*ENDINGS, body="""
+, lines AS (SELECT trace_id, 'o|' || event_reference || '|' || hop AS line FROM obs_t
+ UNION ALL SELECT trace_id, 'e|' || address || '|' || endpoint_class || '|' || coalesce(boundary_reason, '') || '|' || path FROM endings),
+parts AS (SELECT trace_id, substring(sha256(line),1,3) AS p, count(DISTINCT line) AS n, sha256(string_agg(DISTINCT line, '|' ORDER BY line)) AS d FROM lines GROUP BY ALL)
+SELECT trace_id, CAST(sum(n) AS BIGINT) AS lines, sha256(string_agg(d, '|' ORDER BY p)) AS trace_sha256 FROM parts GROUP BY 1""".lstrip()))
+def _(spark, sf):
+    """One digest per saved trace over its transfers and endings."""
+    t = saved(spark, sf)
+    seen = t.observed.select("trace_id", F.concat_ws("|", F.lit("o"), "event_reference", "hop_depth").alias("line"))
+    ends = t.endings.select("trace_id", F.concat_ws("|", F.lit("e"), "address", "endpoint_class", F.coalesce("boundary_reason", F.lit("")), F.array_join("branch_path", ">")).alias("line"))
+    return digest_of(seen.unionByName(ends), ["trace_id"], "line").select("trace_id", F.col("n").alias("lines"), F.col("digest").alias("trace_sha256"))
 
 
 @query("request_identifiers", sql(*ENDINGS, body="""
@@ -215,6 +237,17 @@ def _(spark, sf):
     return flow.flow_layers(events, events.groupBy("trace_id").agg(first.alias("address")))
 
 
+@query("flow_strays", sql(LEDGER, SPARSE, """lk AS (SELECT DISTINCT trace_id, from_address a, to_address b FROM sparse WHERE from_address <> to_address),
+nd AS (SELECT trace_id, w FROM (SELECT trace_id, from_address w FROM sparse UNION SELECT trace_id, to_address FROM sparse)),
+sdl AS (SELECT trace_id, arg_min(from_address, (t, event_reference)) AS w FROM sparse GROUP BY 1),
+rc(trace_id, w) AS (SELECT * FROM sdl UNION SELECT r.trace_id, e.b FROM rc r JOIN lk e ON e.trace_id = r.trace_id AND e.a = r.w)""", body="""
+SELECT n.trace_id, count(*) AS wallets, count(*) FILTER (WHERE r.w IS NULL) AS strays FROM nd n LEFT JOIN rc r ON r.trace_id = n.trace_id AND r.w = n.w GROUP BY 1"""))
+def _(spark, sf):
+    events = thin(spark, sf)
+    first = F.min_by("from_address", F.struct("block_time", "event_reference"))
+    return flow.flow_strays(events, events.groupBy("trace_id").agg(first.alias("address")))
+
+
 def _modes(df):
     return df.withColumn("data_mode", F.lit("LIVE"))
 
@@ -315,6 +348,22 @@ def _(spark, sf):
     return found.select("anchor_address", "address", "repeated", "days", "units", "distinct_senders", "relationship")
 
 
+@query("neighborhood_excluded", sql(LEDGER, body=f"""
+, rep AS (SELECT * FROM ledger UNION ALL SELECT * FROM ledger WHERE order_key % 13 = 0),
+why AS (SELECT event_reference, CASE WHEN part_key % 9 = 0 THEN 'different_network_or_asset' WHEN t NOT BETWEEN {src.EPOCH} AND {src.EPOCH + 300000} THEN 'outside_window'
+ WHEN amount <= 0 OR confirmation_state = 'removed' THEN 'no_value_or_removed' WHEN order_key % 8 = 0 THEN 'failed_execution' WHEN ordering_ambiguous THEN 'order_unknown' END AS reason FROM rep)
+SELECT reason, CAST(count(*) AS BIGINT) AS excluded FROM why WHERE reason IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'repeated_event', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) - 1 AS n FROM why WHERE reason IS NULL GROUP BY event_reference HAVING count(*) > 1)""".lstrip()))
+def _(spark, sf):
+    """Why observations around the anchors do not count, over a collection with repeated and foreign rows."""
+    rows = src.ledger(spark, sf)
+    events = rows.unionByName(rows.filter("order_key % 13 = 0")).withColumn("event_index", F.col("line")).withColumn(
+        "token_contract", F.expr("CASE WHEN part_key % 9 = 0 THEN 'other' ELSE token_contract END")
+    ).withColumn("execution_status", F.expr("CASE WHEN order_key % 8 = 0 THEN 'failed' ELSE execution_status END"))
+    at = lambda s: F.timestamp_seconds(F.lit(src.EPOCH + s))
+    return att.excluded_observations(events, "n0", "a0", at(0), at(300000))
+
+
 @query("neighborhood_context", sql(LEDGER, LABELS, _ANCHORS, _NEIGH, body="""
 SELECT from_address AS address, to_address AS anchor_address, event_reference FROM ob WHERE NOT covered"""))
 def _(spark, sf):

@@ -145,9 +145,15 @@ def _(spark, sf):
     )
 
 
-@query("dataset_snapshot", sql(*WIN, body=f"""
-, k AS (SELECT DISTINCT sha256(wallet_id || '|' || window_start || '|' || window_end || '|{ds.FEATURE_VERSION}') AS k FROM win),
-p AS (SELECT substring(k,1,3) AS p, sha256(string_agg(k, '|' ORDER BY k)) AS d FROM k GROUP BY 1) SELECT sha256(string_agg(d, '|' ORDER BY p)) AS snapshot_sha256 FROM p""".lstrip()))
+_TREE = f"""k AS MATERIALIZED (SELECT DISTINCT sha256(wallet_id || '|' || window_start || '|' || window_end || '|{ds.FEATURE_VERSION}') AS k FROM win),
+deep AS (SELECT CASE WHEN count(*) <= {ds.FAN} THEN 0 WHEN count(*) <= {ds.FAN ** 2} THEN 1 WHEN count(*) <= {ds.FAN ** 3} THEN 2 ELSE 3 END AS deep FROM k),
+l0 AS (SELECT substring(k, 1, 2 * deep) AS p, sha256(string_agg(k, '|' ORDER BY k)) AS d FROM k, deep GROUP BY 1),
+l1 AS (SELECT substring(p, 1, greatest(length(p) - 2, 0)) AS p, CASE WHEN max(length(p)) = 0 THEN max(d) ELSE sha256(string_agg(d, '|' ORDER BY p)) END AS d FROM l0 GROUP BY 1),
+l2 AS (SELECT substring(p, 1, greatest(length(p) - 2, 0)) AS p, CASE WHEN max(length(p)) = 0 THEN max(d) ELSE sha256(string_agg(d, '|' ORDER BY p)) END AS d FROM l1 GROUP BY 1),
+l3 AS (SELECT substring(p, 1, greatest(length(p) - 2, 0)) AS p, CASE WHEN max(length(p)) = 0 THEN max(d) ELSE sha256(string_agg(d, '|' ORDER BY p)) END AS d FROM l2 GROUP BY 1)"""
+
+
+@query("dataset_snapshot", sql(*WIN, _TREE, body="SELECT d AS snapshot_sha256 FROM l3"))
 def _(spark, sf):
     return ds.snapshot_hash(windows(spark, sf))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from rivermark import scale
 from rivermark.operators import casework as cw
 from rivermark.operators import monitor as mon
 from rivermark.plans.base import LEDGER, sql
@@ -87,19 +90,28 @@ def _(spark, sf):
     return mon.alert_states(_seen(spark, sf)).select("watch_id", "event_reference", F.unix_seconds("poll_time").alias("poll_at"), "change")
 
 
+def _polled(spark, sf, order):
+    """The polls as a stream of files in the given order, two micro-batches for each poll."""
+    seen = observations(spark, sf)
+    folder = f"{scale.shared_folder(spark)}/polls-{uuid.uuid4().hex}"
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in order:
+        seen.filter(F.col("k") == k).repartition(files).write.mode("append").parquet(folder)
+    polls = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", (files + 1) // 2).parquet(folder)
+    return stream.run_once(polls, watches(spark, sf))
+
+
 @query("watch_stream", _STATES)
 def _(spark, sf):
-    """The same history from the streaming job, run over the order lines as a file stream."""
-    lines = spark.readStream.schema(src.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
-    changes = stream.watch_changes(observations(spark, sf, lines), watches(spark, sf))
-    path = stream.run_once(changes)
-    return spark.read.parquet(path).select("watch_id", "event_reference", F.unix_seconds("poll_time").alias("poll_at"), "change")
+    """The same history from the streaming job, poll by poll over several micro-batches."""
+    path = _polled(spark, sf, (0, 1, 2))
+    return stream.changes(spark, path).select("watch_id", "event_reference", F.unix_seconds("poll_time").alias("poll_at"), "change")
 
 
-@query("late_observations", sql(*SEEN, body=f"""
-SELECT watch_id, count(*) AS late FROM ledger JOIN wt ON watch_address = from_address OR watch_address = to_address WHERE t < {src.EPOCH + 200_000 - mon.OVERLAP_SECONDS} GROUP BY 1"""))
+@query("late_observations", sql(*SEEN, body="SELECT watch_id, count(*) AS late FROM seen WHERE k = 1 GROUP BY 1"))
 def _(spark, sf):
-    return stream.late_rows(src.ledger(spark, sf), watches(spark, sf), F.timestamp_seconds(F.lit(src.EPOCH + 200_000)))
+    """The second poll arrives after the third: its rows are counted by the stream and not applied."""
+    return stream.late(spark, _polled(spark, sf, (0, 2, 1)))
 
 
 @query("alert_lag", sql(*SEEN, _ALERT, body="""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivermark.functions.predicates import fund_flow, spendable
+from rivermark.operators import attribution as att
 from rivermark.operators import labels as lab
 from rivermark.operators import patterns as pat
 from rivermark.operators import transfers as tr
@@ -90,6 +94,24 @@ ids AS (SELECT event_reference, count(*) AS contents,
   arg_min(copies, (from_address, to_address, amt, t, token_contract, tx_hash)) AS first_copies FROM content GROUP BY 1)"""
 
 
+_FOREIGN = """mixed AS (SELECT * REPLACE (CASE WHEN part_key % 11 = 0 THEN 'n9' ELSE network_key END AS network_key) FROM raw)"""
+_HOME = f"""home AS (SELECT * FROM mixed WHERE network_key = 'n0' AND {_OK}),
+content AS (SELECT event_reference, from_address, to_address, CAST(amount AS VARCHAR) AS amt, t, token_contract, tx_hash, count(*) AS copies FROM home GROUP BY ALL),
+ids AS (SELECT event_reference, count(*) AS contents, arg_min(copies, (from_address, to_address, amt, t, token_contract, tx_hash)) AS first_copies FROM content GROUP BY 1)"""
+
+
+@query("excluded_foreign_events", sql(LEDGER, RAW, _FOREIGN, _HOME, body=f"""
+SELECT * FROM (
+ SELECT 'execution_or_finality_unverified' AS reason, count(*) AS n FROM mixed WHERE NOT ({_OK})
+ UNION ALL SELECT 'different_network', count(*) FROM mixed WHERE {_OK} AND network_key <> 'n0'
+ UNION ALL SELECT 'duplicate_event', CAST(sum(first_copies-1) AS BIGINT) FROM ids
+ UNION ALL SELECT 'conflicting_event_identity', count(*) FROM ids WHERE contents > 1) WHERE n > 0"""))
+def _(spark, sf):
+    """Rows of another network among those of a case."""
+    rows = raw(spark, sf).withColumn("network_key", F.expr("CASE WHEN part_key % 11 = 0 THEN 'n9' ELSE network_key END"))
+    return tr.excluded_event_counts(rows, [], "n0").select("reason", "n")
+
+
 @query("excluded_event_counts", sql(LEDGER, RAW, _IDS, body=f"""
 SELECT * FROM (
  SELECT 'execution_or_finality_unverified' AS reason, count(*) AS n FROM raw WHERE NOT ({_OK})
@@ -232,38 +254,98 @@ def _(spark, sf):
     return pat.cyclic_topology(thin(spark, sf), ["trace_id"])
 
 
-def _findings(spark, sf):
-    """Rule hits per hourly graph: fans, peeling splits and cycles."""
-    events = thin(spark, sf)
-    hits = [
-        pat.fan(events, ["trace_id"], "in").select("trace_id", F.lit("fan_in").alias("rule"), "address"),
-        pat.fan(events, ["trace_id"], "out").select("trace_id", F.lit("fan_out").alias("rule"), "address"),
-        pat.peeling_split(events, ["trace_id"]).select(
-            "trace_id", F.lit("peeling_like_split").alias("rule"), "address"
-        ),
-        pat.cyclic_topology(events, ["trace_id"]).filter("has_directed_cycle").select(
-            "trace_id", F.lit("cyclic_topology").alias("rule"), F.lit("").alias("address")
-        ),
-    ]
-    out = hits[0]
-    for more in hits[1:]:
-        out = out.unionByName(more)
-    return out
+#: Graphs of two densities: an hour of one asset, and a day between fifty busy wallets.
+GRAPHS = f"""graphs AS (SELECT * FROM sparse UNION ALL
+ SELECT *, 'd:' || ((t - {src.EPOCH}) // 86400) AS trace_id FROM hub)"""
+
 
+def graphs(spark, sf):
+    events = spent(spark, sf)
+    busy = src.hub(events).withColumn("trace_id", F.concat(F.lit("d:"), F.expr(f"(unix_seconds(block_time) - {src.EPOCH}) div 86400")))
+    return thin(spark, sf).unionByName(busy)
 
-_FIND = """f AS (
- SELECT trace_id, 'fan_in' AS rule, 15 AS w FROM sparse GROUP BY trace_id, token_contract, to_address HAVING count(DISTINCT from_address)>=3
- UNION ALL SELECT trace_id, 'fan_out', 15 FROM sparse GROUP BY trace_id, token_contract, from_address HAVING count(DISTINCT to_address)>=3
- UNION ALL SELECT trace_id, 'peeling_like_split', 10 FROM peel
- UNION ALL SELECT trace_id, 'cyclic_topology', 5 FROM cyc)"""
 
+def bridges(spark, sf):
+    """Addresses with an agreed accepted claim of a bridge at a fixed moment, where tracing would end."""
+    claims = src.labels(spark, sf)
+    held = lab.label_conflicts(claims, F.expr(MOMENT_TS)).filter("NOT conflict").select("address", F.col("picked_source").alias("source_reference"))
+    kind = claims.select("address", "source_reference", "entity_type").distinct()
+    return held.join(kind, ["address", "source_reference"]).filter("entity_type = 'bridge'").select("address")
 
-@query("triage_score", sql(LEDGER, SPARSE, _PEEL, _REACH, _FIND, body="""
+
+def _findings(spark, sf):
+    """Rule hits per graph; reviewed services are left out, except as the boundary they are."""
+    events, known, scope = graphs(spark, sf), services(spark, sf), ["trace_id"]
+    pairs = pat.rapid_pairs(events, scope, known)
+
+    def hit(rule, found):
+        return found.select("trace_id", F.lit(rule).alias("rule"), "address")
+
+    ends = events.select("trace_id", F.col("to_address").alias("address")).join(bridges(spark, sf), "address").withColumn("boundary_reason", F.lit("bridge"))
+    return [
+        hit("fan_in", pat.fan(events, scope, "in", known)),
+        hit("fan_out", pat.fan(events, scope, "out", known)),
+        hit("rapid_forwarding", pairs.select("trace_id", "address").distinct()),
+        hit("repeated_forwarding", pat.repeated_forwarding(pairs, scope)),
+        hit("peeling_like_split", pat.peeling_split(events, scope, known)),
+        hit("cyclic_topology", pat.cyclic_topology(events, scope).filter("has_directed_cycle").withColumn("address", F.lit(""))),
+        hit("protocol_boundary", att.protocol_boundary(ends)),
+    ]
+
+
+_TRIAGE = """bridges AS (SELECT p.address FROM picked p WHERE conclusions = 1 AND (SELECT min(entity_type) FROM labels_in l WHERE l.address = p.address AND l.source_reference = p.src) = 'bridge'),
+gm AS (SELECT trace_id, to_address AS address, token_contract, 'in' AS side, event_reference, amount, t, seq, ordering_ambiguous FROM graphs WHERE to_address NOT IN (SELECT address FROM services)
+ UNION ALL SELECT trace_id, from_address, token_contract, 'out', event_reference, amount, t, seq, ordering_ambiguous FROM graphs WHERE from_address NOT IN (SELECT address FROM services)),
+gg AS (SELECT *, lag(side) OVER w ps, lag(amount) OVER w pa, lag(t) OVER w pt, lag(ordering_ambiguous) OVER w po FROM gm
+ WINDOW w AS (PARTITION BY trace_id, address, token_contract ORDER BY t, coalesce(seq,''), event_reference, side)),
+gp AS (SELECT trace_id, address, token_contract, count(*) AS n FROM gg WHERE ps='in' AND side='out' AND NOT po AND NOT ordering_ambiguous AND t-pt > 0 AND t-pt <= 3600
+  AND 85*pa <= 100*amount AND 100*amount <= 105*pa GROUP BY ALL),
+ed AS (SELECT DISTINCT trace_id, from_address a, to_address b FROM graphs),
+reach(trace_id, a, b) AS (SELECT trace_id, a, b FROM ed UNION SELECT r.trace_id, r.a, e.b FROM reach r JOIN ed e ON e.trace_id = r.trace_id AND e.a = r.b),
+f AS (
+ SELECT trace_id, 'fan_in' AS rule, 15 AS w FROM graphs WHERE to_address NOT IN (SELECT address FROM services) GROUP BY trace_id, token_contract, to_address HAVING count(DISTINCT from_address)>=3
+ UNION ALL SELECT trace_id, 'fan_out', 15 FROM graphs WHERE from_address NOT IN (SELECT address FROM services) GROUP BY trace_id, token_contract, from_address HAVING count(DISTINCT to_address)>=3
+ UNION ALL SELECT trace_id, 'rapid_forwarding', 20 FROM gp
+ UNION ALL SELECT trace_id, 'repeated_forwarding', 15 FROM gp WHERE n >= 3
+ UNION ALL SELECT trace_id, 'peeling_like_split', 10 FROM graphs WHERE from_address NOT IN (SELECT address FROM services) GROUP BY trace_id, token_contract, from_address
+  HAVING count(*)=2 AND count(DISTINCT to_address)=2 AND max(t)-min(t) <= 3600 AND min(amount)*100 <= (min(amount)+max(amount))*10
+ UNION ALL SELECT DISTINCT trace_id, 'cyclic_topology', 5 FROM reach WHERE a = b
+ UNION ALL SELECT DISTINCT trace_id, 'protocol_boundary', 10 FROM graphs WHERE to_address IN (SELECT address FROM bridges))"""
+
+
+@query("triage_score", sql(LEDGER, SPARSE, HUB, LABELS, PICKED, GRAPHS, _TRIAGE, body="""
 SELECT trace_id, least(100, CAST(sum(w) AS BIGINT)) AS score, string_agg(rule, ',' ORDER BY rule) AS rules,
  CASE WHEN sum(w)>=45 THEN 'high' WHEN sum(w)>=20 THEN 'medium' WHEN sum(w)>0 THEN 'low' ELSE 'unscored' END AS priority
 FROM (SELECT DISTINCT * FROM f) GROUP BY 1"""))
 def _(spark, sf):
-    return pat.triage_score(_findings(spark, sf), ["trace_id"])
+    """All seven rules; each hit is folded to its graph and rule before they meet."""
+    hits = [h.select("trace_id", "rule").distinct() for h in _findings(spark, sf)]
+    return pat.triage_score(reduce(DataFrame.unionByName, hits), ["trace_id"])
+
+
+_WIDE = """wide AS (
+ SELECT 'fan_in' AS rule, to_address AS address, token_contract, event_reference FROM sparse SEMI JOIN
+  (SELECT to_address, token_contract FROM sparse GROUP BY ALL HAVING count(DISTINCT from_address)>=3) USING (to_address, token_contract)
+ UNION ALL SELECT 'fan_out', from_address, token_contract, event_reference FROM sparse SEMI JOIN
+  (SELECT from_address, token_contract FROM sparse GROUP BY ALL HAVING count(DISTINCT to_address)>=3) USING (from_address, token_contract)
+ UNION ALL SELECT 'repeated_forwarding', address, token_contract, unnest([in_reference, out_reference]) FROM rp SEMI JOIN
+  (SELECT address, token_contract FROM rp GROUP BY ALL HAVING count(*)>=3) USING (address, token_contract)),
+parts AS (SELECT rule, address, token_contract, substring(sha256(event_reference),1,3) AS p, count(DISTINCT event_reference) AS n, sha256(string_agg(DISTINCT event_reference, '|' ORDER BY event_reference)) AS d FROM wide GROUP BY ALL),
+roots AS (SELECT rule, address, token_contract, CAST(sum(n) AS BIGINT) AS refs, sha256(string_agg(d, '|' ORDER BY p)) AS d FROM parts GROUP BY ALL)"""
+
+
+@query("wide_pattern_ids", sql(LEDGER, HUB, _MOVES, SPARSE, _WIDE, body="""
+SELECT rule, address, token_contract, refs AS references_seen, substring(sha256(rule || '|' || address || '|' || d), 1, 16) AS pattern_id FROM roots"""))
+def _(spark, sf):
+    """Ids of findings whose references are as many as the ledger has."""
+    events = src.sparse(spent(spark, sf))
+    pairs = hub_pairs(spark, sf)
+    found = [
+        pat.fan_references(events, ["network_key"], "in").withColumn("rule", F.lit("fan_in")),
+        pat.fan_references(events, ["network_key"], "out").withColumn("rule", F.lit("fan_out")),
+        pat.repeated_references(pairs, ["network_key"]).withColumn("rule", F.lit("repeated_forwarding")),
+    ]
+    return pat.wide_pattern_ids(reduce(DataFrame.unionByName, found), ["network_key"]).drop("network_key")
 
 
 @query("pattern_ids", sql(LEDGER, HUB, _MOVES, SPARSE, _PEEL, body="""

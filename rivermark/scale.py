@@ -44,6 +44,12 @@ def _checkpoint_ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of intermediate tables that the driver and all executors see."""
+    _checkpoint_ready(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     _checkpoint_ready(df.sparkSession)

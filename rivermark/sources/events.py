@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivermark.functions.predicates import first_reason
+from rivermark.scale import cut
 
 EVENT = (
     "event_reference STRING, tx_hash STRING, event_kind STRING,"
@@ -16,20 +17,45 @@ EVENT = (
     " block_hash STRING, parent_block_hash STRING, block_time TIMESTAMP, ordering_ambiguous BOOLEAN"
 )
 
-def read_fixture(spark: SparkSession, path: str) -> DataFrame:
-    """Events of fixture documents, with the documented defaults. LIVE documents are refused."""
-    schema = T.StructType(
+
+def _fixture_schema(*more: T.StructField) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("data_mode", T.StringType()),
             T.StructField("network", T.StringType()),
             T.StructField("capture_time", T.TimestampType()),
             T.StructField("events", T.ArrayType(T.StructType.fromDDL(EVENT))),
+            *more,
         ]
     )
-    docs = spark.read.schema(schema).json(path, multiLine=True)
+
+
+def read_fixture(spark: SparkSession, path: str) -> DataFrame:
+    """Events of fixture documents, with the documented defaults. LIVE documents are refused."""
+    docs = spark.read.schema(_fixture_schema()).json(path, multiLine=True)
     live = F.coalesce(F.col("data_mode"), F.lit("SYNTHETIC")) == "LIVE"
     checked = F.when(live, F.raise_error(F.lit("a fixture must not declare data_mode=LIVE"))).otherwise(F.col("data_mode"))
-    rows = docs.withColumn("data_mode", checked).select("network", "data_mode", F.explode("events").alias("e"))
+    return fixture_rows(docs.withColumn("data_mode", checked))
+
+
+def read_fixtures(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Events of many documents, one per file or line, and the refused documents with a reason.
+
+    Events come with their position in the chain; rows of one network are in order by it.
+    """
+    schema = _fixture_schema(T.StructField("_raw", T.StringType()))
+    docs = cut(spark.read.schema(schema).option("columnNameOfCorruptRecord", "_raw").json(path, multiLine=not lines))
+    reason = first_reason(
+        (F.col("_raw").isNotNull(), "malformed_document"),
+        (F.coalesce(F.col("data_mode") == "LIVE", F.lit(False)), "live_data_in_a_fixture"),
+        (F.col("network").isNull() | F.col("events").isNull(), "missing_network_or_events"),
+    )
+    told = docs.withColumn("reason", reason)
+    return fixture_rows(told.filter("reason IS NULL")), told.filter("reason IS NOT NULL").select("reason", "_raw")
+
+
+def fixture_rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("network", "data_mode", F.explode("events").alias("e"))
     return rows.select("network", "data_mode", "e.*").select(
         F.col("network").alias("network_key"), F.coalesce("data_mode", F.lit("SYNTHETIC")).alias("data_mode"),
         F.col("asset.token_contract").alias("token_contract"), F.col("asset.decimals").alias("decimals"),

@@ -1,112 +1,109 @@
-"""Alerts on watched wallets as a stateful stream.
+"""Alerts on watched wallets as a stream of polls.
 
-Each observation of a transfer is joined to the watches; the state of a watch and
-event is its alert. The first qualifying observation opens the alert, later ones
-refresh it, and a failed, reverted or removed one retracts it. State is kept for
-the overlap after the last observation: what is older is not polled again.
+Each micro-batch joins its observations to the watches, takes the alerts it touches from
+the state table and works out every change with the same window expressions that replay a
+whole history (``monitor.alert_history``). The state table is a log: a batch writes the alerts
+it touched, and every ``COMPACT`` batches all of them, so reading the state means reading
+at most that many folders. Nothing is kept in Python.
+
+Polls are meant to arrive in order. Observations of a poll that is older than the newest
+one by more than the overlap are not applied, because the alert may have moved on; they
+are counted per watch beside the changes.
+
+A batch writes ``changes``, ``state``, ``late`` and ``mark`` (the newest poll) into folders of its
+own number, so a batch that is repeated after a failure replaces itself.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rivermark import scale
-from rivermark.operators.monitor import OVERLAP_SECONDS, RETRACTING, exclusion_reason
+from rivermark.operators.monitor import OVERLAP_SECONDS, RETRACTING, alert_history, watched
 
+COMPACT = 16
+KEY = ["watch_id", "event_reference"]
+STATE = "watch_id string, event_reference string, state string, execution_status string, confirmation_state string, last_poll timestamp"
 CHANGE = (
     "watch_id string, event_reference string, poll_time timestamp, change string, state string,"
     " execution_status string, confirmation_state string"
 )
-ALERT = "state string, execution_status string, confirmation_state string"
-
-
-def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one alert by the observations of one micro-batch, oldest first."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values("poll_time", kind="stable")
-    alert = list(state.get) if state.exists else None
-    changes = []
-    for r in rows.itertuples(index=False):
-        back = r.reason is not None and r.reason in RETRACTING
-        change = None
-        if alert is None:
-            if not back:
-                alert, change = ["active", r.execution_status, r.confirmation_state], "opened"
-        elif back:
-            if alert[0] != "retracted":
-                alert[0], change = "retracted", "retracted"
-                if r.confirmation_state == "removed":
-                    alert[2] = "removed"
-                if r.execution_status in ("failed", "reverted"):
-                    alert[1] = r.execution_status
-        else:
-            if r.confirmation_state not in ("unknown", alert[2]):
-                alert[2], change = r.confirmation_state, "status_changed"
-            if alert[1] == "unknown" and r.execution_status == "success":
-                alert[1], change = "success", "status_changed"
-        if change:
-            changes.append((*key, r.poll_time, change, *alert))
-    if alert is not None:
-        state.update(tuple(alert))
-        last = int(rows["poll_time"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + OVERLAP_SECONDS * 1000)
-    if changes:
-        names = [c.strip().split(" ")[0] for c in CHANGE.split(",")]
-        yield pd.DataFrame(changes, columns=names)
-
-
-def watch_changes(observations: DataFrame, watches: DataFrame, overlap_seconds: int = OVERLAP_SECONDS) -> DataFrame:
-    """Stream of alert changes for a stream of observations with ``poll_time``.
-
-    Watches are a static side read anew for each micro-batch. Rows that neither
-    qualify nor retract never reach the state.
-    """
-    ends = F.explode(F.array_distinct(F.array_compact(F.array("from_address", "to_address")))).alias("watch_address")
-    dim = watches.select("watch_id", "watch_address", "watch_network", "watch_contract", "baseline")
-    seen = observations.withWatermark("poll_time", f"{overlap_seconds} seconds").select("*", ends).join(dim, "watch_address")
-    kept = seen.withColumn("reason", exclusion_reason()).filter(F.col("reason").isNull() | F.col("reason").isin(*RETRACTING))
-    slim = kept.select("watch_id", "event_reference", "poll_time", "reason", "execution_status", "confirmation_state")
-    return slim.groupBy("watch_id", "event_reference").applyInPandasWithState(
-        follow, CHANGE, ALERT, "update", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def late_rows(batch: DataFrame, watches: DataFrame, checkpoint: Column, overlap_seconds: int = OVERLAP_SECONDS) -> DataFrame:
-    """Observations of a batch that are older than the overlap: counted per watch, never read as removals."""
-    edge = F.timestamp_seconds(F.unix_seconds(checkpoint) - overlap_seconds)
-    ends = F.explode(F.array_distinct(F.array_compact(F.array("from_address", "to_address")))).alias("watch_address")
-    late = batch.filter(F.col("block_time") < edge).select("event_reference", ends)
-    # One row per address and task before the watches are met.
-    counted = late.groupBy("watch_address").agg(F.count(F.lit(1)).alias("late"))
-    return counted.join(watches.select("watch_id", "watch_address"), "watch_address").select("watch_id", "late")
-
-
-def sink(path: str):
-    """``foreachBatch`` writer: one folder per batch, so a repeated batch replaces itself."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
 
-    return write
-
-
-def run_once(changes: DataFrame, path: str | None = None, options: dict[str, str] | None = None) -> str:
-    """Process everything available, then stop. Returns the folder of the changes.
+def _folders(path: str, name: str, first: int, upto: int) -> list[str]:
+    return [f"{path}/{name}/batch={k}" for k in range(first, upto)]
+
+
+def _state(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Alerts before a batch: the newest row of each since the last full copy."""
+    first = (batch_id - 1) // COMPACT * COMPACT
+    if batch_id == 0:
+        return spark.createDataFrame([], STATE)
+    logs = [
+        spark.read.schema(STATE).parquet(folder).withColumn("_batch", F.lit(first + k))
+        for k, folder in enumerate(_folders(path, "state", first, batch_id))
+    ]
+    rows = logs[0]
+    for more in logs[1:]:
+        rows = rows.unionByName(more)
+    held = F.struct("state", "execution_status", "confirmation_state", "last_poll")
+    return rows.groupBy(*KEY).agg(F.max_by(held, "_batch").alias("s")).select(*KEY, "s.*")
+
+
+def advance(watches: DataFrame, path: str, overlap_seconds: int = OVERLAP_SECONDS):
+    """``foreachBatch`` step that applies one micro-batch of observations with ``poll_time``."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def write(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+        newest = None
+        if batch_id:
+            newest = spark.read.schema("newest long").parquet(*_folders(path, "mark", batch_id - 1, batch_id)).first().newest
+        seen = watched(batch, watches)
+        late = F.lit(False) if newest is None else F.coalesce(F.unix_micros("poll_time") < newest - overlap_seconds * 1_000_000, F.lit(False))
+        write(seen.filter(late).groupBy("watch_id").agg(F.count(F.lit(1)).alias("late")), "late")
+        kept = seen.filter(~late).filter(F.col("reason").isNull() | F.col("reason").isin(*RETRACTING))
+        before = _state(spark, path, batch_id)
+        told = scale.cut(alert_history(kept, before.join(kept.select(*KEY).distinct(), KEY, "left_semi")))
+        write(told.filter("change IS NOT NULL").select(*KEY, "poll_time", "change", "state", "execution_status", "confirmation_state"), "changes")
+        last = F.max_by(F.struct("state", "execution_status", "confirmation_state", F.col("poll_time").alias("last_poll")), "poll_time")
+        touched = told.groupBy(*KEY).agg(last.alias("s")).select(*KEY, "s.*")
+        if batch_id % COMPACT == 0:
+            touched = touched.unionByName(before.join(told.select(*KEY).distinct(), KEY, "left_anti"))
+        write(touched, "state")
+        mark = batch.agg(F.max(F.unix_micros("poll_time")).alias("newest"))
+        write(mark.select(F.greatest("newest", F.lit(newest).cast("long")).alias("newest")), "mark")
+
+    return step
+
+
+def run_once(
+    observations: DataFrame, watches: DataFrame, path: str | None = None, overlap_seconds: int = OVERLAP_SECONDS,
+    options: dict[str, str] | None = None,
+) -> str:
+    """Process every poll that is available, then stop. Returns the folder of the results.
 
     The stream's checkpoint and output live in the session's shared folder.
     """
-    spark = changes.sparkSession
+    spark = observations.sparkSession
     scale._checkpoint_ready(spark)
     path = path or f"{spark.sparkContext.getCheckpointDir()}/watch-{uuid.uuid4().hex}"
-    writer = changes.writeStream.outputMode("update").foreachBatch(sink(path)).option("checkpointLocation", f"{path}/state")
-    job = writer.options(**(options or {})).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return f"{path}/changes"
+    writer = observations.writeStream.foreachBatch(advance(watches, path, overlap_seconds)).option("checkpointLocation", f"{path}/offsets")
+    writer.options(**(options or {})).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHANGE).parquet(f"{path}/changes")
+
+
+def late(spark: SparkSession, path: str) -> DataFrame:
+    """Per watch how many observations came too late to be applied."""
+    rows = spark.read.schema("watch_id string, late long").parquet(f"{path}/late")
+    return rows.groupBy("watch_id").agg(F.sum("late").alias("late"))

@@ -115,8 +115,8 @@ def test_stream_reread_retraction_and_restart(spark, tmp_path):
     for rows in polls:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        path = watch.run_once(watch.watch_changes(stream, watches), out)
-    got = sorted((r.event_reference, r.poll_time.second, r.change, r.state, r.confirmation_state) for r in spark.read.parquet(path).collect())
+        path = watch.run_once(stream, watches, out)
+    got = sorted((r.event_reference, r.poll_time.second, r.change, r.state, r.confirmation_state) for r in watch.changes(spark, path).collect())
     assert got == [
         ("e1", 1, "opened", "active", "provisional"), ("e1", 2, "status_changed", "active", "provisional"), ("e1", 3, "status_changed", "active", "confirmed"),
         ("e2", 1, "opened", "active", "confirmed"), ("e2", 3, "retracted", "retracted", "removed"),
@@ -126,6 +126,35 @@ def test_stream_reread_retraction_and_restart(spark, tmp_path):
     assert sorted((r.event_reference, r.poll_time.second, r.change) for r in states.collect()) == [g[:3] for g in got]
 
 
+def test_stream_over_many_batches_equals_a_replay(spark, tmp_path, monkeypatch):
+    """Random histories in seven polls, three micro-batches each, one poll too late, with full copies in between."""
+    import random
+
+    monkeypatch.setattr(watch, "COMPACT", 4)
+    schema = ("network_key string, token_contract string, event_reference string, event_kind string, from_address string, to_address string,"
+              " amount_base_units string, execution_status string, confirmation_state string, block_time timestamp, poll_time timestamp")
+    t = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    r = random.Random(5)
+    watches = spark.createDataFrame([(f"v{k}", f"w{k % 3}", "n", "a", t(0)) for k in range(4)], "watch_id string, watch_address string, watch_network string, watch_contract string, baseline timestamp")
+    polls = [[("n", r.choice("aab"), f"e{k}", "transfer", f"w{k % 5}", f"w{k * 7 % 5}", "5", r.choice(["unknown", "success", "success", "failed", "reverted"]),
+               r.choice(["unknown", "provisional", "confirmed", "confirmed", "removed"]), t(1), t(p * 100)) for k in range(60) if r.random() < 0.7] for p in range(7)]
+    order = [0, 1, 2, 4, 3, 5, 6]  # at an overlap of 50 s the poll in place five is late
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for p in order:
+        spark.createDataFrame(polls[p], schema).repartition(3).write.mode("append").parquet(src)
+        path = watch.run_once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), watches, out, 50)
+    late = [row for row in polls[3]]
+    whole = spark.createDataFrame([row for p in order if p != 3 for row in polls[p]], schema)
+    want = monitor.alert_history(monitor.watched(whole, watches)).filter("change IS NOT NULL")
+    key = lambda df: sorted((x.watch_id, x.event_reference, x.poll_time, x.change, x.state, x.execution_status, x.confirmation_state) for x in df.collect())
+    assert len(list((tmp_path / "out" / "state").iterdir())) >= 15 and key(watch.changes(spark, path)) == key(want)
+    counts = {}
+    for row in late:
+        for k in range(4):
+            counts[f"v{k}"] = counts.get(f"v{k}", 0) + (f"w{k % 3}" in row[4:6])
+    assert {x.watch_id: x.late for x in watch.late(spark, path).collect()} == {k: n for k, n in counts.items() if n}
+
+
 def test_whole_words_and_whole_hooks(spark):
     """A foreign domain behind high digits is no match, and hook bytes count to the last one."""
     from rivermark.operators import bridge
@@ -158,3 +187,40 @@ def test_star_schema_keeps_unequal_events(spark):
     facts = star["events"].collect()
     assert len(facts) == 50 and {len(r.event_key) for r in facts} == {64}
     assert [r.amount_base_units for r in facts].count("2") == 0
+
+
+def test_neighbourhood_of_a_hub_counts_without_pairs(spark, monkeypatch):
+    """Many payers and candidates around one wallet: running counts equal a plain count, in small cells too."""
+    from rivermark import scale
+    from rivermark.operators import attribution as att
+
+    monkeypatch.setattr(scale, "HOT_ROWS", 5)
+    t = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    names = ("network_key string, event_reference string, from_address string, to_address string, amount_base_units string, block_time timestamp,"
+             " event_kind string, execution_status string, confirmation_state string, ordering_ambiguous boolean, event_index int, token_contract string")
+    rows = [("n", f"p{k}", f"payer{k % 90}", "hub", "1", t(k * 61 % 20000), "transfer", "success", "confirmed", False, 1, "a") for k in range(300)]
+    rows += [("n", f"s{k}", "hub", f"anchor{k % 3}", "1", t(k * 900), "transfer", "success", "confirmed", False, 1, "a") for k in range(20)]
+    rows.append(("n", "s1", "hub", "anchor9", "1", t(3), "transfer", "success", "confirmed", False, 1, "a"))  # a copy that differs
+    anchors = spark.createDataFrame([("n", f"anchor{k}", "X", None, None) for k in range(3)], "network_key string, address string, entity_name string, valid_from timestamp, valid_to timestamp")
+    got, _ = att.neighbourhood(spark.createDataFrame(rows, names), anchors, F.lit(t(0)), F.lit(t(50000)), F.lit(True))
+    firsts = {}
+    for r in rows[:300]:
+        firsts[r[2]] = min(firsts.get(r[2], r[5]), r[5])
+    want = {}
+    for a in range(3):
+        last = max(t(k * 900) for k in range(20) if k % 3 == a)
+        want[f"anchor{a}"] = sum(f < last for f in firsts.values())
+    assert {r.anchor_address: r.distinct_senders for r in got.collect()} == want
+
+
+def test_snapshot_digest_does_not_depend_on_partitions(spark, monkeypatch):
+    from rivermark.operators import dataset as ds
+
+    rows = spark.range(3000).selectExpr("concat('w', id % 700) AS wallet_id", "id * 10 AS window_start", "id * 10 + 10 AS window_end", "'v' AS feature_version")
+    rows = rows.select(*[F.col(c) if c in rows.columns else F.lit("v").alias(c) for c in ds.KEY])
+    one = ds.snapshot_hash(rows.coalesce(1)).first().snapshot_sha256
+    assert one == ds.snapshot_hash(rows.repartition(7).unionByName(rows.limit(100))).first().snapshot_sha256
+    assert one != ds.snapshot_hash(rows.filter("window_start > 0")).first().snapshot_sha256
+    monkeypatch.setattr(ds, "FAN", 4)  # several levels
+    assert ds.snapshot_hash(rows).first().snapshot_sha256 == ds.snapshot_hash(rows.repartition(9)).first().snapshot_sha256
+    assert len(ds.snapshot_hash(rows.limit(0)).first().snapshot_sha256) == 64
