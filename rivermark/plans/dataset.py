@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivermark.operators import behaviour as beh
@@ -107,11 +110,15 @@ def _(spark, sf):
 SELECT * FROM (SELECT 'wallet_held_out' AS kind, 'shared_wallet' AS code, count(*) AS n FROM (SELECT wallet_id FROM mix GROUP BY 1 HAVING count(DISTINCT side)=2)
 UNION ALL SELECT 'wallet_held_out', 'synthetic_in_evaluation', count(*) FROM mix WHERE side='eval' AND data_mode='SYNTHETIC'
 UNION ALL SELECT 'future_window', 'synthetic_in_evaluation', count(*) FROM mix WHERE side='eval' AND data_mode='SYNTHETIC'
+UNION ALL SELECT 'group_held_out', 'synthetic_in_evaluation', count(*) FROM mix WHERE side='eval' AND data_mode='SYNTHETIC'
+UNION ALL SELECT 'group_held_out', 'shared_group', count(*) FROM (SELECT control_category FROM mix GROUP BY 1 HAVING count(DISTINCT side)=2)
+UNION ALL SELECT 'synthetic_pipeline_demonstration', 'not_synthetic', count(*) FROM mix WHERE side='eval' AND data_mode<>'SYNTHETIC'
 UNION ALL SELECT 'future_window', 'backward_leakage', count(*) FROM (SELECT wallet_id, max(window_end) FILTER (WHERE side='train') AS t, min(window_start) FILTER (WHERE side='eval') AS e FROM mix GROUP BY 1) WHERE e <= t) WHERE n > 0"""))
 def _(spark, sf):
     rows = _mixed(spark, sf)
-    a, b = (ds.split_violations(rows, k).select(F.lit(k).alias("kind"), "code", "n") for k in ("wallet_held_out", "future_window"))
-    return a.unionByName(b)
+    kinds = ("wallet_held_out", "future_window", "group_held_out", "synthetic_pipeline_demonstration")
+    found = [ds.split_violations(rows, k, "control_category" if k == "group_held_out" else "wallet_id").select(F.lit(k).alias("kind"), "code", "n") for k in kinds]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("experiment_kind", sql(*WIN, _MIX, body="SELECT CASE WHEN sum(r)=0 THEN 'synthetic_pipeline_demonstration' WHEN sum(s)=0 THEN 'wallet_held_out' ELSE 'refused' END AS kind FROM (SELECT wallet_id, count(*) FILTER (WHERE side='eval' AND data_mode<>'SYNTHETIC') AS r, CASE WHEN count(DISTINCT side)=2 THEN 1 ELSE 0 END AS s FROM mix GROUP BY 1)"))
@@ -237,7 +244,8 @@ def _ranked(spark, sf, trees=FOREST, side=None):
 
 @query("anomaly_rank")
 def _(spark, sf):
-    return _ranked(spark, sf).select("id", F.round("score", 9).alias("score"), "rank", "is_outlier")
+    """Windows of the evaluation wallets; those that the trees grew from are not ranked."""
+    return _ranked(spark, sf, side="eval").select("id", F.round("score", 9).alias("score"), "rank", "is_outlier")
 
 
 @query("precision_at_k", sql(*WIN, body="""

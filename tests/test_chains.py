@@ -50,7 +50,7 @@ def graph(r, kind):
     elif kind == "apart":
         edges = [("s", "a"), ("a", "b")] + [(f"c{k}", f"c{(k + 1) % 5}") for k in range(5)] + [("q", "q")]
     else:
-        n = r.choice([8, 15])
+        n = 8
         pick = lambda: f"n{r.randrange(n)}"
         edges = [(pick(), pick()) for _ in range(r.choice([n, 2 * n]))]
         if r.random() < 0.6:
@@ -60,7 +60,7 @@ def graph(r, kind):
 
 def test_layers_strays_and_cycles(spark):
     r = random.Random(2)
-    graphs = {f"g{k}": graph(r, kind) for k, kind in enumerate(["chain", "ring", "apart"] + ["any"] * 25)}
+    graphs = {f"g{k}": graph(r, kind) for k, kind in enumerate(["chain", "ring", "apart"] + ["any"] * 8)}
     rows = [(g, a, b) for g, edges in graphs.items() for a, b in edges]
     starts = {g: edges[0][0] for g, edges in graphs.items()}
     seeds = spark.createDataFrame(list(starts.items()), "trace_id string, address string")
@@ -75,10 +75,10 @@ def test_layers_strays_and_cycles(spark):
     assert found == loops
 
 
-@pytest.mark.parametrize("closed", [False, True])
-def test_long_peel_chain_takes_few_rounds(spark, monkeypatch, closed):
-    """A hundred thousand wallets in a row, each with a side payment."""
-    n, rounds = 100_000, []
+@pytest.mark.parametrize("closed,n", [(False, 100_000), (True, 3000)])
+def test_long_peel_chain_takes_few_rounds(spark, monkeypatch, closed, n):
+    """Wallets in a row or a ring, each with a side payment."""
+    rounds = []
     chain = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("from_address"), (F.col("id") + 1).cast("string").alias("to_address"))
     if closed:
         chain = chain.withColumn("to_address", F.when(F.col("to_address") == str(n), "0").otherwise(F.col("to_address")))
