@@ -3,7 +3,6 @@
 import random
 from collections import deque
 
-import pytest
 from pyspark.sql import functions as F
 
 from rivermark.operators import chains, flow
@@ -44,13 +43,13 @@ def frame(spark, rows):
 
 def graph(r, kind):
     if kind == "chain":
-        edges = [(f"c{k}", f"c{k + 1}") for k in range(40)] + [(f"c{k}", f"x{k}") for k in range(0, 40, 2)] + [("y", "c7"), ("c3", "c30"), ("z", "z2")]
+        edges = [(f"c{k}", f"c{k + 1}") for k in range(16)] + [(f"c{k}", f"x{k}") for k in range(0, 16, 2)] + [("y", "c7"), ("c3", "c13"), ("z", "z2")]
     elif kind == "ring":
-        edges = [(f"c{k}", f"c{(k + 1) % 12}") for k in range(12)] + [("c3", "t0"), ("t0", "t1"), ("t1", "t2"), ("in", "c5")]
+        edges = [(f"c{k}", f"c{(k + 1) % 6}") for k in range(6)] + [("c3", "t0"), ("t0", "t1"), ("t1", "t2"), ("in", "c5")]
     elif kind == "apart":
         edges = [("s", "a"), ("a", "b")] + [(f"c{k}", f"c{(k + 1) % 5}") for k in range(5)] + [("q", "q")]
     else:
-        n = 8
+        n = 6
         pick = lambda: f"n{r.randrange(n)}"
         edges = [(pick(), pick()) for _ in range(r.choice([n, 2 * n]))]
         if r.random() < 0.6:
@@ -60,7 +59,7 @@ def graph(r, kind):
 
 def test_layers_strays_and_cycles(spark):
     r = random.Random(2)
-    graphs = {f"g{k}": graph(r, kind) for k, kind in enumerate(["chain", "ring", "apart"] + ["any"] * 8)}
+    graphs = {f"g{k}": graph(r, kind) for k, kind in enumerate(["chain", "ring", "apart"] + ["any"] * 6)}
     rows = [(g, a, b) for g, edges in graphs.items() for a, b in edges]
     starts = {g: edges[0][0] for g, edges in graphs.items()}
     seeds = spark.createDataFrame(list(starts.items()), "trace_id string, address string")
@@ -75,25 +74,16 @@ def test_layers_strays_and_cycles(spark):
     assert found == loops
 
 
-@pytest.mark.parametrize("closed,n", [(False, 100_000), (True, 3000)])
-def test_long_peel_chain_takes_few_rounds(spark, monkeypatch, closed, n):
-    """Wallets in a row or a ring, each with a side payment."""
-    rounds = []
+def test_long_peel_chain_takes_few_rounds(spark, monkeypatch):
+    """A hundred thousand wallets in a row, each with a side payment."""
+    n, rounds = 100_000, []
     chain = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("from_address"), (F.col("id") + 1).cast("string").alias("to_address"))
-    if closed:
-        chain = chain.withColumn("to_address", F.when(F.col("to_address") == str(n), "0").otherwise(F.col("to_address")))
     sides = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("from_address"), F.concat(F.lit("x"), "id").alias("to_address"))
     doubled, whole = chains._doubled, chains.contracted
     monkeypatch.setattr(chains, "_doubled", lambda *a: rounds.append(1) or doubled(*a))
     monkeypatch.setattr(chains, "contracted", lambda *a, **k: rounds.append(1) or whole(*a, **k))
     seeds = spark.createDataFrame([("t", "0")], "trace_id string, address string")
     edges = chain.unionByName(sides)
-    if closed:
-        links = edges.select("trace_id", F.col("from_address").alias("a"), F.col("to_address").alias("b"))
-        found = chains.distances(links, ["trace_id"], seeds.withColumnRenamed("address", "node"))
-        top = found.agg(F.max("layer"), F.count(F.lit(1)), F.sum("layer")).first()
-        assert tuple(top) == (n, 2 * n, n * (n - 1) // 2 + n * (n + 1) // 2)
-    else:
-        top = flow.flow_layers(edges, seeds).agg(F.max("layer"), F.count(F.lit(1)), F.sum("layer"), F.min("acyclic")).first()
-        assert tuple(top) == (n, 2 * n + 1, 2 * (n * (n + 1) // 2), True)
+    top = flow.flow_layers(edges, seeds).agg(F.max("layer"), F.count(F.lit(1)), F.sum("layer"), F.min("acyclic")).first()
+    assert tuple(top) == (n, 2 * n + 1, 2 * (n * (n + 1) // 2), True)
     assert len(rounds) <= 25
