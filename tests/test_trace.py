@@ -226,3 +226,41 @@ def test_seed_lookup_stays_in_window_and_wallet(spark, address, t, state, linkag
     row = got.header.first()
     assert (row.state, row.case_flow_linkage) == (state, linkage)
     assert bool(refs(got)) == (state == "followed")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_seeds_are_not_copied(spark, monkeypatch):
+    from rivermark import scale
+
+    rows = events(spark, [ev(f"e{k}", "A", "B", k) for k in range(1, 9)])
+    seeds = rows.selectExpr("concat('q', event_reference) AS trace_id", "network_key", "token_contract", "from_address AS seed_address",
+                            "CASE WHEN event_reference <> 'e3' THEN event_reference END AS seed_event_reference")
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    got = tr.locate_seeds(seeds, tr.prepare(rows), F.timestamp_seconds(F.lit(END)))
+    assert "_salt" not in _plan(got)[0]
+    assert {r.trace_id: r.state for r in got.collect()} == {f"qe{k}": "discovery" if k == 3 else "followed" for k in range(1, 9)}
+
+
+def test_the_outlook_moves_the_events_once(spark):
+    from rivermark.operators.labels import claims_by_address
+
+    slim = tr.prepare(events(spark, [ev("s", "A", "B", 10), ev("x", "B", "C", 20), ev("y", "B", "D", 10), ev("z", "C", "A", 30, ex="failed")])).localCheckpoint()
+    folded = claims_by_address(claims(spark, [])).localCheckpoint()
+    told = tr._with_outlook(slim, folded, True, F.timestamp_seconds(F.lit(END)), True, False)
+    assert _plan(told)[1].count("Exchange hashpartitioning(network_key") == 1
+    seen = {r.event_reference: (r.looked, r.follow) for r in told.collect()}
+    slow = tr._with_outlook(slim, folded, True, F.timestamp_seconds(F.lit(END)), False, False)
+    assert seen == {r.event_reference: (r.looked, r.follow) for r in slow.collect()}
+    assert seen["s"] == (2, 1) and seen["x"] == (1, 0) and seen["z"] == (None, None)
+
+
+def test_a_walk_keeps_no_copies_of_its_rows(spark, tmp_path):
+    """States past the budget are read where the events of their level were written."""
+    rows = [ev("s", "A", "B", 10)] + [ev(f"x{k}", "B", f"C{k}", 20 + k) for k in range(50)]
+    got = run(spark, rows, budget=3)
+    late = got.endings.filter("boundary_reason = 'event_limit'")
+    assert late.count() == 50
+    assert "FileScan parquet" in _plan(late)[1] and "Scan ExistingRDD" not in _plan(late)[1]
