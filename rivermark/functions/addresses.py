@@ -80,14 +80,27 @@ def hex_to_base58(hex50: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(34)), first, divide, lambda st: st["text"])
 
 
-def canonical_tron(value: Column) -> tuple[Column, Column]:
-    """``(41-hex key, reason)``; exactly one of the two is NULL."""
+def _tron_shape(value: Column) -> tuple[Column, Column, Column, Column]:
+    """Trimmed text, the same without ``0x``, whether that is hex, whether the text looks like base 58."""
     v = F.trim(value)
     bare = F.when(F.lower(v).startswith("0x"), F.substr(v, F.lit(3))).otherwise(v)
-    is_hex = bare.rlike(r"^[0-9a-fA-F]{42}\z")
-    raw = base58_to_hex(v)
+    return v, bare, bare.rlike(r"^[0-9a-fA-F]{42}\z"), v.startswith("T") & (F.length(v) == 34)
+
+
+def tron_raw(value: Column) -> Column:
+    """The decoded base 58 text of an address that has its shape."""
+    v, _, is_hex, shaped = _tron_shape(value)
+    return F.when(shaped & ~is_hex, base58_to_hex(v))
+
+
+def canonical_tron(value: Column, raw: Column | None = None) -> tuple[Column, Column]:
+    """``(41-hex key, reason)``; exactly one of the two is NULL.
+
+    ``raw`` is a column with ``tron_raw`` where a caller keeps one, so that it is worked out once.
+    """
+    v, bare, is_hex, shaped = _tron_shape(value)
+    raw = tron_raw(value) if raw is None else raw
     payload = F.substring(raw, 1, 42)
-    shaped = v.startswith("T") & (F.length(v) == 34)
     reason = first_reason(
         (F.coalesce(v == "", F.lit(True)), "empty"),
         (is_hex & (F.substring(bare, 1, 2) != TRON_PREFIX), "wrong_prefix"),
@@ -109,15 +122,19 @@ def canonical_evm(value: Column) -> tuple[Column, Column]:
 def canonicalize(rows: DataFrame, network: str = "network_key", address: str = "address") -> DataFrame:
     """Distinct addresses with canonical key, format and reason; invalid ones are kept."""
     once = rows.select(network, address).distinct()
-    tron_key, tron_reason = canonical_tron(F.col(address))
-    evm_key, evm_reason = canonical_evm(F.col(address))
     tron = F.col(network) == "tron"
-    out = once.withColumn("canonical", F.when(tron, tron_key).otherwise(evm_key)).withColumn(
-        "reason", F.when(tron, tron_reason).otherwise(evm_reason)
-    )
-    return out.withColumn(
+    # Columns that are read more than once are steps of their own, so decoding runs once a row.
+    once = once.withColumn("_raw", F.when(tron, tron_raw(F.col(address))))
+    tron_reason = canonical_tron(F.col(address), F.col("_raw"))[1]
+    evm_reason = canonical_evm(F.col(address))[1]
+    once = once.withColumn("reason", F.when(tron, tron_reason).otherwise(evm_reason))
+    good = F.col("reason").isNull()
+    hexed = F.when(F.col("_raw").isNull(), _tron_shape(F.col(address))[1]).otherwise(F.substring("_raw", 1, 42))
+    out = once.withColumn("canonical", F.when(good, F.when(tron, F.lower(hexed)).otherwise(F.lower(F.trim(F.col(address))))))
+    out = out.withColumn(
         "format", F.when(F.col("reason").isNotNull(), "invalid").when(tron, "tron_hex").otherwise("hex_lowercase")
     )
+    return out.select(network, address, "canonical", "reason", "format")
 
 
 def display_tron(key: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivermark import scale
 from rivermark.functions import addresses, amounts
 from rivermark.functions.predicates import direction
 from rivermark.plans.base import LEDGER, OBS, sql
@@ -165,7 +166,8 @@ def _(spark, sf):
 @query("union_dedupe_logs", sql(LEDGER, _LOGS, body=f"""
 SELECT event_reference, {src.EPOCH} + order_key AS t FROM dl"""))
 def _(spark, sf):
-    logs = evm.decode_transfer_logs(_logs(spark, sf), F.lit("0xa0b1"))
+    # Both directions read the same logs, so they are decoded once.
+    logs = scale.staged(evm.decode_transfer_logs(_logs(spark, sf), F.lit("0xa0b1")))
     blocks = src.table(spark, sf, "orders").selectExpr(
         "'1' AS chain_id", "o_orderkey AS block_height", f"timestamp_seconds({src.EPOCH} + o_orderkey) AS block_time"
     )
@@ -259,9 +261,12 @@ def _(spark, sf):
         .when(k == 6, h).when(k == 1, F.concat(F.lit("0x41"), F.upper(h))).when(k == 2, key).when(k == 4, good)
         .when(k == 5, bad).when(k == 7, F.concat(F.substring(good, 1, 33), F.lit("0"))).otherwise(F.concat(F.lit("42"), h))
     )
-    rows = src.table(spark, sf, "customer").select(
+    # The addresses are written once: they cost much to make and are read twice. A small file
+    # is one task, so its rows are dealt out first.
+    people = src.table(spark, sf, "customer").select("c_custkey", "c_name")
+    rows = scale.staged(people.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select(
         F.col("c_custkey").alias("wallet"), F.when(F.col("c_custkey") % 3 == 0, "evm").otherwise("tron").alias("network_key"), raw.alias("address")
-    )
+    ))
     return rows.join(addresses.canonicalize(rows), ["network_key", "address"]).select("network_key", "wallet", "canonical", "reason")
 
 

@@ -100,3 +100,16 @@ def test_hex_numbers_of_any_length(spark):
             ("f" * 64, None), ("0x", None), ("", None), (None, None), ("0x1g", None), ("0", 0), ("00", 0)]
     df = spark.createDataFrame(rows, "h string, n long")
     assert all(r.n == r.got for r in df.select("n", hex_number(F.col("h")).alias("got")).collect())
+
+
+def test_an_address_is_decoded_once(spark):
+    from rivermark.functions import addresses
+
+    rows = spark.createDataFrame([("tron", "T" + "1" * 33), ("tron", "41" + "a" * 40), ("evm", "0x" + "A" * 40), ("tron", None)], "network_key string, address string")
+    out = addresses.canonicalize(rows)
+    # The decoder names its alphabet three times.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(addresses.ALPHABET) == 3
+    assert {(r.address, r.canonical, r.reason, r.format) for r in out.collect()} == {
+        ("T" + "1" * 33, None, "bad_checksum", "invalid"), ("41" + "a" * 40, "41" + "a" * 40, None, "tron_hex"),
+        ("0x" + "A" * 40, "0x" + "a" * 40, None, "hex_lowercase"), (None, None, "empty", "invalid"),
+    }
