@@ -65,7 +65,8 @@ def advance(watches: DataFrame, path: str, overlap_seconds: int = OVERLAP_SECOND
         newest = None
         if batch_id:
             newest = spark.read.schema("newest long").parquet(*_folders(path, "mark", batch_id - 1, batch_id)).first().newest
-        seen = watched(batch, watches)
+        # Read for the late rows, the kept ones and their alerts: joined and written once.
+        seen = scale.staged(watched(batch, watches))
         late = F.lit(False) if newest is None else F.coalesce(F.unix_micros("poll_time") < newest - overlap_seconds * 1_000_000, F.lit(False))
         write(seen.filter(late).groupBy("watch_id").agg(F.count(F.lit(1)).alias("late")), "late")
         kept = seen.filter(~late).filter(F.col("reason").isNull() | F.col("reason").isin(*RETRACTING))
