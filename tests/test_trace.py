@@ -254,7 +254,7 @@ def test_the_outlook_moves_the_events_once(spark):
     seen = {r.event_reference: (r.looked, r.follow) for r in told.collect()}
     slow = tr._with_outlook(slim, folded, True, F.timestamp_seconds(F.lit(END)), False, False)
     assert seen == {r.event_reference: (r.looked, r.follow) for r in slow.collect()}
-    assert seen["s"] == (2, 1) and seen["x"] == (1, 0) and seen["z"] == (None, None)
+    assert seen["s"] == (2, 2) and seen["x"] == (1, 0) and seen["z"] == (None, None)
 
 
 def test_a_walk_keeps_no_copies_of_its_rows(spark, tmp_path):
