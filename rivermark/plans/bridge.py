@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rivermark.operators import bridge as br
 from rivermark.plans.base import sql
 from rivermark.registry import query
+from rivermark.scale import staged
 from rivermark.sources import tables as src
 from rivermark.sources.chainlogs import TRANSFER_TOPIC, ZERO_TOPIC
 
@@ -43,9 +46,12 @@ def source_receipts(spark, sf):
         a=f"'{TM}'", t=f"'{br.DEPOSIT_FOR_BURN}', concat('0x', repeat('0', 24), '{br.USDC['ethereum'][2:]}'), {z.format(W('o_orderkey'))}, {z.format(W('1000'))}",
         d=f"concat('0x', {W('amt')}, {W('o_custkey')}, {W('6')}, repeat('0', 64), repeat('0', 64), {W('100')})", n="i * 2 + 1",
     )
-    per = messages(spark, sf).selectExpr("o_orderkey", "o_orderstatus", "i", f"{sent} AS s", f"{burn} AS b")
-    # A transaction holds at most two messages here, so its log list is tiny.
-    return per.groupBy("o_orderkey", "o_orderstatus").agg(F.sort_array(F.collect_list(F.struct("i", F.array("s", "b").alias("l")))).alias("g")).selectExpr(
+    # A transaction holds at most two messages here, so its log list is tiny; keys are grouped, and the logs made from them.
+    per = messages(spark, sf).groupBy("o_orderkey", "o_orderstatus").agg(F.collect_list(F.struct("i", "o_custkey")).alias("g"))
+    made = f"named_struct('i', i, 'l', array({sent}, {burn}))".replace("sent,", f"{_message('0', 'amt', '0', '0', '0')},")
+    for name, of in (("amt", "((o_orderkey * 2 + i) * 1000 + 7)"), ("o_custkey", "x.o_custkey"), ("i", "x.i")):
+        made = re.sub(rf"(?<!['.])\b{name}\b(?!')", of, made)
+    return per.withColumn("g", F.expr(f"sort_array(transform(g, x -> {made}))")).selectExpr(
         "concat('h', o_orderkey) AS tx_hash", "CASE WHEN o_orderstatus = 'P' THEN '0x0' ELSE '0x1' END AS status", "o_orderkey AS block_number", "flatten(transform(g, x -> x.l)) AS logs"
     )
 
@@ -143,7 +149,9 @@ def _(spark, sf):
 
 @query("continuation_tasks", sql(_MSG, body="SELECT burn_reference, rcp AS address, 'address_discovery' AS mode, CASE WHEN (o_orderkey+3)%41=0 THEN 0 ELSE o_orderkey+3 END AS analysis_start FROM chk WHERE failure IS NULL AND i=0 AND k%3<>0"))
 def _(spark, sf):
-    done = checked(spark, sf).filter("substring_index(substring_index(burn_reference, ':', -2), ':', 1) like 'h%'").filter(
+    # Written once: the existing tasks are some of the same links.
+    proven = staged(checked(spark, sf).select("burn_reference", "mint_recipient", "d_time", "matched"))
+    done = proven.filter("substring_index(substring_index(burn_reference, ':', -2), ':', 1) like 'h%'").filter(
         "cast(substring(split(burn_reference, ':')[2], 2) as bigint) * 2 % 3 = 0"
     )
-    return br.continuation_tasks(checked(spark, sf), done).select("burn_reference", "address", "mode", "analysis_start")
+    return br.continuation_tasks(proven, done).select("burn_reference", "address", "mode", "analysis_start")
