@@ -264,3 +264,12 @@ def test_a_walk_keeps_no_copies_of_its_rows(spark, tmp_path):
     late = got.endings.filter("boundary_reason = 'event_limit'")
     assert late.count() == 50
     assert "FileScan parquet" in _plan(late)[1] and "Scan ExistingRDD" not in _plan(late)[1]
+
+
+def test_rows_of_one_identity_are_the_only_ones_grouped(spark):
+    rows = [ev("s", "A", "B", 10), ev("x", "B", "C", 20), ev("x", "B", "D", 20), ev("y", "B", "D", 30), ev("y", "B", "D", 30), ev(None, "B", "E", 40), ev(None, "B", "E", 50)]
+    for some in (rows, rows[:2]):
+        table = events(spark, some)
+        assert sorted(map(str, tr.prepared(table).collect())) == sorted(map(str, tr.prepare(table).collect()))
+    # Without copies nothing is moved once the events are written.
+    assert "Exchange" not in tr.prepared(events(spark, rows[:2]))._jdf.queryExecution().toString()
