@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from rivermark import scale
 from rivermark.operators import trace as tr
 
 EVENT = (
@@ -273,3 +274,66 @@ def test_rows_of_one_identity_are_the_only_ones_grouped(spark):
         assert sorted(map(str, tr.prepared(table).collect())) == sorted(map(str, tr.prepare(table).collect()))
     # Without copies nothing is moved once the events are written.
     assert "Exchange" not in tr.prepared(events(spark, rows[:2]))._jdf.queryExecution().toString()
+
+
+def test_departures_are_not_moved_to_their_arrivals(spark):
+    """Spans and the common order of arrivals and departures name the same parents, claims and ties."""
+    r = random.Random(11)
+    rows = [ev(f"e{i:03d}", f"w{r.randrange(6)}", f"w{r.randrange(6)}", r.randrange(30), r.choice(["", None, f"{r.randrange(30):03d}"]),
+               ex=r.choice(["success", "success", "unknown"])) for i in range(90)]
+    cutoff = F.timestamp_seconds(F.lit(END))
+    edges = tr.prepare(events(spark, rows)).localCheckpoint()
+    laid = scale.Laid(edges, ["network_key", "token_contract", "from_address"], ["block_time"], "event_reference", True)
+    kind = "trace_id string, network_key string, token_contract string, address string, t long, at_seq string, place long, total long, branch_path array<string>"
+    state = lambda k: (f"t{k % 3}", "n", "a", f"w{r.randrange(6)}", r.randrange(25), f"{r.randrange(30):03d}", k, 0, [f"p{k}"])
+    live = spark.createDataFrame([state(k) for k in range(40)], kind).withColumn("at", F.timestamp_seconds("t")).drop("t").localCheckpoint()
+    claimed = tr._claimed(spark.createDataFrame([state(k) for k in range(9)], kind).withColumn("at", F.timestamp_seconds("t")), None)
+
+    def told(rows):
+        fresh = F.col("spendable") & F.col("parent").isNotNull() & ~F.col("taken")
+        kept = rows.filter(fresh | F.col("unverified") | F.col("tied"))
+        return sorted(map(str, kept.select("trace_id", "event_reference", F.when(fresh, F.col("parent.place")), "tied", "unverified").collect()))
+
+    touch = tr._touched(live, laid, cutoff, False, claimed).filter("unverified OR (spendable AND (unordered OR NOT taken))")
+    spans = tr._followed(live, laid, cutoff, False, claimed)
+    assert told(spans) == told(tr._continued(live, touch, True, False)) == told(tr._followed(live, laid, cutoff, True, claimed))
+    assert len(told(spans)) > 100
+    laid.drop()
+
+
+def test_a_crowded_wallet_is_walked_in_one_order(spark, monkeypatch):
+    monkeypatch.setattr(tr, "CROWD", 0)
+    same_as_queue_walk(spark, 2, 25, 4)
+
+
+def test_states_past_the_budget_are_not_joined(spark):
+    """Only expanded states meet the parents that go on, and every other ending is one read of its level."""
+    rows = [ev("s", "A", "B", 10)] + [ev(f"x{k}", "B", f"C{k}", 20 + k) for k in range(6)] + [ev("y", "C0", "D", 90)]
+    got = run(spark, rows, budget=7, hops=4)
+    plan = _plan(got.endings)[0]
+    joins = plan.count("Join LeftOuter")
+    assert 0 < joins <= 2 and "LeftAnti" not in plan
+    assert {(a, r) for a, _, r, _ in ends(got)} == {("C1", "event_limit"), ("C2", "event_limit"), ("C3", "event_limit"), ("C4", "event_limit"), ("C5", "event_limit"), ("D", "event_limit")}
+
+
+def test_a_digest_moves_its_values_once(spark):
+    from rivermark.operators.patterns import digest_of
+
+    import hashlib
+
+    rows = spark.createDataFrame([("k", "a"), ("k", "b"), ("k", "a"), ("m", None), ("m", "c")], "k string, v string")
+    out = digest_of(rows, ["k"], "v")
+    assert _plan(out)[1].count("Exchange hashpartitioning") == 2
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    of = lambda vs: sha("|".join(sha(v) for v in sorted(vs, key=lambda v: sha(v)[:3])))
+    got = {r.k: (r.n, r.digest) for r in out.collect()}
+    assert got["k"] == (2, of(["a", "b"])) and got["m"] == (2, sha(sha("") + "|" + sha("c")))
+
+
+def test_events_off_the_paths_are_left_behind(spark):
+    from rivermark.operators.attribution import path_check
+
+    got = run(spark, [ev("s", "A", "B", 10), ev("x", "B", "C", 20), ev("y", "C", "D", 30)], [label("D")])
+    checked = path_check(got.endings, got.observed, got.header)
+    assert "LeftSemi" in _plan(checked)[0] and "branch_path" not in str([l for l in _plan(checked)[0].splitlines() if "min(struct" in l])
+    assert [(r.address, r.path_problem) for r in checked.collect()] == [("D", None)]
