@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,3 +77,22 @@ def test_dim_join_salted_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(scale, "BROADCAST_ROWS", 1)
     b = scale.dim_join(df, dim, ["k"], "inner", ["ref"])
     assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == b.count()
+
+
+def test_shuffle_files_go_and_a_frame_can_be_read_again(spark):
+    rows = spark.range(2000).select((F.col("id") % 50).alias("k"), "id")
+    totals = rows.groupBy("k").agg(F.sum("id").alias("s"))
+    both = totals.join(rows.groupBy("k").agg(F.max("id").alias("m")), "k").repartition(3, "m")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    first = sorted(both.collect())
+    assert len(first) == 50 and sorted(both.collect()) == first and both.count() == 50
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_laid_join_leaves_other_rows_behind(spark, small):
+    table = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 3, None), ("c", 4, True)], "k string, v int, ok boolean")
+    laid = scale.Laid(table, ["k"], ["v"], "v")
+    other = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert sorted(r.v for r in laid.join(other, small).collect()) == [1, 2, 3]
+    assert [r.v for r in laid.join(other, small, "ok").collect()] == [1]
+    laid.drop()

@@ -1,5 +1,6 @@
 """The forward trace on small hand-made ledgers, and against a plain queue walk."""
 
+import os
 import random
 from collections import deque
 
@@ -337,3 +338,18 @@ def test_events_off_the_paths_are_left_behind(spark):
     checked = path_check(got.endings, got.observed, got.header)
     assert "LeftSemi" in _plan(checked)[0] and "branch_path" not in str([l for l in _plan(checked)[0].splitlines() if "min(struct" in l])
     assert [(r.address, r.path_problem) for r in checked.collect()] == [("D", None)]
+
+
+def test_only_levels_stay_written(spark):
+    folder = scale.shared_folder(spark).removeprefix("file:")
+    before, tables, passing = set(os.listdir(folder)), {t.name for t in spark.catalog.listTables()}, []
+    rows = [ev("s", "A", "B", 1), ev("x", "B", "C", 2), ev("y", "C", "D", 3), ev("y", "C", "D", 3), ev("z", "D", "E", 4), ev("u", "D", "E", 5, ex="unknown")]
+    ledger = tr.written(events(spark, rows), passing=passing)
+    seeds = spark.createDataFrame([("t", "n", "a", "A", "s")], "trace_id string, network_key string, token_contract string, seed_address string, seed_event_reference string")
+    t = tr.trace(seeds, ledger, claims(spark, []), F.timestamp_seconds(F.lit(END)), passing=passing)
+    assert refs(t) == {"s": 0, "x": 1, "y": 2, "z": 3} and ("execution_or_finality_unverified", "u") in codes(t)
+    left = [f for f in set(os.listdir(folder)) - before if f.startswith(("staged-", "rivermark_"))]
+    held = [set(spark.read.parquet(f"{folder}/{f}").columns) for f in left]
+    # What departures were found and who was expanded at each level; no events, outlook or claims.
+    assert held and all("hop_depth" in c or "place" in c for c in held)
+    assert {t.name for t in spark.catalog.listTables()} - tables <= set(left)
