@@ -354,3 +354,50 @@ def test_only_levels_stay_written(spark):
     # What departures were found and who was expanded at each level; no events, outlook or claims.
     assert held and all("hop_depth" in c or "place" in c for c in held)
     assert {t.name for t in spark.catalog.listTables()} - tables <= set(left)
+
+
+def test_departures_that_are_only_counted_are_not_laid_out(spark, monkeypatch):
+    laid = []
+
+    class Seen(tr.Laid):
+        def __init__(self, df, *more):
+            laid.append(sorted(r.event_reference for r in df.collect()))
+            super().__init__(df, *more)
+
+    monkeypatch.setattr(tr, "Laid", Seen)
+    rows = [
+        ev("s", "A", "B", 1), ev("x", "B", "C", 2), ev("ap", "B", "C", 2, kind="approval"), ev("gone", "B", "C", 4, conf="removed"),
+        ev("zero", "B", "C", 5, amount="0"), ev("bad", "B", "C", 5, amount=None), ev("unk", "B", "C", 6, ex="unknown"),
+    ]
+    t = run(spark, rows)
+    assert laid == [["s", "unk", "x"]] and refs(t) == {"s": 0, "x": 1}
+    assert t.header.first().events_examined == 6
+    # A seed is found among all events, and an address looks at all of them.
+    assert run(spark, rows, ref="ap", address="B").header.first().state == "rejected"
+    assert run(spark, rows, ref=None, address="B").header.first().events_examined == 6
+
+
+def test_claims_of_traces_that_ended_go(spark):
+    kind = "trace_id string, address string, t long, at_seq string"
+    at = lambda rows: spark.createDataFrame(rows, kind).withColumn("at", F.timestamp_seconds("t"))
+    alive = spark.createDataFrame([("t1",), ("t3",)], "trace_id string")
+    first = tr._claimed(at([("t1", "a", 5, "x"), ("t2", "a", 4, "x"), ("t1", "a", 3, "y")]), None, None, alive, True)
+    assert [(r.trace_id, r.timed_seq) for r in first.collect()] == [("t1", "x")]
+    later = tr._claimed(at([("t1", "a", 1, "z"), ("t3", "b", 2, "z")]), first, None, alive.filter("trace_id = 't3'"), False)
+    assert [(r.trace_id, r.address) for r in later.collect()] == [("t3", "b")]
+
+
+def test_states_and_claims_meet_where_they_lie(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kind = "trace_id string, network_key string, token_contract string, address string, t long, at_seq string, place long, total long, branch_path array<string>"
+    rows = spark.createDataFrame([(f"t{k % 3}", "n", "a", "w", k, "", k, 0, [f"p{k}"]) for k in range(9)], kind).withColumn("at", F.timestamp_seconds("t"))
+    live = scale.staged_by(tr._by_trace(rows), ["trace_id"])
+    claimed = tr._claimed(live, None)
+    with scale.by_some_keys(spark):
+        spans = tr._spans(live, claimed)
+        assert "Exchange" not in _plan(spans)[1] and "Bucketed: true" in _plan(spans)[1]
+        # One order serves the spans and the claims they meet.
+        assert spans.count() == 12
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
