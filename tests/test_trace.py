@@ -401,3 +401,24 @@ def test_states_and_claims_meet_where_they_lie(spark):
         assert spans.count() == 12
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_endings_of_a_large_level_are_written_once(spark, monkeypatch):
+    """Reading endings joins the expanded states of small levels only, and both forms tell the same."""
+    rows = [ev("s", "A", "B", 10)] + [ev(f"x{k}", "B", f"C{k}", 20 + k) for k in range(6)] + [ev("y", "C0", "D", 90), ev("z", "D", "E", 95)]
+    labels = [label("C3"), label("C1", kind="deposit_candidate", state="unreviewed", n=2)]
+    plain = run(spark, rows, labels)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    large = run(spark, rows, labels)
+    assert ends(large) == ends(plain) and plain.endings.count() == large.endings.count()
+    assert "Join" in _plan(plain.endings)[0] and "Join" not in _plan(large.endings)[0]
+
+
+def test_saved_tables_that_many_queries_read_are_made_once(spark):
+    from rivermark.plans import traces
+
+    made = []
+    t = traces.Saved(tr.Trace(*[spark.range(1)] * 4))
+    for _ in range(2):
+        out = t.once("state", lambda: made.append(1) or spark.range(3))
+    assert made == [1] and out.count() == 3 and "FileScan parquet" in _plan(out)[1]
