@@ -422,3 +422,25 @@ def test_saved_tables_that_many_queries_read_are_made_once(spark):
     for _ in range(2):
         out = t.once("state", lambda: made.append(1) or spark.range(3))
     assert made == [1] and out.count() == 3 and "FileScan parquet" in _plan(out)[1]
+
+
+def test_checked_endings_are_read_once(spark):
+    from rivermark.operators.attribution import path_check
+
+    got = run(spark, [ev("s", "A", "B", 10), ev("x", "B", "C", 20)], [label("C")])
+    scans = _plan(path_check(got.endings, got.observed, got.header))[0]
+    asked = [line for line in scans.splitlines() if "Relation" in line and "boundary_reason" in line]
+    # They and their steps come from what was written; no level is read again for them.
+    assert asked and "service_boundary" not in scans
+
+
+def test_only_edges_and_endings_of_seeds_are_grouped(spark):
+    from rivermark.operators import flow
+
+    got = run(spark, [ev("s", "A", "B", 10), ev("x", "B", "C", 20)], budget=1, hops=1)
+    missing = flow.derived_seed_edges(got.header, flow.flow_edges(got.observed.filter("hop_depth > 0")), got.endings)
+    plan = _plan(missing)[0].splitlines()
+    at = lambda word: [len(line) - len(line.lstrip(" :+-")) for line in plan if word in line]
+    # Both kept sets lie below the grouping that follows.
+    assert len(at("LeftSemi")) == 2 and all(any(a < s for a in at("Aggregate [trace_id")) for s in at("LeftSemi"))
+    assert [(r.event_reference, r.from_address, r.to_address) for r in missing.collect()] == [("s", "A", "B")]
